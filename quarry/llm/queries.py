@@ -4,14 +4,35 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe, html, packing
+from quarry.llm import bpe, html, packing, quality, simhash, toxicity
 from quarry.session import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
 
 
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    """Scores as the contract has them."""
+    fold = toxicity.held_out_fold("doc_id") == toxicity.HELD_OUT
+    return scored.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality.score(docs, quality.fit_tables(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.compare_with_edit(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.score(docs, toxicity.fit_tables(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -24,5 +45,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER)).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op7_html_extraction, op9_bpe_round_trip, op10_packing)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op6_simhash, op7_html_extraction, op8_toxicity_grammar, op9_bpe_round_trip, op10_packing)}
 SQL: dict[str, str] = {}
