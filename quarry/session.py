@@ -45,5 +45,5 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
