@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import pieces
+
 MAX_TRANSITIONS = 1_500_000
 MAX_MEMO = 500_000
 DECODE_CHUNK = 8192
@@ -37,26 +39,28 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Lazily determinised encoder for single pre-split pieces."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.bytes_of = {i: t for t, i in ranks.items()}
-        self.reachable: dict[bytes, bool] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
-        prefixes = {b""}
-        for token in ranks:
-            prefixes.update(token[:k] for k in range(1, len(token)))
-        self.prefixes = prefixes  # proper prefixes of tokens
+    """Lazily determinised encoder for single pre-split pieces.
+
+    Pieces and tokens are strings of symbols, one character for each (for byte ranks, the byte's number). `order` is
+    the merge order of two adjacent tokens, by default the rank of the token they make.
+    """
+
+    def __init__(self, ids_of: dict[str, int], order=None, most: int = MAX_TRANSITIONS, whole: bool = True):
+        self.ids_of, self.most, self.whole = ids_of, most, whole
+        self.order = order or (lambda a, b: ids_of.get(a + b))
+        self.token_of = {i: t for t, i in ids_of.items()}
+        self.reachable: dict[str, bool] = {}
+        self.prefixes = {t[:k] for t in ids_of for k in range(len(t))}  # proper prefixes of tokens
         self._reset()
 
     def _reset(self) -> None:
+        self.stable: dict[tuple[int, int], bool] = {}
         self.keys: list[tuple] = []
         self.ids: dict[tuple, int] = {}
-        self.moves: list[dict[int, tuple[int, tuple]]] = []
+        self.moves: list[dict[str, tuple[int, tuple]]] = []
         self.final: list[tuple] = []
         self.made = 0
-        self._state((b"", ((),), (-1,)))
+        self._state(("", ((),), (-1,)))
 
     def _state(self, key: tuple) -> int:
         at = self.ids.get(key)
@@ -67,50 +71,49 @@ class Transducer:
             self.final.append(key[1][-1])
         return at
 
-    def merge(self, data: bytes) -> list[int]:
-        """Ids of `data` by repeated lowest-rank merging."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
+    def merge(self, symbols: str) -> list[int]:
+        """Ids by repeated merging of the pair that comes first in order."""
+        parts, order = list(symbols), self.order
         while len(parts) > 1:
             best, where = None, -1
             for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
+                r = order(parts[i], parts[i + 1])
                 if r is not None and (best is None or r < best):
                     best, where = r, i
             if best is None:
                 break
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
-        return [ranks[p] for p in parts]
+        return [self.ids_of[p] for p in parts]
 
     def _is_stable(self, left: int, right: int) -> bool:
         known = self.stable.get((left, right))
         if known is None:
-            known = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self.merge(self.token_of[left] + self.token_of[right]) == [left, right]
             self.stable[left, right] = known
         return known
 
-    def _is_reachable(self, token: bytes) -> bool:
+    def _is_reachable(self, token: str) -> bool:
         known = self.reachable.get(token)
         if known is None:
-            known = self.reachable[token] = self.merge(token) == [self.ranks[token]]
+            known = self.reachable[token] = self.merge(token) == [self.ids_of[token]]
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        """Make the transition. A key is (lookahead bytes, pending tokens and last token for each position in it)."""
+    def _step(self, state: int, symbol: str) -> tuple[int, tuple]:
+        """Make the transition. A key is (lookahead, pending tokens and last token for each position in it)."""
         seen, pending, last = self.keys[state]
-        seen += bytes((byte,))
-        ranks = self.ranks
+        seen += symbol
+        ids_of = self.ids_of
         path, token = None, -1
         for k in range(len(pending)):  # the longest candidate first
             piece = seen[k:]
-            t = ranks.get(piece)
+            t = ids_of.get(piece)
             if t is None or not self._is_reachable(piece):
                 continue
             if last[k] < 0 or self._is_stable(last[k], t):
                 path, token = (*pending[k], t), t
                 break
         if path is None:
-            raise ValueError("no token covers a byte; the ranks must hold all 256 bytes")
+            raise ValueError("no token covers a symbol; the vocabulary must hold every single one")
         pending, last = (*pending, path), (*last, token)
         start = 0
         while seen[start:] not in self.prefixes:
@@ -125,22 +128,23 @@ class Transducer:
         if shared:
             pending = tuple(p[shared:] for p in pending)
         to = self._state((seen, pending, last))
-        self.moves[state][byte] = (to, out)
+        self.moves[state][symbol] = (to, out)
         self.made += 1
         return to, out
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Ids of one piece; a piece that is itself a token is that token."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if self.made > MAX_TRANSITIONS:
+    def encode(self, piece: str) -> list[int]:
+        """Ids of one piece; with `whole`, a piece that is itself a token is that token."""
+        if self.whole:
+            known = self.ids_of.get(piece)
+            if known is not None:
+                return [known]
+        if self.made > self.most:
             self._reset()
         moves, state, out = self.moves, 0, []
-        for b in piece:
-            move = moves[state].get(b)
+        for symbol in piece:
+            move = moves[state].get(symbol)
             if move is None:
-                move = self._step(state, b)
+                move = self._step(state, symbol)
             state, emitted = move
             if emitted:
                 out.extend(emitted)
@@ -152,10 +156,12 @@ class Codec:
     """Encoder and decoder of whole texts; what it remembers of pieces is bounded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
+        self.machine = Transducer({t.decode("latin-1"): i for t, i in ranks.items()})
         self.find = regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
-        self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)]
+        self.table = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.table[i] = t
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -170,8 +176,7 @@ class Codec:
         encode = self.machine.encode
         for p in pieces:
             if p not in memo:
-                ids = array("I", encode(p.encode("utf-8", "surrogatepass")))
-                memo[p] = ids.tobytes()
+                memo[p] = array("I", encode(p.encode("utf-8", "surrogatepass").decode("latin-1"))).tobytes()
         return b"".join(map(memo.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> Iterator[str]:
@@ -200,7 +205,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         codec = worker_codec(path, pattern)
-        for b in batches:
+        for b in pieces(batches):
             ids = [array("I", codec.encode(t or "")).tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -212,7 +217,7 @@ def decode_ids(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         codec = worker_codec(path, pattern)
-        for b in batches:
+        for b in pieces(batches):
             texts = ["".join(codec.decode(array("I", i or []).tobytes())) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -225,7 +230,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     def run(batches):
         codec = worker_codec(path, pattern)
-        for b in batches:
+        for b in pieces(batches):
             counts, ids_sha, text_sha = [], [], []
             for t in b.column(1).to_pylist():
                 ids = codec.encode(t or "")
