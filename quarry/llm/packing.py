@@ -14,8 +14,10 @@ table gives no pieces; rows with equal ids keep the order in which their partiti
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +25,102 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.batches import pieces
 from quarry.session import materialize
 
 WINDOW = 4096
 END_ID = 2
-MAX_MEMO = 400_000
+MAX_MEMO = 300_000
+_CLOSING = ".,;:!?|*#$%&"
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in byte-level vocabularies, to the byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
 class WordTokenizer:
-    """Ids of a tokenizer whose pieces never cross white space; words already seen are remembered, up to a number."""
+    """Ids of a tokenizer whose pieces never cross white space; words already seen are remembered, up to a number.
+
+    New words of letters (and closing marks behind them) are encoded together: a space, which never occurs in a piece,
+    takes the part of the end-of-word mark, so that the merges become byte ranks and the tokens that end in a space end
+    a piece. Words of another form, and tokenizers whose file has not the form known here, go through the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "I"
         self.memo: dict[str, bytes] = {}
+        self.ranks = None
+        with open(path, encoding="utf-8") as f:
+            self._compile(json.load(f))
+
+    def _compile(self, form: dict) -> None:
+        """Byte ranks for the merges: single bytes, bytes that end a word, then the merges in order."""
+        import tiktoken
+
+        model, pre = form["model"], (form.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        steps = [n["type"] for n in (form.get("normalizer") or {}).get("normalizers") or []]
+        known = model.get("type") == "BPE" and model.get("end_of_word_suffix") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix")
+        if not (known and steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"] and pre[0].get("invert") and not pre[1].get("use_regex")):
+            return
+        letters, end, vocabulary = byte_letters(), model["end_of_word_suffix"], model["vocab"]
+
+        def data(token: str) -> bytes:
+            closed = token.endswith(end)
+            return bytes(letters[c] for c in (token[: -len(end)] if closed else token)) + b" " * closed
+
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        tokens = [*letters, *(c + end for c in letters), *merged]
+        ranks: dict[bytes, int] = {}
+        self.id_of, self.ends = [], bytearray()
+        for t in tokens:
+            if data(t) not in ranks:
+                ranks[data(t)] = len(self.id_of)
+                self.id_of.append(vocabulary[t])
+                self.ends.append(t.endswith(end))
+        self.ranks = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
+
+    def _learn_together(self, words: list[str], pieces: list[str]) -> None:
+        """Encode words whose pieces, set apart by spaces, are given."""
+        ids_of, ends = self.id_of.__getitem__, self.ends
+        ranks = self.ranks.encode_ordinary("".join(pieces).lower())
+        ids = self._pack(list(map(ids_of, ranks)))
+        width, start, at = len(ids) // max(1, len(ranks)), 0, 0
+        left = pieces[0].count(" ")
+        memo = self.memo
+        for j, r in enumerate(ranks, 1):
+            if ends[r]:
+                left -= 1
+                if not left:
+                    memo[words[at]] = ids[width * start : width * j]
+                    start, at = j, at + 1
+                    if at < len(words):
+                        left = pieces[at].count(" ")
+
+    def _learn(self, words: list[str]) -> None:
+        if self.ranks:
+            together, pieces = [], []
+            for w in words:
+                core = w.rstrip(_CLOSING)
+                # Other letters may be changed by normalising, or lower-cased by their neighbours.
+                if core.isalpha() and max(core) < "\u0370" and "\u0130" not in core:
+                    together.append(w)
+                    pieces.append(f"{core} {w[len(core):]} " if core != w else f"{w} ")
+            if together:
+                self._learn_together(together, pieces)
+            words = [w for w in words if w not in self.memo]
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.memo[w] = self._pack(e.ids)
 
     def encode(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):  # str.split takes these for white space, the tokenizer doesn't
@@ -53,11 +130,11 @@ class WordTokenizer:
             return b"".join(map(memo.__getitem__, words))
         except KeyError:
             pass
-        if len(memo) > MAX_MEMO:
-            memo.clear()
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = self._pack(e.ids)
+        if len(memo) > MAX_MEMO:  # short words are those that come back
+            self.memo = memo = {w: b for w, b in memo.items() if len(w) < 7} if len(memo) < 2 * MAX_MEMO else {}
+            if len(memo) > MAX_MEMO // 2:
+                memo.clear()
+        self._learn([w for w in dict.fromkeys(words) if w not in memo])
         return b"".join(map(memo.__getitem__, words))
 
 
@@ -76,8 +153,8 @@ def tokenise(df: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_
 
     def run(batches):
         t = worker_tokenizer(path)
-        end, width, before = np.array([end_id], t.kind).tobytes(), int(t.kind[-1]), 0
-        for b in batches:
+        end, width, before = array(t.code, [end_id]).tobytes(), 2 if t.code == "H" else 4, 0
+        for b in pieces(batches):
             ids = [t.encode(x or "") + end for x in b.column(1).to_pylist()]
             n = np.array([len(x) // width for x in ids], np.int64)
             starts = before + np.cumsum(n) - n
@@ -100,7 +177,7 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, i
         at += r["n"]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = [[] for _ in range(8)]
             for doc_id, ids, n, part, before, width in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 begin = base[part] + before
