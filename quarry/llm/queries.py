@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, html, jaccard, packing, pii, quality, simhash, toxicity
+from quarry.llm import bpe, html, jaccard, packing, pii, quality, simhash, substrings, toxicity
 from quarry.session import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, quality.fit_tables(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_with_edit(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER)).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op4_quality_rules, op6_simhash, op7_html_extraction, op8_toxicity_grammar, op9_bpe_round_trip, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op4_quality_rules, op5_repeated_passages, op6_simhash, op7_html_extraction, op8_toxicity_grammar, op9_bpe_round_trip, op10_packing)}
 SQL: dict[str, str] = {}
