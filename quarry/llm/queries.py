@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, html, jaccard, packing, pii, quality, simhash, substrings, toxicity
+from quarry.llm import bpe, html, jaccard, packing, pii, quality, simhash, substrings, toxicity, vectors
 from quarry.session import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return _judged(quality.score(docs, quality.fit_tables(docs, table(spark, sf_dir, "labels"))), 0.3)
@@ -57,5 +61,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER)).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op4_quality_rules, op5_repeated_passages, op6_simhash, op7_html_extraction, op8_toxicity_grammar, op9_bpe_round_trip, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_projection_passes, op4_quality_rules, op5_repeated_passages, op6_simhash, op7_html_extraction, op8_toxicity_grammar, op9_bpe_round_trip, op10_packing)}
 SQL: dict[str, str] = {}
