@@ -7,8 +7,10 @@ one node from the start. The join has three levels of regions:
    at least 0.8 lo are replicated into the ring above them, since a partner may be there.
 2. Projections. A ring cuts the universe of shingles into classes by hash. A node's content in a class is a projection,
    and nodes with equal projections meet in one region; only a digest of it travels. A linked pair of sizes up to b
-   differs in at most 2b/9 shingles, so most projections agree. Where sizes are too small for that, nodes meet by the
-   prefix of their shingles in hash order, which is exact. Nodes that meet, directly or through others, are a family.
+   differs in at most 2b/9 shingles, so many projections agree. Where sizes are too small for that, nodes meet by the
+   prefix of their shingles in hash order, which is exact. A passage that many documents share makes regions, too, so
+   the nodes of a region are compared by 256 signs of random projections, set so that linked pairs pass; nodes that
+   pass, directly or through others, are a family.
 3. Families. Within a family (or a pair of blocks of a large one) a few pivots span Voronoi regions: distances to the
    pivots are computed, documents go to the nearest, and a pair is compared only where the triangle inequality lets its
    distance be small enough, so that documents near a boundary are tried with the neighbouring regions, too. Pairs that
@@ -45,6 +47,7 @@ LEAST_CLASSES, CLASS_SIZE, DIGESTS = 48, 5, 72
 BLOCK = 1500
 PIVOTS = 4
 SKETCH_BITS, SKETCH_MOST = 128, 38  # bits that differ at similarity 0.8: 12.8 on average, standard deviation 3.4
+SIGN_WORDS, SIGN_MOST = 4, 80  # of 256 signs, 38.9 differ at similarity 0.8, standard deviation 5.7
 BROADCAST_ROWS = 200_000
 SEGMENT = 1 << 20
 
@@ -148,6 +151,17 @@ def digests(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def sign_sketch(s: np.ndarray) -> bytes:
+    """Signs of 64 * SIGN_WORDS random projections of the set: for each bit, whether most of its hashes have it."""
+    if not len(s):
+        return bytes(8 * SIGN_WORDS)
+    out = []
+    for k in range(SIGN_WORDS):
+        bits = np.unpackbits(mix(s + _U((k + 3) * 0x9E6C63D0876A9A47 & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(s)).tobytes())
+    return b"".join(out)
+
+
 # --- exact join within a family ----------------------------------------------------------------------------------
 
 
@@ -249,25 +263,26 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def nodes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, check, digests): node and check are the two halves of the set's hash."""
+    """(doc_id, n_shingles, node, check, digests, sketch): node and check are the two halves of the set's hash."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for b in pieces(batches):
-            sizes, hashes, regions = [], [], []
+            sizes, hashes, regions, signs = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, n)
                 sizes.append(len(s))
                 hashes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 regions.append(digests(s).tobytes())
+                signs.append(sign_sketch(s))
             h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(regions, pa.binary())], ["doc_id", "n_shingles", "node", "check", "digests"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(regions, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "node", "check", "digests", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, digests binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, digests binary, sketch binary")
 
 
-def _meetings(nodes: DataFrame, parts: int) -> DataFrame:
-    """(a, b): in each region, every node with the first; a region's rows are two numbers each, sorted in its task."""
+def _regions(nodes: DataFrame, parts: int) -> DataFrame:
+    """(region, node) for the regions of two nodes or more; two numbers travel for each, sorted in the region's task."""
 
     def spread(batches):
         for b in pieces(batches, 2048):
@@ -276,27 +291,73 @@ def _meetings(nodes: DataFrame, parts: int) -> DataFrame:
             node = np.repeat(np.array(b.column(0).to_pylist(), np.int64), counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(node)], ["region", "node"])
 
-    def meet(batches):
+    def several(batches):
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
         if not got:
             return
         region, node = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((node, region))
         region, node = region[order], node[order]
+        fresh = (np.diff(region, prepend=region[:1] - 1) != 0) | (np.diff(node, prepend=node[:1] - 1) != 0)
+        region, node = region[fresh], node[fresh]
+        first = np.flatnonzero(np.diff(region, prepend=region[:1] - 1))
+        size = np.diff(first, append=len(region))
+        keep = np.repeat(size > 1, size)
+        yield pa.RecordBatch.from_arrays([pa.array(region[keep]), pa.array(node[keep])], ["region", "node"])
+
+    return nodes.select("node", "digests").mapInArrow(spread, "region long, node long").repartition(parts, "region").mapInArrow(several, "region long, node long")
+
+
+def _fits(n: np.ndarray, signs: np.ndarray, i, j, percent: int) -> np.ndarray:
+    """Whether sizes and signs allow a link between nodes i and j."""
+    return (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.bitwise_count(signs[i] ^ signs[j]).sum(axis=-1) <= SIGN_MOST)
+
+
+def _meetings(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(a, b): edges that connect the nodes of each region that may be linked."""
+    regions = materialize(_regions(nodes, parts), "regions")
+    signed = regions.join(nodes.select("node", "n_shingles", "sketch"), "node").select("region", "node", "n_shingles", "sketch")
+
+    def meet(batches):
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), _U)) for b in batches if b.num_rows]
+        if not got:
+            return
+        region, node, n, signs = (np.concatenate(x) for x in zip(*got, strict=True))
+        signs = signs.reshape(-1, SIGN_WORDS)
+        order = np.lexsort((node, region))
+        region, node, n, signs = region[order], node[order], n[order], signs[order]
         first = np.flatnonzero(np.diff(region, prepend=region[:1] - 1))
-        head = np.repeat(node[first], np.diff(first, append=len(region)))
-        pairs = np.unique(np.c_[head, node][head != node], axis=0)
+        size = np.diff(first, append=len(region))
+        two = first[size == 2]
+        two = two[_fits(n, signs, two, two + 1, percent)]
+        pairs = [np.stack([node[two], node[two + 1]], axis=1)]
+        for at, g in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            roots = np.arange(g)
+            some, m, sg, found = node[at : at + g], n[at : at + g], signs[at : at + g], []
+            for i in range(g - 1):
+                others = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
+                if len(others):
+                    hit = others[_fits(m, sg, i, others, percent)]
+                    _, one = np.unique(roots[hit], return_index=True)
+                    for j in hit[one].tolist():
+                        found.append((some[i], some[j]))
+                        roots[roots == roots[j]] = roots[i]
+            if found:
+                pairs.append(np.array(found, np.int64))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return nodes.select("node", "digests").mapInArrow(spread, "region long, node long").repartition(parts, "region").mapInArrow(meet, "a long, b long")
+    return signed.repartition(parts, "region").mapInArrow(meet, "a long, b long")
 
 
 def links(df: DataFrame, nodes: DataFrame, percent: int = 80, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): links between nodes that connect whatever links connect."""
+    if percent < 80:
+        raise ValueError("regions and sketches are set for similarities of 0.8 or more")
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    distinct = nodes.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.first("digests").alias("digests"))
-    meetings = materialize(_meetings(distinct, 2 * parts).distinct(), "meetings")
+    distinct = nodes.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("digests").alias("digests"), F.first("sketch").alias("sketch"))
+    meetings = materialize(_meetings(materialize(distinct, "distinct"), 2 * parts, percent).distinct(), "meetings")
     family = materialize(connected_components(meetings), "families")
     sizes = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = family.join(sizes, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
