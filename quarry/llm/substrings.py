@@ -228,8 +228,11 @@ def repeated_spans(df: DataFrame) -> DataFrame:
     return found.groupBy("id", "twin").agg(F.collect_list("spans").alias("spans"))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) and the `carry` columns, for every row."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) and the `carry` columns, for every row.
+
+    With `as_text`, kept is a string, without the bytes of code points that the removal has cut.
+    """
     spark = df.sparkSession
     given = F.col(id_col).cast("long")
     rows = df.select(given.alias("doc_id"), F.coalesce(given, F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_c_{c}") for c in carry))
@@ -262,10 +265,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     steps[end] -= 1
                     kept = data[np.cumsum(steps[:-1]) == 0]
                     removed, runs = len(data) - len(kept), len(start)
-                for column, value in zip(out, (len(data), removed, runs, hashlib.sha256(kept.tobytes()).hexdigest(), kept.tobytes()), strict=True):
+                for column, value in zip(out, (len(data), removed, runs, hashlib.sha256(kept.tobytes()).hexdigest(), kept.tobytes().decode("utf-8", "ignore") if as_text else kept.tobytes()), strict=True):
                     column.append(value)
-            arrays = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+            arrays = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays, *(b.column(4 + i) for i in range(len(names)))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carry])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + (f", {kinds}" if kinds else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if as_text else "binary") + (f", {kinds}" if kinds else "")
     return marked.mapInArrow(cut, schema)
