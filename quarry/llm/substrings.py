@@ -224,6 +224,7 @@ def repeated_spans(df: DataFrame) -> DataFrame:
     joined = df.join(by_id, "id").select("id", "twin", "text", "keys")
     around = joined.mapInArrow(surround, "key long, id long, twin long, at long, first short, last short, bytes binary")
     found = materialize(around.repartition(parts, "key").mapInArrow(order, "id long, twin long, spans binary"), "spans")
+    del joined, around  # else their shuffles stay
     _free(df)
     return found.groupBy("id", "twin").agg(F.collect_list("spans").alias("spans"))
 
