@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions import names, text
+from quarry.operators import grouping, library, manifest, matching
+from quarry.operators.components import connected_components
 from quarry.session import table
+from quarry.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,16 +30,338 @@ def query(sql: str | None = None):
     return add
 
 
+# --- duplicates ----------------------------------------------------------------------------------------------------
+
+
 @query("""
-WITH d AS (SELECT doc_id, source, text, n_chars, sha256(text) AS sha FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, source, n_chars, sha256(text) AS sha FROM documents WHERE text IS NOT NULL),
 g AS (SELECT *, count(*) OVER (PARTITION BY source, sha) AS copies, min(doc_id) OVER (PARTITION BY source, sha) AS keep_id FROM d)
 SELECT doc_id, source, n_chars, substr(sha, 1, 16) AS hash, copies, keep_id, doc_id = keep_id AS keep FROM g WHERE copies > 1
 """)
 def dup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("sha"))
-    w = W.partitionBy("source", "sha")
-    return (
-        docs.select("*", F.count("*").over(w).alias("copies"), F.min("doc_id").over(w).alias("keep_id"))
-        .where("copies > 1")
-        .select("doc_id", "source", "n_chars", F.substring("sha", 1, 16).alias("hash"), "copies", "keep_id", (F.col("doc_id") == F.col("keep_id")).alias("keep"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", "n_chars", "text")
+    same = grouping.same_content(docs, "n_chars", "text", "source").drop("text")
+    kept = F.min("doc_id").over(W.partitionBy("source", "sha"))
+    return same.withColumn("keep_id", kept).select("doc_id", "source", "n_chars", F.substring("sha", 1, 16).alias("hash"), "copies", "keep_id", (F.col("doc_id") == F.col("keep_id")).alias("keep"))
+
+
+@query("""
+WITH g AS (SELECT n_chars, count(*) AS copies FROM documents WHERE n_chars >= 100 GROUP BY n_chars HAVING count(*) > 1)
+SELECT d.doc_id, d.n_chars, g.copies, dense_rank() OVER (ORDER BY d.n_chars) AS grp FROM documents d JOIN g USING (n_chars)
+""")
+def dup_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("n_chars >= 100").select("doc_id", "n_chars")
+    return grouping.numbered(grouping.groups_of(docs, "n_chars"), ["n_chars"], [F.first("n_chars")]).select("doc_id", "n_chars", "copies", "grp")
+
+
+_SENTENCES = r"""
+raw AS (SELECT {id} AS id, regexp_replace({text}, '[​-‏­﻿⁠-⁤]', ' ', 'g') AS t FROM {table}),
+cut AS (SELECT id, t, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?。！？]|[다요죠까네음함임됨])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS s FROM raw),
+r1 AS (SELECT id, t, regexp_replace(s, '(?i)^\s*(?:[•\-*]\s*)?c\d{{1,4}}\s+', '', 'g') AS s FROM cut),
+r2 AS (SELECT id, t, regexp_replace(regexp_replace(s, '(?i)\bchapter\d+_\d+\b', ' ', 'g'), '\b\d+\s*권\s*\d+\s*화\b', ' ', 'g') AS s FROM r1),
+r3 AS (SELECT id, t, regexp_replace(s, '(^|\s)\d+\.\s+([A-Z가-힣■“])', '\1\2', 'g') AS s FROM r2),
+r4 AS (SELECT id, t, regexp_replace(regexp_replace(s, '([A-Za-z][A-Za-z ]{{1,40}})\d+\)', '\1 ', 'g'), '([.!?。！？])\d+\)\s*', '\1 ', 'g') AS s FROM r3),
+r5 AS (SELECT id, t, regexp_replace(regexp_replace(s, '^\s*(?:(?:\*\s*){{1,8}}|[•·ㆍ・]\s*)+', '', 'g'), '\s*[\-–—―─━]{{3,}}\s*', ' ', 'g') AS s FROM r4),
+r6 AS (SELECT id, t, regexp_replace(regexp_replace(s, '[♥❤]\s*', '♥', 'g'), '(\S)\s+([(\[])', '\1\2', 'g') AS s FROM r5),
+r7 AS (SELECT id, t, regexp_replace(regexp_replace(s, '([0-9A-Za-z가-힣])-\s+([0-9A-Za-z가-힣])', '\1-\2', 'g'), '([0-9A-Za-z가-힣])-\s+([0-9A-Za-z가-힣])', '\1-\2', 'g') AS s FROM r6),
+clean AS (SELECT id, t, trim(regexp_replace(s, '\s+', ' ', 'g')) AS s FROM r7)
+"""
+
+
+@query(
+    "WITH "
+    + _SENTENCES.format(id="doc_id", text="text", table="documents WHERE text IS NOT NULL")
+    + """, f AS (SELECT id, sha256(coalesce(string_agg(DISTINCT s, chr(10) ORDER BY s) FILTER (length(s) >= 12), any_value(t))) AS fp FROM clean GROUP BY id),
+g AS (SELECT f.*, d.n_chars, count(*) OVER (PARTITION BY fp) AS copies FROM f JOIN documents d ON d.doc_id = f.id)
+SELECT id AS doc_id, substr(fp, 1, 16) AS fingerprint, copies, row_number() OVER (PARTITION BY fp ORDER BY n_chars DESC, id) = 1 AS keep FROM g WHERE copies > 1
+"""
+)
+def dup_text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs = docs.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id") if docs.rdd.getNumPartitions() < 4 else docs
+    prints = docs.select("doc_id", "n_chars", text.fingerprint(F.col("text")).alias("fp"))
+    kept = grouping.survivor(grouping.groups_of(prints, "fp"), ["fp"], [F.desc("n_chars"), F.col("doc_id")])
+    return kept.select("doc_id", F.substring("fp", 1, 16).alias("fingerprint"), "copies", "keep")
+
+
+@query(
+    "WITH "
+    + _SENTENCES.format(id="doc_id", text="text", table="documents WHERE text IS NOT NULL")
+    + ", target AS (SELECT DISTINCT id, s FROM clean WHERE length(s) >= 12), known AS (SELECT DISTINCT s FROM (WITH "
+    + _SENTENCES.format(id="item_id", text="text", table="benchmark")
+    + """ SELECT s FROM clean WHERE length(s) >= 12))
+SELECT id AS doc_id, count(*) FILTER (s IN (SELECT s FROM known)) AS match_count, count(*) AS sentence_count,
+round(count(*) FILTER (s IN (SELECT s FROM known)) * 100.0 / count(*), 1) AS match_ratio FROM target GROUP BY id HAVING count(*) FILTER (s IN (SELECT s FROM known)) > 0
+"""
+)
+def ref_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, known = table(spark, sf_dir, "documents").where("text IS NOT NULL"), table(spark, sf_dir, "benchmark")
+    return matching.reference_matches(docs, "doc_id", "text", known, "item_id", "text")
+
+
+@query(r"""
+WITH t AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM pages)
+SELECT page_id, length(body) AS body_chars, sha256(body) AS body_sha FROM t
+""")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = table(spark, sf_dir, "pages").select("page_id", text.normalise(F.col("html")).alias("body"))
+    return body.select("page_id", F.length("body").cast("long").alias("body_chars"), F.sha2("body", 256).alias("body_sha"))
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, lang || ':' || substr(text, 1, 40) AS title, sha256(text) AS sha FROM documents WHERE length(text) >= 40),
+s AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY title) AS b FROM d UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY sha) FROM d),
+e AS (SELECT a, b FROM s WHERE a <> b UNION SELECT b, a FROM s WHERE a <> b),
+r(node, label) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON r.node = e.a WHERE r.label < e.b),
+c AS (SELECT node, min(label) AS component FROM r GROUP BY node)
+SELECT node AS doc_id, component, count(*) OVER (PARTITION BY component) AS members, node = component AS keep FROM c
+""")
+def comprehensive_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 40").select("doc_id", F.concat("lang", F.lit(":"), F.substring("text", 1, 40)).alias("title"), F.sha2("text", 256).alias("sha"))
+    edges = [docs.join(docs.groupBy(key).agg(F.min("doc_id").alias("b")), key).select(F.col("doc_id").alias("a"), "b") for key in ("title", "sha")]
+    found = connected_components(edges[0].unionByName(edges[1]))
+    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+    return found.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "members", (F.col("node") == F.col("component")).alias("keep"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, sha256(text) AS sha, n_chars, lang FROM documents WHERE text IS NOT NULL),
+g AS (SELECT *, count(*) OVER (PARTITION BY sha) AS copies, count(DISTINCT lang) OVER (PARTITION BY sha) AS langs,
+first_value(source) OVER (PARTITION BY sha ORDER BY doc_id) AS keep_source, first_value(doc_id) OVER (PARTITION BY sha ORDER BY doc_id) AS keep_id FROM d)
+SELECT doc_id, CASE WHEN doc_id = keep_id OR source = keep_source THEN 'certain' ELSE 'review' END AS confidence,
+CASE WHEN doc_id = keep_id THEN 'keep' WHEN source = keep_source THEN 'duplicate' ELSE 'review' END AS verdict FROM g WHERE copies > 1
+""")
+def duplicate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", F.sha2("text", 256).alias("sha"))
+    keepers = docs.groupBy("sha").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "source")).alias("k")).where("n > 1")
+    kept, alike = F.col("doc_id") == F.col("k.doc_id"), F.col("source") == F.col("k.source")
+    verdict = F.when(kept, "keep").when(alike, "duplicate").otherwise("review")
+    return docs.join(keepers, "sha").select("doc_id", F.when(kept | alike, "certain").otherwise("review").alias("confidence"), verdict.alias("verdict"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'volume:' || (p_size % 5) END AS signature FROM part),
+m AS (SELECT p_brand, count(DISTINCT nullif(signature, '')) AS n FROM p GROUP BY p_brand)
+SELECT p_partkey, p_brand, CASE WHEN n > 1 THEN signature ELSE '' END AS part FROM p JOIN m USING (p_brand)
+""")
+def volume_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signature = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit("volume:"), (F.col("p_size") % 5).cast("string")))
+    return grouping.split_by_volume(table(spark, sf_dir, "part").select("p_partkey", "p_brand", signature.alias("signature")), "p_brand", "signature").select("p_partkey", "p_brand", "part")
+
+
+# --- bags, manifests, comparisons ------------------------------------------------------------------------------------
+
+
+@query("""
+WITH h AS (SELECT conv_id AS o, md5(role || ':' || text) AS i, count(*) AS m FROM conversations GROUP BY ALL HAVING i IS NOT NULL),
+s AS (SELECT o, sum(m) AS size FROM h GROUP BY o),
+c AS (SELECT x.o AS a, y.o AS b, sum(least(x.m, y.m)) AS common FROM h x JOIN h y ON x.i = y.i AND x.o < y.o GROUP BY ALL)
+SELECT a, b, CAST(common AS BIGINT) AS common, CAST(p.size AS BIGINT) AS size_a, CAST(q.size AS BIGINT) AS size_b,
+CASE WHEN common = p.size AND common = q.size THEN 'exact' WHEN common = p.size THEN 'subset' WHEN common = q.size THEN 'superset' ELSE 'partial' END AS relation
+FROM c JOIN s p ON p.o = a JOIN s q ON q.o = b
+""")
+def archive_bag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("role IS NOT NULL AND text IS NOT NULL")
+    return matching.bag_overlaps(turns.select("conv_id", F.md5(F.concat("role", F.lit(":"), "text")).alias("item")), "conv_id", "item")
+
+
+@query("""
+WITH m AS (SELECT sha256(text) AS sha, min(doc_id) AS matched FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL GROUP BY ALL)
+SELECT doc_id AS location, CASE WHEN m.sha IS NULL THEN 'new' ELSE 'have' END AS status, m.matched
+FROM documents d LEFT JOIN m ON sha256(d.text) = m.sha WHERE doc_id % 2 = 1 AND d.text IS NOT NULL
+""")
+def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return manifest.check(docs.where("doc_id % 2 = 1"), "doc_id", "text", manifest.entries(docs.where("doc_id % 2 = 0"), "doc_id", "text"))
+
+
+@query("""
+WITH x AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0),
+y AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT coalesce(x.o_orderkey, y.o_orderkey) AS o_orderkey, CASE WHEN y.o_orderkey IS NULL THEN 'left_only' WHEN x.o_orderkey IS NULL THEN 'right_only'
+WHEN x.o_orderstatus = y.o_orderstatus AND x.o_orderpriority = y.o_orderpriority THEN 'same' ELSE 'changed' END AS status FROM x FULL JOIN y ON x.o_orderkey = y.o_orderkey
+""")
+def full_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    changed = orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return matching.full_compare(orders.where("o_orderkey % 3 <> 0"), changed.where("o_orderkey % 5 <> 0"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(r"""
+WITH b AS (SELECT item_id, lower(regexp_replace(text, '\s+', '', 'g')) AS f FROM benchmark),
+g AS (SELECT DISTINCT item_id, substr(f, i, 4) AS gram FROM b, unnest(generate_series(1, length(f) - 3)) AS u(i)),
+n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id),
+m AS (SELECT x.item_id AS left_id, y.item_id AS right_id, count(*) AS shared FROM g x JOIN g y USING (gram) WHERE x.item_id % 2 = 0 AND y.item_id % 2 = 1 GROUP BY ALL),
+k AS (SELECT m.*, shared / least(p.n, q.n) AS overlap, row_number() OVER (PARTITION BY left_id ORDER BY shared DESC, right_id) AS r FROM m JOIN n p ON p.item_id = left_id JOIN n q ON q.item_id = right_id)
+SELECT left_id, right_id, shared, round(overlap, 6) AS overlap FROM k WHERE r <= 8 AND overlap >= 0.12
+""")
+def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    left, right = items.where("item_id % 2 = 0").select(F.col("item_id").alias("left_id"), "text"), items.where("item_id % 2 = 1").select(F.col("item_id").alias("right_id"), F.col("text").alias("text2"))
+    return matching.gram_candidates(left, "left_id", "text", right, "right_id", "text2")
+
+
+@query("""
+SELECT 'both' AS side, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+UNION ALL SELECT 'unlabelled', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT 'lengths', n_chars FROM (SELECT n_chars FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT n_chars FROM documents WHERE doc_id % 2 = 1)
+""")
+def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    even, odd = docs.where("doc_id % 2 = 0").select("n_chars"), docs.where("doc_id % 2 = 1").select("n_chars")
+    parts = [("both", docs.select("doc_id").intersect(labels.select("doc_id"))), ("unlabelled", docs.select("doc_id").subtract(labels.select("doc_id"))), ("lengths", even.exceptAll(odd).withColumnRenamed("n_chars", "doc_id"))]
+    out = [d.select(F.lit(side).alias("side"), "doc_id") for side, d in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+# --- names -----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, lower(event_type), event_type) AS r FROM c) WHERE r = 1
+""")
+def author_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.modes(table(spark, sf_dir, "events").select("user_id", "event_type"), "user_id", "event_type")
+
+
+@query(r"""
+WITH t AS (SELECT p_partkey, p_name, trim(regexp_replace(replace(p_name, '_', ' '), '\s+', ' ', 'g')) || ' ' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS target FROM part)
+SELECT p_partkey, target, CASE WHEN target = p_name THEN 'unchanged' WHEN count(*) OVER (PARTITION BY target) > 1 THEN 'target duplicated' ELSE 'ready' END AS status FROM t
+""")
+def rename_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("source"), F.concat(names.underscores_to_spaces(F.col("p_name")), F.lit(" "), F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("target"))
+    return library.rename_status(plan).select("p_partkey", "target", "status")
+
+
+@query()
+def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All name fields of URL tails and part names; the rules are those of the golden tables in the tests."""
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "([^/]+)/?$", 1).alias("name"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    return pages.unionByName(parts).distinct().withColumn("f", names.name_fields("name")).select("name", "f.*")
+
+
+@query(r"""
+WITH u AS (SELECT page_id, regexp_replace(url, '^.*[/\\]', '') AS tail FROM pages)
+SELECT page_id, lower(regexp_extract(tail, '[^.].*?(\.[^.]+)$', 1)) AS ext, lower(regexp_replace(tail, '\s+', '', 'g')) AS key FROM u
+""")
+def url_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.regexp_replace("url", r"^.*[/\\]", "")
+    return table(spark, sf_dir, "pages").select("page_id", names.extension(F.col("url")).alias("ext"), names.key_of(tail).alias("key"))
+
+
+# --- library ---------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT o_custkey AS work, count(*) AS files, max(o_orderdate) AS latest, bool_or(o_orderstatus = 'F') AS complete,
+min_by(o_orderpriority, o_orderkey) AS first_priority, count(DISTINCT o_orderstatus) AS statuses FROM orders GROUP BY o_custkey
+""")
+def work_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("work")).agg(
+        F.count("*").alias("files"), F.max("o_orderdate").alias("latest"), F.bool_or(F.col("o_orderstatus") == "F").alias("complete"), F.min_by("o_orderpriority", "o_orderkey").alias("first_priority"), F.countDistinct("o_orderstatus").alias("statuses")
     )
+
+
+@query("""
+WITH v AS (SELECT l_orderkey, l_suppkey % 10 AS volume, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l_orderkey AS work, CAST(sum(n - 1) AS BIGINT) AS removable, CASE WHEN count(*) FILTER (volume <> 0) > 1 THEN count(*) FILTER (volume <> 0) ELSE 0 END AS series FROM v GROUP BY l_orderkey
+""")
+def dup_vs_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.duplicates_or_series(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work"), (F.col("l_suppkey") % 10).alias("volume")), "work", "volume")
+
+
+@query("SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source ORDER BY files DESC, source LIMIT 6")
+def dashboard_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars")).orderBy(F.desc("files"), "source").limit(6)
+
+
+@query(r"""
+SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(p_type), '[,\s]+')) AS tag FROM part) WHERE tag <> '' GROUP BY tag ORDER BY n DESC, tag LIMIT 8
+""")
+def tag_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.top_tags(table(spark, sf_dir, "part"), "p_type", 8)
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent FROM pages),
+c AS (SELECT parent, count(*) AS n FROM p GROUP BY parent ORDER BY n DESC, parent LIMIT 80),
+r AS (SELECT p.*, n, row_number() OVER (PARTITION BY parent ORDER BY page_id) AS item FROM p JOIN c USING (parent))
+SELECT parent, n, page_id FROM r WHERE item <= 120
+""")
+def folder_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^(.*)/[^/]*$", 1).alias("parent"))
+    return library.folder_report(pages, "parent", "page_id")
+
+
+@query("""
+WITH k AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS keyword FROM part)
+SELECT keyword, p_partkey FROM k JOIN part ON contains(lower(p_name), keyword)
+""")
+def track_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    keywords = part.select(F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("keyword")).distinct()
+    return library.track(part.select("p_partkey", F.lower("p_name").alias("title")), "title", keywords).select("keyword", "p_partkey")
+
+
+@query("""
+SELECT doc_id, source, lang FROM documents d WHERE EXISTS (SELECT 1 FROM documents e WHERE e.source = d.source AND e.lang = d.lang AND contains(lower(e.text), 'trash'))
+""")
+def query_filter_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    return grouping.whole_groups_matching(docs, ["source", "lang"], F.lower("text").contains("trash")).select("doc_id", "source", "lang")
+
+
+@query("""
+SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts DESC, event_id) AS r FROM events) WHERE r = 1
+""")
+def latest_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts", "value")
+    best = grouping.survivor(events, ["user_id"], [F.desc("value"), F.desc("ts"), F.col("event_id")])
+    return best.where("keep").select("user_id", "event_id", "event_type", "ts")
+
+
+@query("""
+SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS lf, length(text) - length(replace(text, chr(13), '')) AS cr,
+length(regexp_replace(text, '[^ ]', '', 'g')) AS spaces, len(string_split(text, chr(10))) AS lines FROM documents WHERE text IS NOT NULL
+""")
+def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", *library.storage_profile(F.col("text")))
+
+
+# --- incremental work ------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0) ORDER BY doc_id LIMIT 100
+""")
+def bad_record_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bad = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").where("quality = 0")
+    return incremental.within_budget(incremental.without_bad(docs, bad, "doc_id"), "doc_id", 100)
+
+
+@query("""
+WITH o AS (SELECT user_id, event_id, event_type = 'error' AS bad, ts FROM events),
+r AS (SELECT *, count(*) FILTER (NOT bad) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM o),
+s AS (SELECT user_id, run, count(*) FILTER (bad) AS n FROM r GROUP BY ALL)
+SELECT user_id, max(n) AS longest, CAST(sum(n) AS BIGINT) AS total, max(n) >= 3 OR sum(n) >= 12 AS tripped FROM s GROUP BY user_id
+""")
+def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.when(F.col("event_type") == "error", "device").otherwise("ok").alias("outcome"))
+    return incremental.breaker(events, ["user_id"], ["ts", "event_id"], "outcome", 3, 12)
+
+
+@query("""
+SELECT event_id, event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 20 SECOND PRECEDING AND CURRENT ROW) AS recent FROM events
+""")
+def rate_20s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    return incremental.trailing_count(events, "event_type", "ts", 20).select("event_id", "event_type", "recent")
+
+
+@query("""
+SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'miss' ELSE 'hit' END AS cache FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
+""")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.cache_state(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id").distinct(), ["doc_id"])
