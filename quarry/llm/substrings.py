@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -130,9 +131,14 @@ def _bytes(text: str | None) -> np.ndarray:
 
 
 def _free(df: DataFrame) -> None:
-    """Let Spark delete the files of shuffles that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark delete the files of shuffles that nothing refers to any more.
+
+    Twice with a pause: the first time, events of the last query that still wait for listeners may refer to them.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _small(df: DataFrame) -> DataFrame:
