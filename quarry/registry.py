@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import names, text
 from quarry.operators import grouping, library, manifest, matching
 from quarry.operators.components import connected_components
-from quarry.session import table
+from quarry.session import spread, table
 from quarry.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,8 +77,7 @@ SELECT id AS doc_id, substr(fp, 1, 16) AS fingerprint, copies, row_number() OVER
 """
 )
 def dup_text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    docs = docs.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id") if docs.rdd.getNumPartitions() < 4 else docs
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "n_chars", "text"))
     prints = docs.select("doc_id", "n_chars", text.fingerprint(F.col("text")).alias("fp"))
     kept = grouping.survivor(grouping.groups_of(prints, "fp"), ["fp"], [F.desc("n_chars"), F.col("doc_id")])
     return kept.select("doc_id", F.substring("fp", 1, 16).alias("fingerprint"), "copies", "keep")
@@ -95,7 +94,7 @@ round(count(*) FILTER (s IN (SELECT s FROM known)) * 100.0 / count(*), 1) AS mat
 """
 )
 def ref_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, known = table(spark, sf_dir, "documents").where("text IS NOT NULL"), table(spark, sf_dir, "benchmark")
+    docs, known = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")), table(spark, sf_dir, "benchmark")
     return matching.reference_matches(docs, "doc_id", "text", known, "item_id", "text")
 
 
@@ -104,7 +103,7 @@ WITH t AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(r
 SELECT page_id, length(body) AS body_chars, sha256(body) AS body_sha FROM t
 """)
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = table(spark, sf_dir, "pages").select("page_id", text.normalise(F.col("html")).alias("body"))
+    body = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", text.normalise(F.col("html")).alias("body"))
     return body.select("page_id", F.length("body").cast("long").alias("body_chars"), F.sha2("body", 256).alias("body_sha"))
 
 

@@ -32,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the table has fewer files than there are cores; else as it is.
+
+    Work per row is heavy in text operators, and a file of one row group is one task however many cores wait.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir; a local default is set only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
