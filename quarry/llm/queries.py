@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, html, jaccard, packing, pii, quality, simhash, substrings, toxicity, vectors
-from quarry.session import table
+from quarry.session import spread, table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -20,11 +20,11 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(table(spark, sf_dir, "documents"))
+    return jaccard.components(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,33 +32,33 @@ def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return _judged(quality.score(docs, quality.fit_tables(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.remove_repeats(spread(table(spark, sf_dir, "documents"))).drop("kept")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.compare_with_edit(table(spark, sf_dir, "documents"))
+    return simhash.compare_with_edit(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return _judged(toxicity.score(docs, toxicity.fit_tables(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
+    return bpe.round_trip(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER)).drop("ids")
+    return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(WORD_TOKENIZER)).drop("ids")
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard_join, op3_projection_passes, op4_quality_rules, op5_repeated_passages, op6_simhash, op7_html_extraction, op8_toxicity_grammar, op9_bpe_round_trip, op10_packing)}
