@@ -10,7 +10,8 @@ Whole documents can't be the strings: there would be as many rounds as the longe
 data. So the strings are the surroundings of anchors. An anchor is a 24-byte string with the lowest hash among those
 within some 50-byte window; equal windows have equal anchors at equal places, so a shared window shows as a shared
 anchor. One pass finds the anchors that two documents share; only those get a row of at most 76 bytes (the windows that
-cover an anchor), and rows of equal anchors go to one task, where 76 rounds at most order them exactly, on bytes.
+cover an anchor), and rows of equal anchors go to one task, where 76 rounds at most order them exactly, on bytes. What many documents share is thinned out before: a task
+passes on one row for each distinct surrounding.
 
 What every step keeps between rounds lies in files that are written and read in sequence: shuffles and tables in the
 shared folder.
@@ -28,10 +29,12 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import pieces
+from quarry.llm.jaccard import mix
 from quarry.session import materialize
 
 LENGTH = 50
@@ -39,6 +42,7 @@ GRAM = 24
 SIDE = LENGTH - GRAM  # bytes beside an anchor that a window can reach
 WIDTH = GRAM + 2 * SIDE
 BROADCAST_ROWS = 100_000
+FLUSH_KEYS, FLUSH_ROWS = 1_000_000, 200_000  # what a task holds before it passes on
 NO_ID = (1 << 63) - 1
 
 _U = np.uint64
@@ -154,24 +158,53 @@ def repeated_spans(df: DataFrame) -> DataFrame:
     parts = 2 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def find(batches):
+        """Anchors of the task's documents. `to` deals a row out: by key where other tasks may know more about it, by id
+        where the task has seen that two documents share it; of such a key only its smallest and largest id go by key.
+        """
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            key, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((doc, key))
+            key, doc = key[order].view(np.int64), doc[order]
+            at = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+            size = np.diff(at, append=len(key))
+            low, high = doc[at], doc[at + size - 1]
+            known = np.repeat(low < high, size)
+            ends = at[low < high]
+            tops = ends + size[low < high] - 1
+            keys = np.concatenate([key[~known], key[ends], key[tops], key[known]])
+            docs = np.concatenate([doc[~known], doc[ends], doc[tops], doc[known]])
+            flags = np.zeros(len(keys), bool)
+            flags[len(keys) - int(known.sum()) :] = True
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs), pa.array(flags)], ["key", "id", "known"])
+
+        n = 0
         for b in pieces(batches):
-            keys, ids = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own = np.unique(anchors(_bytes(text))[1])
-                keys.append(own)
-                ids.append(np.full(len(own), i, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
+                held.append((own, np.full(len(own), i, np.int64)))
+                n += len(own)
+            if n > FLUSH_KEYS:
+                yield from flush()
+                n = 0
+        if held:
+            yield from flush()
 
     def share(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
         if not got:
             return
-        key, doc = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        at = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-        several = np.repeat(np.maximum.reduceat(doc, at) > np.minimum.reduceat(doc, at), np.diff(at, append=len(key)))
-        key, doc = key[several], doc[several]
+        key, doc, known = (np.concatenate(x) for x in zip(*got, strict=True))
+        k, d = key[~known], doc[~known]
+        order = np.lexsort((d, k))
+        k, d = k[order], d[order]
+        at = np.flatnonzero(np.diff(k, prepend=k[:1] - 1))
+        if len(at):
+            several = np.repeat(np.maximum.reduceat(d, at) > np.minimum.reduceat(d, at), np.diff(at, append=len(k)))
+            k, d = k[several], d[several]
+        key, doc = np.concatenate([k, key[known]]), np.concatenate([d, doc[known]])
         if not len(key):
             return
         order = np.argsort(doc, kind="stable")
@@ -182,13 +215,37 @@ def repeated_spans(df: DataFrame) -> DataFrame:
             ends = np.append(at[lo + 1 : lo + 4096], at[lo + 4096] if lo + 4096 < len(at) else len(doc))
             yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array([key[s:e].tobytes() for s, e in zip(some, ends, strict=True)], pa.binary())], ["id", "keys"])
 
-    shared = materialize(df.mapInArrow(find, "key long, id long").repartition(parts, "key").mapInArrow(share, "id long, keys binary"), "shared")
+    shared = materialize(df.mapInArrow(find, "key long, id long, known boolean").repartition(parts, F.when(F.col("known"), F.xxhash64("id")).otherwise(F.col("key"))).mapInArrow(share, "id long, keys binary"), "shared")
     _free(df)
     by_id = shared.groupBy("id").agg(F.collect_list("keys").alias("keys"))
 
     def surround(batches):
+        """Rows around the shared anchors. A row that equals one of a smaller id in its task needs no other: all its
+        windows are covered, and it goes on as a span (without bytes) to the task of its id. So what very many documents
+        share reaches the task of its key once from each task, not once from each document.
+        """
+        held, n = [[] for _ in range(7)], 0
+
+        def flush():
+            key, doc, twin, at, first, last = (np.concatenate(c).astype(np.int64) for c in held[:6])
+            block = np.concatenate(held[6])
+            for column in held:
+                column.clear()
+            digest = mix(key.view(_U) ^ mix((first * 256 + last).view(_U)))
+            for c in range(0, WIDTH, 4):
+                digest = mix(digest ^ np.ascontiguousarray(block[:, c : c + 4]).view(np.uint32)[:, 0].astype(_U))
+            order = np.lexsort((doc, digest))
+            head = np.flatnonzero(np.diff(digest[order], prepend=digest[order][:1] - _U(1)))
+            lead = np.empty(len(order), np.int64)
+            lead[order] = np.repeat(order[head], np.diff(head, append=len(order)))
+            done = (doc > doc[lead]) & (key == key[lead]) & (first == first[lead]) & (last == last[lead]) & (block == block[lead]).all(axis=1)
+            strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(key), [None, pa.py_buffer(np.ascontiguousarray(block))]).cast(pa.binary())
+            strings = pc.if_else(pa.array(done), pa.scalar(None, pa.binary()), strings)
+            keep = pa.array(last - first >= LENGTH)
+            out = pa.RecordBatch.from_arrays([*map(pa.array, (key, doc, twin, at)), pa.array(first.astype(np.int16)), pa.array(last.astype(np.int16)), strings], ["key", "id", "twin", "at", "first", "last", "bytes"])
+            yield out.filter(keep)
+
         for b in pieces(batches, 64):
-            out = [[] for _ in range(7)]
             for i, twin, text, keys in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = _bytes(text)
                 at, own = anchors(data)
@@ -197,39 +254,45 @@ def repeated_spans(df: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 block, first, last = contexts(data, at)
-                for column, value in zip(out, (own.view(np.int64), np.full(len(at), i), np.full(len(at), twin), at, first, last, block.tobytes()), strict=True):
+                for column, value in zip(held, (own.view(np.int64), np.full(len(at), i), np.full(len(at), twin), at, first, last, block), strict=True):
                     column.append(value)
-            if out[0]:
-                numbers = [pa.array(np.concatenate(c).astype(np.int64)) for c in out[:6]]
-                data = b"".join(out[6])
-                strings = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(numbers[0]), [None, pa.py_buffer(data)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*numbers[:4], numbers[4].cast(pa.int16()), numbers[5].cast(pa.int16()), strings], ["key", "id", "twin", "at", "first", "last", "bytes"])
+                n += len(at)
+            if n > FLUSH_ROWS:
+                yield from flush()
+                n = 0
+        if n:
+            yield from flush()
 
     def order(batches):
-        got = [(*(c.to_numpy() for c in b.columns[:6]), np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8)) for b in batches if b.num_rows]
-        if not got:
-            return
-        _, doc, twin, at, first, last, data = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        rows, starts = [], []
-        for c, hit in covered(data.reshape(-1, WIDTH), first, last, doc):
-            rows.append(hit)
-            starts.append(at[hit] - SIDE + c)
-        if not rows:
+        got, spans_of = [], []
+        for b in batches:
+            ready = pc.is_null(b.column(6))
+            easy, hard = b.filter(ready), b.filter(pc.invert(ready))
+            if easy.num_rows:
+                doc, twin, at, first, last = (easy.column(i).to_numpy().astype(np.int64) for i in range(1, 6))
+                spans_of.append((doc, twin, at - SIDE + first, at - SIDE + last))
+            if hard.num_rows:
+                got.append((*(c.to_numpy() for c in hard.columns[1:6]), np.frombuffer(b"".join(hard.column(6).to_pylist()), np.uint8)))
+        if got:
+            doc, twin, at, first, last, data = (np.concatenate(x) for x in zip(*got, strict=True))
+            del got
+            for c, hit in covered(data.reshape(-1, WIDTH), first, last, doc):
+                start = at[hit] - SIDE + c
+                spans_of.append((doc[hit], twin[hit], start, start + LENGTH))
+        if not spans_of:
             return
-        rows, start = np.concatenate(rows), np.concatenate(starts)
-        place = np.lexsort((start, twin[rows], doc[rows]))
-        rows, start = rows[place], start[place]
-        owner, twins = doc[rows], twin[rows]
+        owner, twins, start, end = (np.concatenate(x) for x in zip(*spans_of, strict=True))
+        place = np.lexsort((start, twins, owner))
+        owner, twins, start, end = owner[place], twins[place], start[place], end[place]
         cut = np.flatnonzero((np.diff(owner, prepend=owner[:1] - 1) != 0) | (np.diff(twins, prepend=twins[:1] - 1) != 0))
         spans = []
-        for s, e in zip(cut, np.append(cut[1:], len(rows)), strict=True):
-            spans.append(np.stack(merge(start[s:e], start[s:e] + LENGTH), axis=1).tobytes())
+        for s, e in zip(cut, np.append(cut[1:], len(owner)), strict=True):
+            spans.append(np.stack(merge(start[s:e], end[s:e]), axis=1).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(owner[cut]), pa.array(twins[cut]), pa.array(spans, pa.binary())], ["id", "twin", "spans"])
 
     joined = df.join(by_id, "id").select("id", "twin", "text", "keys")
     around = joined.mapInArrow(surround, "key long, id long, twin long, at long, first short, last short, bytes binary")
-    found = materialize(around.repartition(parts, "key").mapInArrow(order, "id long, twin long, spans binary"), "spans")
+    found = materialize(around.repartition(parts, F.when(F.col("bytes").isNull(), F.xxhash64("id")).otherwise(F.col("key"))).mapInArrow(order, "id long, twin long, spans binary"), "spans")
     del joined, around  # else their shuffles stay
     _free(df)
     return found.groupBy("id", "twin").agg(F.collect_list("spans").alias("spans"))
