@@ -5,8 +5,8 @@ other. Vectors that point the same way share a long beginning, so they are close
 the vectors of its chunk of the order and of the next. Passes use fresh projections, and what one misses another finds.
 Links are exact: the cosine is computed in double precision.
 
-A dense region, of which the links reach the end of the next chunk, is followed from chunk to chunk until no link is
-found, so that bounded windows lose nothing there. A pair is counted in the first pass that compares it: every vector
+A dense region, of which the links fill the end of the next chunk, is followed from chunk to chunk as long as they do, so
+that bounded windows lose nothing there. A pair is counted in the first pass that compares it: every vector
 carries its chunks of the earlier passes. Pairs never leave their task; it hands on a number of links for each vector
 and the few edges that connect what is linked.
 
@@ -30,6 +30,7 @@ from quarry.session import materialize
 
 PASSES = 8
 CHUNK = 512
+DENSE = 16
 THRESHOLD = 0.98
 SEED = 11
 
@@ -90,30 +91,32 @@ def _ranked(rows: DataFrame, number: int, parts: int) -> DataFrame:
     placed = materialize(placed, f"pass{number}")
     base, n = [], 0
     for r in placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one number for each task
-        base += [F.lit(r["part"]), F.lit(n)]
+        base.append((r["part"], n))
         n += r["n"]
-    start = F.create_map(*base)[F.col("part")] if base else F.lit(0)
-    return placed.withColumn(f"c{number}", F.floor((start + F.col("at")) / CHUNK).cast("long")).drop("part", "at", f"h{number}")
+    starts = F.broadcast(rows.sparkSession.createDataFrame(base, "part int, start long"))  # one row for each task
+    rank = F.col("start") + F.col("at")
+    placed = placed.drop("place").join(starts, "part")
+    return placed.withColumns({f"c{number}": F.floor(rank / CHUNK).cast("long"), "place": (rank % CHUNK).cast("int")}).drop("part", "at", "start", f"h{number}")
 
 
 def _compared(rows: DataFrame, number: int, gap: int, active: set[int] | None, far: list[set[tuple[int, int]]], threshold: float, parts: int) -> DataFrame:
     """(uid, links, a, b, reach): the links between each chunk and the one `gap` behind it (with gap 1, also within it).
 
     Rows with uid count links that no earlier pass has compared; rows with a and b connect; `reach` names chunks of
-    which the links go on. `far`: the pairs of chunks beyond neighbours that each pass has compared.
+    which the links go on: at least DENSE of them with the last quarter of the other chunk. `far`: the pairs of chunks beyond neighbours that each pass has compared.
     """
     c = F.col(f"c{number}")
     earlier = [f"c{p}" for p in range(number)]
     own = F.struct(c.alias("g"), F.lit(0).alias("side"))
     other = F.struct((c - gap).alias("g"), F.lit(1).alias("side"))
-    dealt = rows.select("uid", "label", "dim", "unit", *earlier, F.explode(F.array(own, other)).alias("p")).select("p.g", "p.side", "uid", "label", "dim", "unit", *earlier).where("g >= 0")
+    dealt = rows.select("uid", "label", "dim", "unit", "place", *earlier, F.explode(F.array(own, other)).alias("p")).select("p.g", "p.side", "uid", "label", "dim", "unit", "place", *earlier).where("g >= 0")
     if active is not None:
         dealt = dealt.where(F.col("g").isin(sorted(active)))
     dealt = dealt.repartition(parts, "g").sortWithinPartitions("g", "side", "label", "uid")
 
-    def compare(g, side, uid, label, dim, unit, chunks):
-        side, uid = np.array(side), np.array(uid)
-        count, edges, reach = np.zeros(len(uid), np.int64), [], False
+    def compare(g, side, uid, label, dim, unit, place, chunks):
+        side, uid, place = np.array(side), np.array(uid), np.array(place)
+        count, edges, far_end = np.zeros(len(uid), np.int64), [], 0
         groups: dict[tuple, list[int]] = {}
         for i, k in enumerate(zip(label, dim, strict=True)):
             groups.setdefault(k, []).append(i)
@@ -132,7 +135,7 @@ def _compared(rows: DataFrame, number: int, gap: int, active: set[int] | None, f
             if not len(i):
                 continue
             i, j = left[i], right[j]
-            reach |= bool((side[j] == 1).any())
+            far_end += int(((side[j] == 1) & (place[j] >= CHUNK * 3 // 4)).sum())
             parent: dict[int, int] = {}
 
             def root(k, parent=parent):
@@ -157,6 +160,7 @@ def _compared(rows: DataFrame, number: int, gap: int, active: set[int] | None, f
                             fresh[k] = False
             np.add.at(count, i[fresh], 1)
             np.add.at(count, j[fresh], 1)
+        reach = far_end >= min(DENSE, CHUNK // 8)
         some = np.flatnonzero(count)
         n, m = len(some), len(edges)
         none = [None]
@@ -169,17 +173,17 @@ def _compared(rows: DataFrame, number: int, gap: int, active: set[int] | None, f
         )
 
     def run(batches):
-        at, held = None, [[] for _ in range(5 + len(earlier))]
+        at, held = None, [[] for _ in range(6 + len(earlier))]
         for b in pieces(batches, 1024):
             for g, *values in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if g != at and held[0]:
-                    yield compare(at, *held[:5], held[5:])
+                    yield compare(at, *held[:6], held[6:])
                     held = [[] for _ in held]
                 at = g
                 for column, value in zip(held, values, strict=True):
                     column.append(value)
         if held[0]:
-            yield compare(at, *held[:5], held[5:])
+            yield compare(at, *held[:6], held[6:])
 
     return dealt.mapInArrow(run, "uid long, links long, a long, b long, reach long")
 
@@ -189,7 +193,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, passes: int = P
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     every = materialize(_prepared(df, passes, id_col, vector_col, label_col), "vectors")
-    rows, found, far = every.where("dim > 0").drop("vec_id"), None, []
+    rows, found, far = every.where("dim > 0").drop("vec_id").withColumn("place", F.lit(0)), None, []
     for number in range(passes):
         rows = _ranked(rows, number, parts)
         gap, active, followed = 1, None, set()
