@@ -50,14 +50,16 @@ def bag_overlaps(bag: DataFrame, owner: str, item: str) -> DataFrame:
     return out.select("a", "b", "common", "size_a", "size_b", relation.alias("relation"))
 
 
-def gram_candidates(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid: str, rtext: str, n: int = 4, top: int = 8, least: float = 0.12) -> DataFrame:
+def gram_candidates(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid: str, rtext: str, n: int = 4, top: int = 8, least: float = 0.12, within: bool = False) -> DataFrame:
     """(lid, rid, shared, overlap): for each left text the `top` right texts by shared character n-grams.
 
-    `overlap` is the share of the smaller set; ties go to the smaller right id.
+    `overlap` is the share of the smaller set; ties go to the smaller right id. With `within`, both sides are one table,
+    and no text is its own candidate.
     """
     a = left.select(F.col(lid), char_grams(F.col(ltext), n).alias("g")).select(lid, F.size("g").alias("na"), F.explode("g").alias("gram"))
     b = right.select(F.col(rid), char_grams(F.col(rtext), n).alias("g")).select(rid, F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    met = a.join(b, "gram").groupBy(lid, rid).agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    joined = a.join(b, "gram")
+    met = (joined.where(F.col(lid) != F.col(rid)) if within else joined).groupBy(lid, rid).agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     met = met.withColumn("overlap", F.col("shared") / F.least("na", "nb"))
     rank = F.row_number().over(W.partitionBy(lid).orderBy(F.desc("shared"), rid))
     return met.withColumn("_r", rank).where((F.col("_r") <= top) & (F.col("overlap") >= least)).select(lid, rid, "shared", F.round("overlap", 6).alias("overlap"))

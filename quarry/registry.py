@@ -165,54 +165,73 @@ def archive_bag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT sha256(text) AS sha, min(doc_id) AS matched FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL GROUP BY ALL)
-SELECT doc_id AS location, CASE WHEN m.sha IS NULL THEN 'new' ELSE 'have' END AS status, m.matched
-FROM documents d LEFT JOIN m ON sha256(d.text) = m.sha WHERE doc_id % 2 = 1 AND d.text IS NOT NULL
+WITH m AS (SELECT sha256(text) AS sha, min(doc_id) AS matched FROM documents WHERE text IS NOT NULL GROUP BY ALL),
+i AS (SELECT 'd' || doc_id AS location, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'c' || conv_id || '.' || turn, text FROM conversations WHERE text IS NOT NULL)
+SELECT location, CASE WHEN m.sha IS NULL THEN 'new' ELSE 'have' END AS status, m.matched FROM i LEFT JOIN m ON sha256(i.text) = m.sha
 """)
 def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return manifest.check(docs.where("doc_id % 2 = 1"), "doc_id", "text", manifest.entries(docs.where("doc_id % 2 = 0"), "doc_id", "text"))
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    found = docs.select(F.concat(F.lit("d"), "doc_id").alias("location"), "text").unionByName(turns.select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("location"), "text"))
+    return manifest.check(found, "location", "text", manifest.entries(docs, "doc_id", "text"))
 
 
 @query("""
-WITH x AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0),
-y AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 5 <> 0)
-SELECT coalesce(x.o_orderkey, y.o_orderkey) AS o_orderkey, CASE WHEN y.o_orderkey IS NULL THEN 'left_only' WHEN x.o_orderkey IS NULL THEN 'right_only'
-WHEN x.o_orderstatus = y.o_orderstatus AND x.o_orderpriority = y.o_orderpriority THEN 'same' ELSE 'changed' END AS status FROM x FULL JOIN y ON x.o_orderkey = y.o_orderkey
+WITH x AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY ALL), y AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY ALL)
+SELECT coalesce(x.k, y.k) AS nation, CASE WHEN y.k IS NULL THEN 'left_only' WHEN x.k IS NULL THEN 'right_only' WHEN x.n = y.n THEN 'same' ELSE 'changed' END AS status FROM x FULL JOIN y ON x.k = y.k
 """)
 def full_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    changed = orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return matching.full_compare(orders.where("o_orderkey % 3 <> 0"), changed.where("o_orderkey % 5 <> 0"), "o_orderkey", "o_orderstatus", "o_orderpriority")
+    left = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+    right = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+    return matching.full_compare(left, right, "nation", "n")
 
 
 @query(r"""
 WITH b AS (SELECT item_id, lower(regexp_replace(text, '\s+', '', 'g')) AS f FROM benchmark),
 g AS (SELECT DISTINCT item_id, substr(f, i, 4) AS gram FROM b, unnest(generate_series(1, length(f) - 3)) AS u(i)),
 n AS (SELECT item_id, count(*) AS n FROM g GROUP BY item_id),
-m AS (SELECT x.item_id AS left_id, y.item_id AS right_id, count(*) AS shared FROM g x JOIN g y USING (gram) WHERE x.item_id % 2 = 0 AND y.item_id % 2 = 1 GROUP BY ALL),
+m AS (SELECT x.item_id AS left_id, y.item_id AS right_id, count(*) AS shared FROM g x JOIN g y USING (gram) WHERE x.item_id <> y.item_id GROUP BY ALL),
 k AS (SELECT m.*, shared / least(p.n, q.n) AS overlap, row_number() OVER (PARTITION BY left_id ORDER BY shared DESC, right_id) AS r FROM m JOIN n p ON p.item_id = left_id JOIN n q ON q.item_id = right_id)
 SELECT left_id, right_id, shared, round(overlap, 6) AS overlap FROM k WHERE r <= 8 AND overlap >= 0.12
 """)
 def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
-    left, right = items.where("item_id % 2 = 0").select(F.col("item_id").alias("left_id"), "text"), items.where("item_id % 2 = 1").select(F.col("item_id").alias("right_id"), F.col("text").alias("text2"))
-    return matching.gram_candidates(left, "left_id", "text", right, "right_id", "text2")
+    left, right = items.select(F.col("item_id").alias("left_id"), "text"), items.select(F.col("item_id").alias("right_id"), F.col("text").alias("text2"))
+    return matching.gram_candidates(left, "left_id", "text", right, "right_id", "text2", within=True)
 
 
 @query("""
-SELECT 'both' AS side, doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+SELECT 'both' AS side, doc_id AS value FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
 UNION ALL SELECT 'unlabelled', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
-UNION ALL SELECT 'lengths', n_chars FROM (SELECT n_chars FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT n_chars FROM documents WHERE doc_id % 2 = 1)
+UNION ALL SELECT 'lengths', n FROM (SELECT n_chars AS n FROM documents EXCEPT ALL SELECT length(text) FROM conversations)
 """)
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    even, odd = docs.where("doc_id % 2 = 0").select("n_chars"), docs.where("doc_id % 2 = 1").select("n_chars")
-    parts = [("both", docs.select("doc_id").intersect(labels.select("doc_id"))), ("unlabelled", docs.select("doc_id").subtract(labels.select("doc_id"))), ("lengths", even.exceptAll(odd).withColumnRenamed("n_chars", "doc_id"))]
-    out = [d.select(F.lit(side).alias("side"), "doc_id") for side, d in parts]
+    turns = table(spark, sf_dir, "conversations").select(F.length("text").cast("long").alias("n"))
+    parts = [("both", docs.select("doc_id").intersect(labels.select("doc_id"))), ("unlabelled", docs.select("doc_id").subtract(labels.select("doc_id"))), ("lengths", docs.select(F.col("n_chars").alias("n")).exceptAll(turns))]
+    out = [d.toDF("value").select(F.lit(side).alias("side"), "value") for side, d in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("""
+WITH p AS (SELECT DISTINCT p_name AS k FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part),
+b AS (SELECT k, array_to_string(string_split(k, ' ')[1:i], ' ') AS root FROM p, unnest(generate_series(1, len(string_split(k, ' ')))) AS u(i))
+SELECT k AS key, min_by(root, length(root)) AS root FROM b WHERE root IN (SELECT k FROM p) GROUP BY k
+""")
+def series_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "part").select(F.col("p_name").alias("key"))
+    return library.fold_series(named.unionByName(named.select(F.split_part("key", F.lit(" "), F.lit(1)).alias("key"))), "key")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN format('{:.1f} KB', s / 1024.0) ELSE format('{:.1f} MB', s / 1048576.0) END AS size
+FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * l_quantity) AS BIGINT) AS s FROM lineitem)
+""")
+def size_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.floor(F.col("l_extendedprice") * F.col("l_quantity")).cast("long")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", names.size_text(size).alias("size"))
+
+
 # --- names -----------------------------------------------------------------------------------------------------------
 
 

@@ -41,13 +41,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+_made: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folders of this process. Results that still read them must have been written before."""
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir; a local default is set only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         existing = spark.sparkContext.getCheckpointDir()
         root = existing or "/tmp/checkpoints/quarry"
-    return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
