@@ -30,7 +30,7 @@ from quarry.session import materialize
 
 WINDOW = 4096
 END_ID = 2
-MAX_MEMO = 300_000
+MAX_MEMO = 250_000
 _CLOSING = ".,;:!?|*#$%&"
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 

@@ -42,7 +42,7 @@ GRAM = 24
 SIDE = LENGTH - GRAM  # bytes beside an anchor that a window can reach
 WIDTH = GRAM + 2 * SIDE
 BROADCAST_ROWS = 100_000
-FLUSH_KEYS, FLUSH_ROWS = 1_000_000, 200_000  # what a task holds before it passes on
+FLUSH_KEYS, FLUSH_ROWS = 250_000, 60_000  # what a task holds before it passes on
 NO_ID = (1 << 63) - 1
 
 _U = np.uint64

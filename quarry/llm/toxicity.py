@@ -147,7 +147,7 @@ class Scorer:
                     if word in words:
                         known = (name, 1.0)
                         break
-            if len(self.kinds) > 200_000:
+            if len(self.kinds) > 50_000:
                 self.kinds.clear()
             self.kinds[word] = known
         return known
