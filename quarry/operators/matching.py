@@ -10,14 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import char_grams, sentences
+from quarry.functions.text import char_grams, sentence_array
 
 BROADCAST_BYTES = 64 << 20
 
 
 def sentence_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sentence, n): a row for each distinct sentence, and the row's number of them. The text is left behind."""
-    arrays = df.select(key, sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
+    arrays = df.select(key, sentence_array(F.col(text)).alias("s")).where(F.size("s") > 0)
     return arrays.select(key, F.size("s").alias("n"), F.explode("s").alias("sentence"))
 
 

@@ -78,7 +78,7 @@ SELECT id AS doc_id, substr(fp, 1, 16) AS fingerprint, copies, row_number() OVER
 )
 def dup_text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "n_chars", "text"))
-    prints = docs.select("doc_id", "n_chars", text.fingerprint(F.col("text")).alias("fp"))
+    prints = docs.select("doc_id", "n_chars", text.sentence_fingerprint("text").alias("f")).select("doc_id", "n_chars", F.col("f.fingerprint").alias("fp"))
     kept = grouping.survivor(grouping.groups_of(prints, "fp"), ["fp"], [F.desc("n_chars"), F.col("doc_id")])
     return kept.select("doc_id", F.substring("fp", 1, 16).alias("fingerprint"), "copies", "keep")
 
