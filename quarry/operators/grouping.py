@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
+
 
 def groups_of(df: DataFrame, *keys: str, least: int = 2, name: str = "copies") -> DataFrame:
     """Rows whose keys occur `least` times or more, with that number. The keys are counted first, with partial sums, so
@@ -15,9 +17,13 @@ def groups_of(df: DataFrame, *keys: str, least: int = 2, name: str = "copies") -
 
 
 def same_content(df: DataFrame, size: str, content: str, *also: str) -> DataFrame:
-    """Rows that share size, SHA-256 of the content and `also`. Only rows of a size that occurs twice are hashed."""
-    candidates = groups_of(df, size).drop("copies").withColumn("sha", F.sha2(F.col(content).cast("binary"), 256))
-    return groups_of(candidates, "sha", *also)
+    """Rows that share size, SHA-256 of the content (`sha`) and `also`, without the content.
+
+    The content is hashed where it is read and never moved. For files, take the candidates of `groups_of(listing, size)`
+    first, so that only files of a size that occurs twice are opened.
+    """
+    hashed = df.withColumn("sha", F.sha2(F.col(content).cast("binary"), 256)).drop(content)
+    return groups_of(hashed.where("sha IS NOT NULL"), size, "sha", *also)
 
 
 def survivor(df: DataFrame, group: list[str], order: list[Column], name: str = "keep") -> DataFrame:
@@ -25,17 +31,32 @@ def survivor(df: DataFrame, group: list[str], order: list[Column], name: str = "
     return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)) == 1)
 
 
+def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """`df` with its place, from 1, in the order of the columns, without one task that sees all rows.
+
+    Rows are dealt into ranges and sorted there; each range starts where those before it end.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": local})
+    placed = materialize(placed, "ranges")
+    before = F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = placed.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each range
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "grp") -> DataFrame:
-    """Dense numbers for the groups in the order of `order`. Only one row for each group is ordered in one place."""
+    """Dense numbers for the groups in the order of the aggregates `order`, ties by the keys."""
     heads = df.groupBy(*keys).agg(*(c.alias(f"_o{i}") for i, c in enumerate(order)))
-    ranked = heads.select(*keys, F.row_number().over(W.orderBy(*(f"_o{i}" for i in range(len(order))), *keys)).cast("long").alias(name))
-    return df.join(ranked, keys)
+    numbers = ranked(heads, [*(f"_o{i}" for i in range(len(order))), *keys], name)
+    return df.join(numbers.select(*keys, name), keys)
 
 
 def split_by_volume(df: DataFrame, group: str, signature: str, name: str = "part") -> DataFrame:
     """Groups with two or more marks fall apart by mark, rows without one together; other groups stay whole."""
-    marks = F.size(F.collect_set(F.nullif(F.col(signature), F.lit(""))).over(W.partitionBy(group)))
-    return df.withColumn(name, F.when(marks > 1, F.coalesce(signature, F.lit(""))).otherwise(""))
+    mark = F.nullif(F.col(signature), F.lit(""))
+    mixed = df.groupBy(group).agg((F.min(mark) != F.max(mark)).alias("_mixed"))
+    return df.join(mixed, group).withColumn(name, F.when(F.col("_mixed"), F.coalesce(signature, F.lit(""))).otherwise("")).drop("_mixed")
 
 
 def whole_groups_matching(df: DataFrame, group: list[str], test: Column) -> DataFrame:

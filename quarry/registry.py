@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import names, text
@@ -40,9 +39,9 @@ SELECT doc_id, source, n_chars, substr(sha, 1, 16) AS hash, copies, keep_id, doc
 """)
 def dup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", "n_chars", "text")
-    same = grouping.same_content(docs, "n_chars", "text", "source").drop("text")
-    kept = F.min("doc_id").over(W.partitionBy("source", "sha"))
-    return same.withColumn("keep_id", kept).select("doc_id", "source", "n_chars", F.substring("sha", 1, 16).alias("hash"), "copies", "keep_id", (F.col("doc_id") == F.col("keep_id")).alias("keep"))
+    same = grouping.same_content(docs, "n_chars", "text", "source")
+    kept = same.groupBy("source", "sha").agg(F.min("doc_id").alias("keep_id"))
+    return same.join(kept, ["source", "sha"]).select("doc_id", "source", "n_chars", F.substring("sha", 1, 16).alias("hash"), "copies", "keep_id", (F.col("doc_id") == F.col("keep_id")).alias("keep"))
 
 
 @query("""

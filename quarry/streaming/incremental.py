@@ -54,10 +54,17 @@ def breaker(outcomes: DataFrame, group: list[str], order: list[str], outcome: st
 
 
 def trailing_count(df: DataFrame, group: str, ts: str, seconds: int) -> DataFrame:
-    """`recent`: events of the group within the seconds before and up to each row's time."""
+    """`recent`: events of the group within the seconds before and up to each row's time.
+
+    Rows are dealt into slices of time of that length, each also into the next slice, where it is only counted; so a
+    group that holds most events is spread over as many tasks as it has slices.
+    """
+    span = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = W.partitionBy(group).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("recent", F.count("*").over(w))
+    own = F.floor(micros / span)
+    dealt = df.withColumn("_t", micros).withColumn("_p", F.explode(F.array(F.struct(own.alias("slice"), F.lit(True).alias("own")), F.struct((own + 1).alias("slice"), F.lit(False).alias("own")))))
+    w = W.partitionBy(group, F.col("_p.slice")).orderBy("_t").rangeBetween(-span, 0)
+    return dealt.withColumn("recent", F.count("*").over(w)).where("_p.own").drop("_t", "_p")
 
 
 def job_key(command: Column, folder: Column, *options: Column) -> Column:
