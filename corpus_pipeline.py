@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import jaccard, packing, pii, substrings, toxicity
 from quarry.llm.queries import WORD_TOKENIZER
-from quarry.session import materialize, table
+from quarry.session import materialize, spread, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC = 0.5
@@ -58,7 +58,7 @@ ORACLE_SQL = None  # stages of learned scores, suffix order and tokenizers; test
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each on the written result of the one before."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
