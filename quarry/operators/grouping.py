@@ -70,3 +70,18 @@ def modes(df: DataFrame, key: str, value: str) -> DataFrame:
     counts = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), F.lower(value), value))
     return counts.withColumn("_r", rank).where("_r = 1").drop("_r")
+
+
+def rechosen(df: DataFrame, group: str, key: str, chosen: DataFrame) -> DataFrame:
+    """`df` (group, key, keep) with the survivors that `chosen` (group, key) names; other groups keep theirs.
+
+    A choice that is not in its group changes nothing.
+    """
+    valid = chosen.select(group, key).join(df.select(group, key), [group, key], "left_semi").groupBy(group).agg(F.min(key).alias("_chosen"))
+    return df.join(valid, group, "left").withColumn("keep", F.when(F.col("_chosen").isNull(), F.col("keep")).otherwise(F.col(key) == F.col("_chosen"))).drop("_chosen")
+
+
+def without_moved(df: DataFrame, moved: DataFrame, key: str, group: str) -> DataFrame:
+    """`df` without the rows that were moved and without groups that are left with one row."""
+    left = df.join(moved.select(key).distinct(), key, "left_anti")
+    return groups_of(left, group, name="_n").drop("_n").select(*df.columns)

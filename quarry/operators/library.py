@@ -78,3 +78,19 @@ def storage_profile(text: Column) -> list[Column]:
     """Counts of line feeds, carriage returns, spaces and lines."""
     count = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("long")
     return [count("\n").alias("lf"), count("\r").alias("cr"), count(" ").alias("spaces"), (count("\n") + 1).alias("lines")]
+
+
+def against_library(wanted: DataFrame, key: str, owned: DataFrame, rejected: DataFrame, most: int = 10_000) -> DataFrame:
+    """`wanted` with status owned, rejected or new: keys that contain, or lie within, a key of the two lists.
+
+    The wanted list is what is short (more than `most` rows are refused); it is sent to the library's tasks.
+    """
+    if wanted.count() > most:
+        raise ValueError(f"more than {most} wanted rows")
+
+    def hit(library: DataFrame, name: str) -> DataFrame:
+        other = library.select(F.col("key").alias("_k")).where("_k <> ''")
+        return other.join(F.broadcast(wanted.select(key)), F.col("_k").contains(F.col(key)) | F.col(key).contains(F.col("_k"))).select(key).distinct().withColumn(name, F.lit(True))
+
+    out = wanted.join(hit(owned, "_o"), key, "left").join(hit(rejected, "_r"), key, "left")
+    return out.withColumn("status", F.when(F.col("_o"), "owned").when(F.col("_r"), "rejected").otherwise("new")).drop("_o", "_r")

@@ -25,3 +25,24 @@ def check(files: DataFrame, location: str, content: str, manifest: DataFrame) ->
     first = manifest.where("sha256 <> ''").withColumn("_r", F.row_number().over(W.partitionBy("sha256").orderBy("location"))).where("_r = 1").select("sha256", F.col("location").alias("matched"))
     hits = likely.join(first, "sha256").select("location", "matched")
     return files.select(F.col(location).alias("location")).join(hits, "location", "left").select("location", F.when(F.col("matched").isNull(), "new").otherwise("have").alias("status"), "matched")
+
+
+def verified_moves(wanted: DataFrame, now: DataFrame, root: str, target: str) -> DataFrame:
+    """(location, target, status): a plan to move files (location, size, sha256) after they were checked again.
+
+    Status: outside root, missing, size changed, content changed or ready; targets that several files want get a number.
+    """
+    current = now.select("location", F.col("size").alias("_size"), F.col("sha256").alias("_sha"), F.lit(True).alias("_there"))
+    status = (
+        F.when(~F.col("location").startswith(root.rstrip("/") + "/"), "outside root")
+        .when(F.col("_there").isNull(), "missing")
+        .when(F.col("size") != F.col("_size"), "size changed")
+        .when(F.col("sha256") != F.col("_sha"), "content changed")
+        .otherwise("ready")
+    )
+    name = F.regexp_replace("location", r"^.*/", "")
+    number = F.row_number().over(W.partitionBy(name, "status").orderBy("location"))
+    stem, suffix = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
+    unique = F.when(number == 1, name).otherwise(F.concat(stem, F.lit(" ("), number - 1, F.lit(")"), suffix))
+    planned = wanted.join(current, "location", "left").withColumn("status", status)
+    return planned.select("location", F.when(F.col("status") == "ready", F.concat(F.lit(target.rstrip("/") + "/"), unique)).alias("target"), "status")

@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import names
-from quarry.functions.text import decoded, fingerprint, normalise
+from quarry.functions.text import decoded, normalise, sentence_fingerprint
 from quarry.operators import grouping, matching
 from quarry.operators.components import connected_components
+from quarry.session import materialize
+
+BROADCAST_ROWS = 100_000
 
 
 def catalog(files: DataFrame, limit: int = 0) -> DataFrame:
@@ -30,7 +33,7 @@ def titles(files: DataFrame) -> DataFrame:
 def text_duplicates(files: DataFrame, least: int = 30) -> DataFrame:
     """Groups of equal sentence fingerprints over (path, size, content); EPUBs stay first, then the largest."""
     body = files.withColumn("body", normalise(decoded("content"))).where(F.length("body") >= least)
-    prints = body.select("path", "size", fingerprint(F.col("body")).alias("fingerprint"))
+    prints = body.select("path", "size", sentence_fingerprint("body").alias("f")).select("path", "size", F.col("f.fingerprint").alias("fingerprint"))
     order = [F.desc(F.lower("path").endswith(".epub")), F.desc("size"), F.col("path")]
     return grouping.survivor(grouping.groups_of(prints, "fingerprint"), ["fingerprint"], order)
 
@@ -42,14 +45,20 @@ def comprehensive(files: DataFrame) -> DataFrame:
     have their bodies compared, and only rows of equal sizes are hashed.
     """
     base = catalog(files.drop("content")).select("path", "size", "modified", "extension", "title_key", "signature").withColumn("node", F.xxhash64("path"))
-    full = base.join(files.select("path", "content"), "path")
-    same_size = grouping.groups_of(full, "size").drop("copies")
-    hashes = same_size.select("node", F.sha2("content", 256).alias("hash"))
-    with_hash = base.join(hashes, "node", "left")
+    # What has to be read: content of sizes that occur twice, bodies of titles that do. Only digests of it go on.
+    sizes = base.groupBy("size").agg((F.count("*") > 1).alias("need_hash"))
+    alike = base.where("title_key <> ''").groupBy("title_key").agg((F.count("*") > 1).alias("need_body"))
+    wanted = base.join(sizes, "size").join(alike, "title_key", "left").select("path", "node", "need_hash", F.coalesce("need_body", F.lit(False)).alias("need_body")).where("need_hash OR need_body")
+    wanted = materialize(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    read = files.select("path", "content").join(wanted, "path")
+    facts = read.select("node", F.when(F.col("need_hash"), F.sha2("content", 256)).alias("hash"), normalise(decoded(F.when(F.col("need_body"), F.col("content")))).alias("body"))
+    facts = materialize(facts.select("node", "hash", sentence_fingerprint(F.when(F.length("body") >= 30, F.col("body"))).alias("f")).select("node", "hash", F.col("f.fingerprint").alias("body")), "facts")
+    with_hash = base.join(facts, "node", "left")
     title = base.where("title_key <> ''").select("node", F.concat_ws("\0", F.lit("title"), "title_key", "extension").alias("key"), F.lit("").alias("signature"))
     content = with_hash.where("hash IS NOT NULL").select("node", F.concat_ws("\0", F.lit("hash"), "hash", "extension").alias("key"), "signature")
-    like = grouping.groups_of(full.where("title_key <> ''"), "title_key").drop("copies").withColumn("body", normalise(decoded("content"))).where("length(body) >= 30")
-    body = like.select("node", F.concat_ws("\0", F.lit("body"), fingerprint(F.col("body")), "extension").alias("key"), "signature")
+    body = with_hash.where("body IS NOT NULL").select("node", F.concat_ws("\0", F.lit("body"), "body", "extension").alias("key"), "signature")
     keyed = title.unionByName(content).unionByName(body)
     parted = grouping.split_by_volume(keyed, "key", "signature").withColumn("key", F.concat_ws("\0", "key", "part"))
     linked = grouping.groups_of(parted, "key")

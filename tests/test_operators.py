@@ -132,3 +132,23 @@ def test_streaming_scan_reads_each_file_once(spark, tmp_path):
     (source / "c.txt").write_text("c")
     incremental.scan_new_files(spark, str(source), state, sink, 1).awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+def test_choices_moves_and_lists(spark):
+    df = spark.createDataFrame([(1, "a", True), (1, "b", False), (2, "c", True), (2, "d", False)], "g int, p string, keep boolean")
+    chosen = spark.createDataFrame([(1, "b"), (2, "zzz")], "g int, p string")
+    assert {r.p: r.keep for r in grouping.rechosen(df, "g", "p", chosen).collect()} == {"a": False, "b": True, "c": True, "d": False}
+    assert {r.p for r in grouping.without_moved(df, df.where("p = 'a'"), "p", "g").collect()} == {"c", "d"}
+    wanted = spark.createDataFrame([("/r/x/a.txt", 1, "h1"), ("/r/y/a.txt", 2, "h2"), ("/o/b", 1, "h"), ("/r/gone", 1, "h"), ("/r/size", 1, "h"), ("/r/hash", 1, "h")], "location string, size long, sha256 string")
+    now = spark.createDataFrame([("/r/x/a.txt", 1, "h1"), ("/r/y/a.txt", 2, "h2"), ("/o/b", 1, "h"), ("/r/size", 2, "h"), ("/r/hash", 1, "k")], "location string, size long, sha256 string")
+    got = {r.location: (r.status, r.target) for r in manifest.verified_moves(wanted, now, "/r", "/q").collect()}
+    assert got["/r/x/a.txt"] == ("ready", "/q/a.txt") and got["/r/y/a.txt"] == ("ready", "/q/a (1).txt")
+    assert [got[k][0] for k in ("/o/b", "/r/gone", "/r/size", "/r/hash")] == ["outside root", "missing", "size changed", "content changed"]
+    names_of = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    assert {r.key: r.status for r in library.against_library(names_of("abc", "xyz", "q"), "key", names_of("abcdef"), names_of("xy")).collect()} == {"abc": "owned", "xyz": "rejected", "q": "new"}
+
+
+def test_ranks_cover_the_table(spark):
+    df = spark.range(500).withColumn("k", (F.col("id") * 7919) % 500).repartition(5)
+    got = {r.k: r["rank"] for r in grouping.ranked(df, ["k"]).collect()}
+    assert got == {k: k + 1 for k in range(500)}
