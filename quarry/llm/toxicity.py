@@ -202,11 +202,16 @@ def _distinct(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 def _stems(toxic: list[str], clean: list[str], precision: float) -> dict[str, float]:
     """Stems to the share of toxic documents among those that have the stem, where it reaches `precision`."""
-    positive = Counter()
-    for t in toxic:
-        positive.update(_beginnings(t))
     least = max(MIN_DOCS, MIN_SHARE * len(toxic))
-    positive = {s: n for s, n in positive.items() if n >= least}
+    positive: dict[str, int] = {}
+    frequent: dict[str, int] = {"": len(toxic)}
+    for k in STEM_LENGTHS:  # a stem is no more frequent than its own beginning, so rare ones are never counted on
+        shorter = k - 1 if k > min(STEM_LENGTHS) else 0
+        counts = Counter()
+        for t in toxic:
+            counts.update({w[:k] for w in set(_WORD.findall(t.lower())) if len(w) >= k and w[:shorter] in frequent})
+        frequent = {s: n for s, n in counts.items() if n >= least}
+        positive |= frequent
     negative = Counter()
     for t in clean:
         negative.update(_beginnings(t) & positive.keys())
