@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,20 @@ def build_session(name: str = "quarry", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def _reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started.
+
+    On a cluster whose executors don't see the driver's folders, ship the package with --py-files.
+    """
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` under `sf_dir`."""
+    _reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
