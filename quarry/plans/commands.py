@@ -38,6 +38,14 @@ def text_duplicates(files: DataFrame, least: int = 30) -> DataFrame:
     return grouping.survivor(grouping.groups_of(prints, "fingerprint"), ["fingerprint"], order)
 
 
+def linked_by_keys(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) and (node, evidence) over (node, key), of which each key begins with its kind of evidence and a zero character."""
+    linked = grouping.groups_of(keyed, "key")
+    evidence = linked.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("key", "\0", 1))), ", ").alias("evidence"))
+    edges = linked.join(linked.groupBy("key").agg(F.min("node").alias("head")), "key").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return connected_components(edges), evidence
+
+
 def comprehensive(files: DataFrame) -> DataFrame:
     """Components over equal titles, equal content and equal bodies, with evidence, survivor and verdict.
 
@@ -61,10 +69,8 @@ def comprehensive(files: DataFrame) -> DataFrame:
     body = with_hash.where("body IS NOT NULL").select("node", F.concat_ws("\0", F.lit("body"), "body", "extension").alias("key"), "signature")
     keyed = title.unionByName(content).unionByName(body)
     parted = grouping.split_by_volume(keyed, "key", "signature").withColumn("key", F.concat_ws("\0", "key", "part"))
-    linked = grouping.groups_of(parted, "key")
-    evidence = linked.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("key", "\0", 1))), ", ").alias("evidence"))
-    edges = linked.join(linked.groupBy("key").agg(F.min("node").alias("head")), "key").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    member = with_hash.join(connected_components(edges), "node").join(evidence, "node", "left")
+    found, evidence = linked_by_keys(parted)
+    member = with_hash.join(found, "node").join(evidence, "node", "left")
     kept = grouping.survivor(member, ["component"], [F.asc_nulls_last("modified"), F.lower("path"), F.col("path")])
     w = W.partitionBy("component")
     first = lambda c: F.max(F.when(F.col("keep"), F.col(c))).over(w)

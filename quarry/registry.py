@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quarry.functions import names, text
 from quarry.operators import grouping, library, manifest, matching
 from quarry.operators.components import connected_components
-from quarry.session import spread, table
+from quarry.plans import commands
+from quarry.session import materialize, spread, table
 from quarry.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +123,22 @@ def comprehensive_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "members", (F.col("node") == F.col("component")).alias("keep"))
 
 
+@query()
+def comprehensive_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over equal texts and equal sentence fingerprints of whole texts, of whatever length, with evidence.
+
+    Sentences and links of a whole table are too much for recursive SQL; the tests compare with a plain search.
+    """
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    facts = docs.select(F.col("doc_id").alias("node"), F.sha2("text", 256).alias("hash"), text.sentence_fingerprint("text").alias("f"))
+    facts = materialize(facts.select("node", "hash", F.col("f.fingerprint").alias("body")), "facts")
+    keys = [facts.select("node", F.concat_ws("\0", F.lit(kind), kind).alias("key")) for kind in ("hash", "body")]
+    found, evidence = commands.linked_by_keys(keys[0].unionByName(keys[1]))
+    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+    member = found.join(sizes, "component").join(evidence, "node", "left")
+    return member.select(F.col("node").alias("doc_id"), "component", "members", (F.col("node") == F.col("component")).alias("keep"), "evidence")
+
+
 @query("""
 WITH d AS (SELECT doc_id, source, sha256(text) AS sha, n_chars, lang FROM documents WHERE text IS NOT NULL),
 g AS (SELECT *, count(*) OVER (PARTITION BY sha) AS copies, count(DISTINCT lang) OVER (PARTITION BY sha) AS langs,
