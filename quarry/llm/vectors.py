@@ -11,7 +11,9 @@ carries its chunks of the earlier passes. Pairs never leave their task; it hands
 and the few edges that connect what is linked.
 
 Recall at cosine 0.98: neighbouring signs differ with probability 0.064, so a pair shares its first b signs in a pass
-with probability 0.936^b. With chunks of 512 and 100,000 vectors of a label, b = 8 suffices: 8 passes miss 1 in 700.
+with probability 0.936^b, and b = log2(vectors of a label / 512) suffices with chunks of 512. The number of passes follows
+from the largest label, so that all passes miss a sparse pair at most 1 in 700 at every size: 8 up to 131,072 vectors of a
+label, 10 at 1,000,000, 15 at 10,000,000.
 
 Defined results: null vectors, those with null or non-finite components, zero vectors and null labels link with nothing
 and are their own component; vectors of different length don't link; repeated rows count as vectors of their own.
@@ -19,6 +21,8 @@ and are their own component; vectors of different length don't link; repeated ro
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,13 +32,21 @@ from quarry.llm.batches import pieces
 from quarry.operators.components import connected_components
 from quarry.session import materialize
 
-PASSES = 8
+PASSES = 8  # the fewest
+MISS = 1 / 700
 CHUNK = 512
 DENSE = 16
 THRESHOLD = 0.98
 SEED = 11
 
 
+def passes_for(n: int, threshold: float = THRESHOLD) -> int:
+    """Passes after which a pair at the threshold is missed with probability MISS or less among n vectors of a label."""
+    alike = max(1, math.ceil(math.log2(max(1, n) / CHUNK)))
+    share = (1 - math.acos(min(1.0, threshold)) / math.pi) ** alike
+    return PASSES if share >= 1 else max(PASSES, math.ceil(math.log(MISS) / math.log1p(-share)))
+
+
 def projections(dim: int, number: int) -> np.ndarray:
     """64 random directions for a pass."""
     return np.random.default_rng((SEED, number, dim)).standard_normal((dim, 64))
@@ -188,9 +200,12 @@ def _compared(rows: DataFrame, number: int, gap: int, active: set[int] | None, f
     return dealt.mapInArrow(run, "uid long, links long, a long, b long, reach long")
 
 
-def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, passes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row. The passes follow from the largest label unless they are given."""
     spark = df.sparkSession
+    if passes is None:
+        largest = df.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("string").alias("label")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        passes = passes_for(largest or 0, threshold)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     every = materialize(_prepared(df, passes, id_col, vector_col, label_col), "vectors")
     rows, found, far = every.where("dim > 0").drop("vec_id").withColumn("place", F.lit(0)), None, []
