@@ -3,8 +3,9 @@
 Markup is cut into blocks at block-level tags. The first pass decides by the block's place (navigation, headers,
 footers, sidebars, notices, adverts, forms and reader comments are boilerplate; paragraphs and headings inside an
 article or main element are content) and, where the place says nothing, by stop-word density, length and link density.
-Blocks too short to decide are ambiguous; the second pass gives them the label of the nearest decided neighbours, and
-of the block's own kind where the two sides differ.
+Blocks too short to decide are ambiguous; the second pass gives them the label of the decided neighbours. Where the two
+sides differ, longer blocks and headings before content are content, and short blocks go with the nearer side, counted in
+blocks; at equal distances they are boilerplate. The page's edge is a side of boilerplate.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
@@ -189,19 +190,22 @@ def label_blocks(blocks: list[Block]) -> None:
     """Set every label to good or bad."""
     n = len(blocks)
     first = [_first_pass(b) for b in blocks]
-    after = ["bad"] * (n + 1)  # the nearest decided label from a block on
+    after = [("bad", n)] * (n + 1)  # the nearest decided label from a block on, and its place
     for i in range(n - 1, -1, -1):
-        after[i] = first[i] if first[i] in ("good", "bad") else after[i + 1]
-    before = "bad"
+        after[i] = (first[i], i) if first[i] in ("good", "bad") else after[i + 1]
+    before, last = "bad", -1
     for i, b in enumerate(blocks):
+        follows, then = after[i + 1]
         if first[i] in ("good", "bad"):
-            b.label = before = first[i]
-        elif before == after[i + 1]:
+            b.label, before, last = first[i], first[i], i
+        elif before == follows:
             b.label = before
         elif first[i] == "near":
             b.label = "good"
-        else:  # a short block between the two kinds: a heading goes with the text it heads
-            b.label = "good" if re.fullmatch("h[1-6]", b.tag) and after[i + 1] == "good" else "bad"
+        elif re.fullmatch("h[1-6]", b.tag) and follows == "good":  # a heading goes with the text it heads
+            b.label = "good"
+        else:  # a short block between the two kinds
+            b.label = before if i - last < then - i else follows if then - i < i - last else "bad"
 
 
 def main_text(page: str | None) -> str:
