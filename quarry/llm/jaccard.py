@@ -10,7 +10,7 @@ one node from the start. The join has three levels of regions:
    differs in at most 2b/9 shingles, so many projections agree. Where sizes are too small for that, nodes meet by the
    prefix of their shingles in hash order, which is exact. A passage that many documents share makes regions, too, so
    the nodes of a region are compared by 256 signs of random projections, set so that linked pairs pass; nodes that
-   pass, directly or through others, are a family.
+   pass, directly or through others, are a family. Small sizes pass without signs.
 3. Families. Within a family (or a pair of blocks of a large one) a few pivots span Voronoi regions: distances to the
    pivots are computed, documents go to the nearest, and a pair is compared only where the triangle inequality lets its
    distance be small enough, so that documents near a boundary are tried with the neighbouring regions, too. Pairs that
@@ -309,8 +309,9 @@ def _regions(nodes: DataFrame, parts: int) -> DataFrame:
 
 
 def _fits(n: np.ndarray, signs: np.ndarray, i, j, percent: int) -> np.ndarray:
-    """Whether sizes and signs allow a link between nodes i and j."""
-    return (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.bitwise_count(signs[i] ^ signs[j]).sum(axis=-1) <= SIGN_MOST)
+    """Whether sizes and signs allow a link between nodes i and j. Of small sets each shingle moves many signs, so sizes decide alone."""
+    alike = (np.bitwise_count(signs[i] ^ signs[j]).sum(axis=-1) <= SIGN_MOST) | (np.maximum(n[i], n[j]) <= SMALL)
+    return (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & alike
 
 
 def _meetings(nodes: DataFrame, parts: int, percent: int) -> DataFrame:
