@@ -23,8 +23,8 @@ Level 2 is exact up to hashing: the number of classes is set so that a pair at t
 probability below 1e-10, the order of a 64-bit collision.
 
 Defined results: words are runs of other than ASCII white space, A-Z lower-cased; null and white-space texts have no
-shingles and link with nothing, not even each other; repeated rows are copies of each other. The only rows sent to the
-driver are counts.
+shingles and link with nothing, not even each other; repeated rows are copies of each other. Rows with a null id link as
+others do and take the smallest id that is not null, or null where there is none. The only rows sent to the driver are counts.
 """
 
 from __future__ import annotations
@@ -362,6 +362,14 @@ def links(df: DataFrame, nodes: DataFrame, percent: int = 80, n: int = WORDS, id
     family = materialize(connected_components(meetings), "families")
     sizes = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = family.join(sizes, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+
+    def node_numbers(found):
+        return np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)[0] for s in found], np.int64)
+
+    def named(batches):
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(node_numbers([shingles(t, n) for t in b.column(0).to_pylist()])), b.column(0)], ["node", "text"])
+
     # The text of one document for each node that has a family.
     owners = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(placed, "node")
     owners = materialize(owners, "owners")
@@ -369,11 +377,14 @@ def links(df: DataFrame, nodes: DataFrame, percent: int = 80, n: int = WORDS, id
         owners = F.broadcast(owners)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = texts.join(owners, "doc_id").select("node", "component", "blocks", "block", "text")
+    # Rows without an id find their node by the hash of their set.
+    unnamed = texts.where("doc_id IS NULL").select("text").mapInArrow(named, "node long, text string").dropDuplicates(["node"])
+    held = held.unionByName(unnamed.join(owners.where("doc_id IS NULL"), "node").select("node", "component", "blocks", "block", "text"))
 
     def sets(batches):
         for b in pieces(batches):
             found = [shingles(t, n) for t in b.column(4).to_pylist()]
-            h = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)[0] for s in found], np.int64)
+            h = node_numbers(found)
             keep = pa.array(h == b.column(0).to_numpy())  # rows with the same id and another text are not the node's
             out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "component", "blocks", "block", "shingles"])
             yield out.filter(keep)
