@@ -123,6 +123,16 @@ def comprehensive_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "members", (F.col("node") == F.col("component")).alias("keep"))
 
 
+@query()
+def page_text_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of equal text fingerprints; of each group the longest stays, then the first. Pages without text are not alike."""
+    body = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", text.normalise(F.col("html")).alias("body")).where("body <> ''")
+    prints = body.select("page_id", F.length("body").alias("body_chars"), text.sentence_fingerprint("body").alias("f")).select("page_id", "body_chars", F.col("f.fingerprint").alias("fp"))
+    prints = materialize(prints, "prints")
+    heads = prints.groupBy("fp").agg(F.count("*").alias("copies"), F.min(F.struct((-F.col("body_chars")).alias("less"), "page_id")).alias("k")).where("copies > 1")
+    return prints.join(heads, "fp").select("page_id", F.substring("fp", 1, 16).alias("fingerprint"), "copies", (F.col("page_id") == F.col("k.page_id")).alias("keep"))
+
+
 @query()
 def comprehensive_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components over equal texts and equal sentence fingerprints of whole texts, of whatever length, with evidence.
@@ -180,6 +190,14 @@ def archive_bag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.bag_overlaps(turns.select("conv_id", F.md5(F.concat("role", F.lit(":"), "text")).alias("item")), "conv_id", "item")
 
 
+@query()
+def archive_containment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as archives of their turns: which are the same as others or contained in them. Without a readable turn they are broken."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("archive"), F.col("role").alias("extension"), F.sha2("text", 256).alias("sha256"), F.length("text").alias("size"))
+    members = turns.where("extension IS NOT NULL AND sha256 IS NOT NULL")
+    return commands.archive_status(members, turns.select("archive").distinct().join(members, "archive", "left_anti"))
+
+
 @query("""
 WITH m AS (SELECT sha256(text) AS sha, min(doc_id) AS matched FROM documents WHERE text IS NOT NULL GROUP BY ALL),
 i AS (SELECT 'd' || doc_id AS location, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'c' || conv_id || '.' || turn, text FROM conversations WHERE text IS NOT NULL)
