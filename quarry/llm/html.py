@@ -1,16 +1,23 @@
 """Main text of web pages by two passes of block rules.
 
-Markup is cut into blocks at block-level tags. The first pass decides by the block's place (navigation, headers,
-footers, sidebars, notices, adverts, forms and reader comments are boilerplate; paragraphs and headings inside an
-article or main element are content) and, where the place says nothing, by stop-word density, length and link density.
-Blocks too short to decide are ambiguous; the second pass gives them the label of the decided neighbours. Where the two
-sides differ, longer blocks and headings before content are content, and short blocks go with the nearer side, counted in
-blocks; at equal distances they are boilerplate. The page's edge is a side of boilerplate.
+Markup is cut into blocks at block-level tags. The first pass looks at each block's text: the share of its characters in
+links, the share of stop words, and its length decide whether it is content or boilerplate or ambiguous (short or
+middling). Tags and class names of navigation, headers, footers, sidebars, notices, adverts, forms and reader comments
+only veto: what they hold is never content. An article or main element is a border: links in running text don't speak
+against a block inside one, and ambiguous blocks inside it look for neighbours inside it only, its edges counting as content.
+
+The second pass gives ambiguous blocks the label of the nearest decided neighbour, counted in blocks. Vetoed blocks are
+no neighbours, as their text decided nothing, and neither is the page's edge. At equal distances to unlike neighbours, and
+for headings before content, longer blocks and headings are content, short blocks boilerplate; a page on which no text decides has none outside its articles.
+
+Stop words are known for four languages. On a page that hardly has any of them its language is taken for unknown, and
+length and links decide alone.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
 Defined results: null, empty and text-free pages give an empty text; repeated rows give repeated results; nothing is
-cut, however long the page.
+cut, however long the page, and reading takes time in proportion to it; the rest of a page behind an unclosed script, style, title, template or
+the like belongs to that element, as in browsers, and is no text.
 """
 
 from __future__ import annotations
@@ -55,7 +62,7 @@ STOP_WORDS = frozenset(
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.20, 0.28
 LINKS_HIGH = 0.25
-NEAR_HEADING = 200
+STOP_UNKNOWN = 0.10
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -65,10 +72,10 @@ _WORD = re.compile(r"\w+")
 class Block:
     """A run of text between block-level tags."""
 
-    __slots__ = ("text", "links", "place", "tag", "label")
+    __slots__ = ("text", "links", "place", "tag", "label", "rule")
 
     def __init__(self, text: str, links: int, place: int, tag: str):
-        self.text, self.links, self.place, self.tag, self.label = text, links, place, tag, ""
+        self.text, self.links, self.place, self.tag, self.label, self.rule = text, links, place, tag, "", ""
 
 
 def _place_of(tag: str, attributes: str) -> int:
@@ -91,38 +98,133 @@ def _place_of(tag: str, attributes: str) -> int:
     return 1 if tag in GOOD_PLACES else 0
 
 
+class _Open:
+    """An open element, with what it and all around it amount to."""
+
+    __slots__ = ("tag", "place", "skipped", "leaf", "blocks", "nearest")
+
+    def __init__(self, tag: str, place: int, skipped: bool, around: _Open | None, depth: int):
+        self.tag = tag
+        before = around.place if around else 0
+        self.place = -1 if before < 0 or place < 0 else max(before, place)
+        self.skipped = skipped or bool(around and around.skipped)
+        block = tag in BLOCK_TAGS
+        self.leaf = tag if block else around.leaf if around else ""
+        self.blocks = (around.blocks if around else 0) + block
+        self.nearest = depth if block else around.nearest if around else -1  # the place of the innermost block element
+
+
+class _Stack:
+    """Open elements; finding an element by its tag takes the same time at any depth."""
+
+    def __init__(self):
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> _Open | None:
+        return self.open[-1] if self.open else None
+
+    def push(self, tag: str, place: int, skipped: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(_Open(tag, place, skipped, self.top, len(self.open)))
+
+    def cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.places[self.open.pop().tag].pop()
+
+    def close(self, tag: str, is_block: bool) -> None:
+        """Closes up to the nearest such element; end tags of inline elements don't close block elements."""
+        at = self.places.get(tag)
+        if at and (is_block or self.open[-1].blocks == self.open[at[-1]].blocks):
+            self.cut(at[-1])
+
+    def close_implied(self, closes: tuple[str, ...]) -> None:
+        """Closes the innermost block elements while they are of the tags that a start tag ends."""
+        while self.open and self.open[-1].nearest >= 0 and self.open[self.open[-1].nearest].tag in closes:
+            self.cut(self.open[-1].nearest)
+
+
+INLINE = frozenset("b i span em strong a font small u".split())
+IMPLIED = {"p": ("p",), "li": ("li", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "option": ("option",)}
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+class _Open:
+    """An open element, with what it and all around it amount to."""
+
+    __slots__ = ("tag", "place", "skipped", "leaf", "blocks", "nearest")
+
+    def __init__(self, tag: str, place: int, skipped: bool, around: _Open | None, depth: int):
+        self.tag = tag
+        before = around.place if around else 0
+        self.place = -1 if before < 0 or place < 0 else max(before, place)
+        self.skipped = skipped or bool(around and around.skipped)
+        block = tag in BLOCK_TAGS
+        self.leaf = tag if block else around.leaf if around else ""
+        self.blocks = (around.blocks if around else 0) + block
+        self.nearest = depth if block else around.nearest if around else -1  # the place of the innermost block element
+
+
+class _Stack:
+    """Open elements; finding an element by its tag takes the same time at any depth."""
+
+    def __init__(self):
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> _Open | None:
+        return self.open[-1] if self.open else None
+
+    def push(self, tag: str, place: int, skipped: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(_Open(tag, place, skipped, self.top, len(self.open)))
+
+    def cut(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.places[self.open.pop().tag].pop()
+
+    def close(self, tag: str, is_block: bool) -> None:
+        """Closes up to the nearest such element; end tags of inline elements don't close block elements."""
+        at = self.places.get(tag)
+        if at and (is_block or self.open[-1].blocks == self.open[at[-1]].blocks):
+            self.cut(at[-1])
+
+    def close_implied(self, closes: tuple[str, ...]) -> None:
+        """Closes the innermost block elements while they are of the tags that a start tag ends."""
+        while self.open and self.open[-1].nearest >= 0 and self.open[self.open[-1].nearest].tag in closes:
+            self.cut(self.open[-1].nearest)
+
+
+INLINE = frozenset("b i span em strong a font small u".split())
+IMPLIED = {"p": ("p",), "li": ("li", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "option": ("option",)}
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
 def split_blocks(page: str) -> list[Block]:
     """Blocks in page order. Unclosed and stray tags are tolerated: an end tag closes up to its nearest open match."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, place, skipped
+    stack = _Stack()
     parts: list[str] = []
-    links = anchor = 0
-    at, place, skipped, leaf = 0, 0, False, ""
+    links = anchor = at = 0
 
     def flush() -> None:
         nonlocal links, parts
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, links, place, leaf))
+                top = stack.top
+                blocks.append(Block(text, links, top.place if top else 0, top.leaf if top else ""))
         parts, links = [], 0
 
     def add(raw: str) -> None:
         nonlocal links
-        if raw and not skipped:
+        if raw and not (stack.open and stack.open[-1].skipped):
             parts.append(raw)
             if anchor:
                 links += len(" ".join(entities.unescape(raw).split()))
 
-    def settle() -> None:
-        nonlocal place, skipped, leaf
-        place, skipped, leaf = 0, False, ""
-        for tag, p, s in stack:
-            skipped |= s
-            place = -1 if place < 0 or p < 0 else max(place, p)
-            if tag in BLOCK_TAGS:
-                leaf = tag
-
     while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
@@ -135,77 +237,84 @@ def split_blocks(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 anchor = max(0, anchor - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if is_block or not any(x[0] in BLOCK_TAGS for x in stack[k + 1 :]):
-                        del stack[k:]
-                        settle()
-                    break
-            continue
-        if tag == "br":
+            stack.close(tag, is_block)
+        elif tag == "br":
             add(" ")
+        elif tag in VOID or m[3].endswith("/"):
             continue
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+        elif tag in RAW:
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
-            continue
-        if tag == "a":
-            anchor += 1
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack:  # end tags that may be left out
-            closes = {"p": ("p",), "li": ("li", "p"), "tr": ("tr", "td", "th", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p")}.get(tag, (tag, "td", "th", "p"))
-            k = len(stack)
-            while k and (stack[k - 1][0] in closes or stack[k - 1][0] not in BLOCK_TAGS and any(x[0] in closes for x in stack[:k])):
-                k -= 1
-            if k < len(stack):
-                del stack[k:]
-        if is_block or tag in ("b", "i", "span", "em", "strong", "a", "font", "small", "u"):
-            stack.append((tag, _place_of(tag, m[3]), tag in SKIPPED))
-            settle()
+        else:
+            if tag == "a":
+                anchor += 1
+            if tag in IMPLIED:
+                stack.close_implied(IMPLIED[tag])
+            if is_block or tag in INLINE:
+                stack.push(tag, _place_of(tag, m[3]), tag in SKIPPED)
     add(page[at:])
     flush()
     return blocks
 
 
-def _first_pass(b: Block) -> str:
+def _stop_share(words: list[str]) -> float:
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _first_pass(b: Block, stops: float | None) -> tuple[str, str]:
+    """(label, the rule that gave it) from the block's own text; `stops` is None where the language is unknown."""
+    n, inside = len(b.text), b.place > 0
+    links = b.links / n
+    if links > LINKS_HIGH and not inside:
+        return "bad", "many links"
     if b.place < 0:
-        return "bad"
-    if b.place > 0:
-        return "good"
-    n = len(b.text)
-    density = b.links / n
-    if density > LINKS_HIGH:
-        return "bad"
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        return "bad", "veto"
+    if links > LINKS_HIGH:
+        return "short", ""
     if n < LENGTH_LOW:
-        return "bad" if density > 0 else "short"
-    if stops >= STOP_HIGH:
-        return "good" if n > LENGTH_HIGH else "near"
-    return "near" if stops >= STOP_LOW else "bad"
+        return ("bad", "short with links") if links > 0 and not inside else ("short", "")
+    if stops is None or stops >= STOP_HIGH:
+        return ("good", "long text" if stops is None else "long, stop words") if n > LENGTH_HIGH else ("near", "")
+    return ("near", "") if stops >= STOP_LOW or inside else ("bad", "few stop words")
 
 
-def label_blocks(blocks: list[Block]) -> None:
-    """Set every label to good or bad."""
-    n = len(blocks)
-    first = [_first_pass(b) for b in blocks]
-    after = [("bad", n)] * (n + 1)  # the nearest decided label from a block on, and its place
-    for i in range(n - 1, -1, -1):
-        after[i] = (first[i], i) if first[i] in ("good", "bad") else after[i + 1]
-    before, last = "bad", -1
+def _sections(blocks: list[Block]) -> list[tuple[int, int, bool]]:
+    """(start, end, inside an article) of runs of blocks, cut at the borders of articles; vetoed blocks cut nothing."""
+    out, start, inside = [], 0, False
     for i, b in enumerate(blocks):
-        follows, then = after[i + 1]
-        if first[i] in ("good", "bad"):
-            b.label, before, last = first[i], first[i], i
-        elif before == follows:
-            b.label = before
-        elif first[i] == "near":
-            b.label = "good"
-        elif re.fullmatch("h[1-6]", b.tag) and follows == "good":  # a heading goes with the text it heads
-            b.label = "good"
-        else:  # a short block between the two kinds
-            b.label = before if i - last < then - i else follows if then - i < i - last else "bad"
+        if b.place >= 0 and (b.place > 0) != inside:
+            if i > start:
+                out.append((start, i, inside))
+            start, inside = i, b.place > 0
+    return [*out, (start, len(blocks), inside)]
+
+
+def label_blocks(blocks: list[Block]) -> None:
+    """Set every label to good or bad, and the rule that decided."""
+    words = [_WORD.findall(b.text.lower()) for b in blocks]
+    open_words = [w for b, own in zip(blocks, words, strict=True) if b.place >= 0 for w in own]
+    known = _stop_share(open_words) >= STOP_UNKNOWN
+    first = [_first_pass(b, _stop_share(w) if known else None) for b, w in zip(blocks, words, strict=True)]
+    for start, end, inside in _sections(blocks):
+        speaks = lambda i: first[i][0] in ("good", "bad") and blocks[i].place >= 0
+        edge = "good" if inside else ""
+        follows = [(edge, end)] * (end - start + 1)  # the nearest decided label from a block on, and its place
+        for i in range(end - 1, start - 1, -1):
+            follows[i - start] = (first[i][0], i) if speaks(i) else follows[i - start + 1]
+        before, last = edge, start - 1
+        for i in range(start, end):
+            b, (kind, rule), (after, then) = blocks[i], first[i], follows[i - start + 1]
+            if rule:
+                b.label, b.rule = kind, rule
+                if b.place >= 0:
+                    before, last = kind, i
+            elif before == after or not before or not after:
+                b.label, b.rule = before or after or "bad", f"{kind}: neighbours"
+            elif kind == "near" or after == "good" and re.fullmatch("h[1-6]", b.tag):
+                b.label, b.rule = "good", f"{kind}: content on one side"
+            else:
+                b.label = before if i - last < then - i else after if then - i < i - last else "bad"
+                b.rule = f"{kind}: nearer side"
 
 
 def main_text(page: str | None) -> str:

@@ -133,7 +133,7 @@ def test_html(spark):
 def test_html_without_an_article_falls_back_to_the_blocks():
     long = "This is the story of the man who was in the house and of the things that he had with him on that day. " * 4
     page = f"<div><p>Short lead.</p><p>{long}</p><p>Short note.</p><p>{long}</p></div><div><p><a href=x>Link one</a> <a href=y>Link two</a></p><p>All rights reserved</p></div>"
-    assert html.main_text(page).split("\n") == [x for x in [long.strip(), "Short note.", long.strip()]]
+    assert html.main_text(page).split("\n") == ["Short lead.", long.strip(), "Short note.", long.strip()]
 
 
 def test_quality_and_toxicity_learn(spark):
