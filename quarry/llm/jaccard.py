@@ -11,10 +11,15 @@ one node from the start. The join has three levels of regions:
    prefix of their shingles in hash order, which is exact. A passage that many documents share makes regions, too, so
    the nodes of a region are compared by 256 signs of random projections, set so that linked pairs pass; nodes that
    pass, directly or through others, are a family. Small sizes pass without signs.
-3. Families. Within a family (or a pair of blocks of a large one) a few pivots span Voronoi regions: distances to the
-   pivots are computed, documents go to the nearest, and a pair is compared only where the triangle inequality lets its
-   distance be small enough, so that documents near a boundary are tried with the neighbouring regions, too. Pairs that
-   already hang together are skipped, which makes a dense region linear. What remains is compared by exact integers.
+3. Families. In a family of more than BLOCK nodes, pivots that lie far apart span Voronoi regions. Every node's distance to
+   every pivot is computed; nodes within the radius of a pivot are linked to it, and nodes that hang together through
+   pivots form a ball. A node goes to the region of its nearest pivot, and, unless it is in the family's largest
+   ball, to every region it may have a partner in: if x and y are within r, y's pivot is at most 2r farther from x than
+   x's own. Pairs inside the largest ball need no comparison, so its nodes are in one region only, and a family of
+   near copies, which is one ball, is done after one pass. Regions are partitions of their own and are split
+   again while they are large. What no pivot can split, because all distances are much alike, is joined in blocks.
+   Within a region in memory a few pivots and the triangle inequality sort out pairs, and pairs that already hang together
+   are skipped. What remains is compared by exact integers.
 
 Documents as pivots for the whole corpus cannot split it: two random documents share no shingle, every distance is 1 and
 all windows overlap. Hence the levels 1 and 2 before the pivots.
@@ -24,7 +29,7 @@ probability below 1e-10, the order of a 64-bit collision.
 
 Defined results: words are runs of other than ASCII white space, A-Z lower-cased; null and white-space texts have no
 shingles and link with nothing, not even each other; repeated rows are copies of each other. Rows with a null id link as
-others do and take the smallest id that is not null, or null where there is none. The only rows sent to the driver are counts.
+others do and take the smallest id that is not null, or null where there is none. The driver gets nothing but counts of rows.
 """
 
 from __future__ import annotations
@@ -39,15 +44,17 @@ from pyspark.sql import functions as F
 
 from quarry.llm.batches import pieces
 from quarry.operators.components import connected_components
+from quarry.operators.joins import join_totals
 from quarry.session import materialize
 
 WORDS = 5
 SMALL = 40  # sizes up to here meet by prefixes
 LEAST_CLASSES, CLASS_SIZE, DIGESTS = 48, 5, 72
-BLOCK = 1500
-PIVOTS = 4
-SKETCH_BITS, SKETCH_MOST = 128, 38  # bits that differ at similarity 0.8: 12.8 on average, standard deviation 3.4
-SIGN_WORDS, SIGN_MOST = 4, 80  # of 256 signs, 38.9 differ at similarity 0.8, standard deviation 5.7
+BLOCK = 1500  # nodes that are joined in memory
+PIVOTS, FAR_PIVOTS, CANDIDATES, SHARE = 4, 16, 64, 4000  # in memory; of a large family, the nodes they are chosen from, members a task takes
+LEVELS = 4  # how often a family is split into regions
+SKETCH_BITS, SKETCH_MOST = 128, 44  # bits that differ at similarity 0.8: 12.8 on average; more than 44 with probability 1e-13
+SIGN_WORDS, SIGN_MOST = 4, 86  # of 256 signs, 38.9 differ at similarity 0.8; more than 86 with probability 1e-13
 BROADCAST_ROWS = 200_000
 SEGMENT = 1 << 20
 
@@ -189,17 +196,26 @@ def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
     return 100 * inter >= percent * (a + b - inter)
 
 
-def region_join(sets: list[np.ndarray], sides: np.ndarray | None = None, percent: int = 80) -> list[tuple[int, int]]:
-    """Links that connect all sets which links connect. With sides 0 and 1, links within a side may be left out."""
+def region_join(sets: list[np.ndarray], sides: np.ndarray | None = None, percent: int = 80, balls: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all sets which links connect. With sides 0 and 1, links within a side may be left out; sets of
+    equal balls are known to hang together."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     if n == 2:
+        if balls is not None and balls[0] == balls[1]:
+            return []
         inter = np.intersect1d(sets[0], sets[1], assume_unique=True).size
         return [(0, 1)] if linked(np.int64(inter), sizes[0], sizes[1], percent) else []
     flat = np.concatenate(sets)
     starts = np.cumsum(sizes) - sizes
     union, links = _Union(n), []
     roots = np.arange(n)
+    if balls is not None:
+        _, first, back = np.unique(balls, return_index=True, return_inverse=True)
+        roots = first[back]
+        union.parent = roots.tolist()
+        if (roots == roots[0]).all():
+            return []
 
     def common(p: int, others: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of set p with others."""
@@ -263,8 +279,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def nodes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, node, check, digests, sketch): node and check are the two halves of the set's hash."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, n_shingles, node, check, digests, sketch, text_hash): node and check are the two halves of the set's hash."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
 
     def run(batches):
         for b in pieces(batches):
@@ -276,9 +292,9 @@ def nodes_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
                 regions.append(digests(s).tobytes())
                 signs.append(sign_sketch(s))
             h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(regions, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "node", "check", "digests", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(regions, pa.binary()), pa.array(signs, pa.binary()), b.column(2)], ["doc_id", "n_shingles", "node", "check", "digests", "sketch", "text_hash"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, digests binary, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, digests binary, sketch binary, text_hash long")
 
 
 def _regions(nodes: DataFrame, parts: int) -> DataFrame:
@@ -360,9 +376,6 @@ def links(df: DataFrame, nodes: DataFrame, percent: int = 80, n: int = WORDS, id
     distinct = nodes.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.first("digests").alias("digests"), F.first("sketch").alias("sketch"))
     meetings = materialize(_meetings(materialize(distinct, "distinct"), 2 * parts, percent).distinct(), "meetings")
     family = materialize(connected_components(meetings), "families")
-    sizes = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = family.join(sizes, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-
     def node_numbers(found):
         return np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)[0] for s in found], np.int64)
 
@@ -371,66 +384,222 @@ def links(df: DataFrame, nodes: DataFrame, percent: int = 80, n: int = WORDS, id
             yield pa.RecordBatch.from_arrays([pa.array(node_numbers([shingles(t, n) for t in b.column(0).to_pylist()])), b.column(0)], ["node", "text"])
 
     # The text of one document for each node that has a family.
-    owners = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(placed, "node")
+    owners = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(family, "node")
     owners = materialize(owners, "owners")
     if owners.count() <= BROADCAST_ROWS:
         owners = F.broadcast(owners)
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = texts.join(owners, "doc_id").select("node", "component", "blocks", "block", "text")
+    held = texts.join(owners, "doc_id").select("node", "component", "text")
     # Rows without an id find their node by the hash of their set.
     unnamed = texts.where("doc_id IS NULL").select("text").mapInArrow(named, "node long, text string").dropDuplicates(["node"])
-    held = held.unionByName(unnamed.join(owners.where("doc_id IS NULL"), "node").select("node", "component", "blocks", "block", "text"))
+    held = held.unionByName(unnamed.join(owners.where("doc_id IS NULL"), "node").select("node", "component", "text"))
 
     def sets(batches):
         for b in pieces(batches):
-            found = [shingles(t, n) for t in b.column(4).to_pylist()]
+            found = [shingles(t, n) for t in b.column(2).to_pylist()]
             h = node_numbers(found)
             keep = pa.array(h == b.column(0).to_numpy())  # rows with the same id and another text are not the node's
-            out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "component", "blocks", "block", "shingles"])
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "component", "shingles"])
             yield out.filter(keep)
 
-    held = held.mapInArrow(sets, "node long, component long, blocks int, block int, shingles binary")
-    # A family of one block is one group; of more, each pair of blocks is one.
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
-    groups = held.select("node", "component", "block", "shingles", other.alias("g")).select("component", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "node", "block", "shingles")
-    groups = groups.repartition(2 * parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    members = held.mapInArrow(sets, "node long, component long, shingles binary").withColumn("ball", F.col("node"))
+    sizes = materialize(family.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    return _family_links(members, sizes, parts, percent)
+
+
+MEMBER = "node long, component long, shingles binary, ball long"
+
+
+def _stream(batches, keys: int, size: int = 4096):
+    """(key, rows) for the runs of equal keys in sorted batches; `keys` columns come first."""
+    key, rows = None, []
+    for b in pieces(batches, size):
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield key, rows
+
+
+def _pair_batch(pairs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _joined_in_memory(members: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(a, b) within each component of (component, i, j, node, side, ball, shingles); sides count where i <> j."""
 
     def join(batches):
-        key, ids, members, blocks = None, [], [], []
-
-        def finish():
-            unlike = len(set(blocks)) > 1
-            found = region_join(members, np.array(blocks) if unlike else None, percent) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in found], pa.int64()), pa.array([ids[b] for _, b in found], pa.int64())], ["a", "b"])
-
-        for b in pieces(batches, 4096):
-            for component, i, j, node, block, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (component, i, j) != key:
-                    if ids:
-                        yield finish()
-                    key, ids, members, blocks = (component, i, j), [], [], []
-                if ids and ids[-1] == node:
-                    continue
-                ids.append(node)
-                members.append(np.frombuffer(data, _U))
-                blocks.append(block if i != j else 0)
-        if ids:
-            yield finish()
-
-    return groups.mapInArrow(join, "a long, b long")
+        for (_, i, j), rows in _stream(batches, 3):
+            some = {r[0]: r for r in rows}  # a node may come more than once
+            node, side, ball, data = zip(*some.values(), strict=True)
+            found = region_join([np.frombuffer(x, _U) for x in data], np.array(side) if i != j else None, percent, np.array(ball)) if len(node) > 1 else []
+            yield _pair_batch([(node[a], node[b]) for a, b in found])
+
+    groups = members.select("component", "i", "j", "node", "side", "ball", "shingles").repartition(2 * parts, "component", "i", "j")
+    return groups.sortWithinPartitions("component", "i", "j", "node").mapInArrow(join, "a long, b long")
+
+
+def _family_links(members: DataFrame, sizes: DataFrame, parts: int, percent: int, level: int = 0) -> DataFrame:
+    """(a, b): links that connect what links connect within the components of `members` (MEMBER), by Voronoi regions.
+
+    `sizes` is (component, n). Members of equal balls are known to hang together.
+    """
+    whole = F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")
+    few = members.join(_small(sizes.where(F.col("n") <= BLOCK)), "component", "left_semi")
+    links = _joined_in_memory(few.select("*", *whole), parts, percent)
+    large = materialize(sizes.where(F.col("n") > BLOCK), "large")
+    if not large.count():
+        return links
+    many = materialize(members.join(_small(large), "component").withColumn("draw", F.xxhash64("node", F.lit(level))), "many")
+
+    def far(batches):
+        """Pivots far from each other, the first being the largest set."""
+        for (component,), rows in _stream(batches, 1):
+            sets = [np.frombuffer(r[1], _U) for r in rows]
+            nearest, at, chosen = np.ones(len(sets)), int(np.argmax([len(s) for s in sets])), []
+            while len(chosen) < min(FAR_PIVOTS, len(sets)):
+                chosen.append(at)
+                inter = np.array([np.intersect1d(sets[at], s, assume_unique=True).size for s in sets])
+                nearest = np.minimum(nearest, 1 - inter / (len(sets[at]) + np.array([len(s) for s in sets]) - inter))
+                nearest[chosen] = -1
+                at = int(np.argmax(nearest))
+            yield pa.RecordBatch.from_arrays([pa.array([component] * len(chosen), pa.int64()), pa.array(range(len(chosen)), pa.int32()), pa.array([rows[c][0] for c in chosen], pa.int64()), pa.array([rows[c][1] for c in chosen], pa.binary())], ["component", "k", "node", "shingles"])
+
+    drawn = many.where(F.pmod("draw", F.ceil(F.col("n") / CANDIDATES)) == 0).select("component", "node", "shingles")  # some CANDIDATES of each family
+    pivots = materialize(drawn.repartition(parts, "component").sortWithinPartitions("component", "node").mapInArrow(far, "component long, k int, node long, shingles binary"), "pivots")
+    salts = F.ceil(F.col("n") / SHARE).cast("int")
+    dealt = many.select("component", F.pmod(F.shiftright("draw", 20), salts).cast("int").alias("salt"), F.lit(-1).alias("k"), "node", "shingles", "ball")
+    everywhere = pivots.join(_small(large), "component").select("component", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "k", "node", "shingles", F.col("node").alias("ball"))
+    dealt = dealt.unionByName(everywhere).repartition(2 * parts, "component", "salt").sortWithinPartitions("component", "salt", F.desc("k"), "node")
+    reach = 2 * (1 - percent / 100) + 1e-9
+
+    def place(batches):
+        """Each member with its nearest pivot, the regions of its windows, and the pivots it is linked to as a bit mask."""
+        for (component, _), rows in _stream(batches, 2):
+            centres = sorted((r for r in rows if r[0] >= 0), key=lambda r: r[0])
+            own = [r for r in rows if r[0] < 0]
+            for at in range(0, len(own), 512):
+                some = own[at : at + 512]
+                sets = [np.frombuffer(r[2], _U) for r in some]
+                size = np.array([len(s) for s in sets], np.int64)
+                flat, starts = np.concatenate(sets), np.cumsum(size) - size
+                d, mask = np.ones((max(1, len(centres)), len(some))), np.zeros(len(some), np.int64)
+                for k, (_, _, data, _) in enumerate(centres):
+                    centre = np.frombuffer(data, _U)
+                    spot = np.searchsorted(centre, flat)
+                    spot[spot == len(centre)] = 0
+                    inter = np.add.reduceat(centre[spot] == flat, starts, dtype=np.int64)
+                    d[k] = 1 - inter / (size + len(centre) - inter)
+                    mask |= linked(inter, size, np.int64(len(centre)), percent).astype(np.int64) << k
+                home = d.argmin(axis=0)
+                near = d <= d.min(axis=0) + reach
+                near[home, np.arange(len(some))] = False
+                tied = [[r[1] for k, r in enumerate(centres) if m >> k & 1] for m in mask.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r[1] for r in some], pa.int64()), pa.array([component] * len(some), pa.int64()), pa.array([r[2] for r in some], pa.binary()), pa.array([r[3] for r in some], pa.int64()),
+                        pa.array(home.astype(np.int32)), pa.array([np.flatnonzero(near[:, i]).tolist() for i in range(len(some))], pa.list_(pa.int32())), pa.array(mask), pa.array(tied, pa.list_(pa.int64())),
+                    ],
+                    ["node", "component", "shingles", "ball", "home", "windows", "mask", "tied"],
+                )
+
+    placed = materialize(dealt.mapInArrow(place, f"{MEMBER}, home int, windows array<int>, mask long, tied array<long>"), "placed")
+    links = links.unionByName(placed.select(F.col("node").alias("a"), F.explode("tied").alias("b")).where("a <> b"))
+
+    def melt(batches):
+        """For each family: the ball of each pivot. At most 2^FAR_PIVOTS masks."""
+        for b in pieces(batches):
+            balls = []
+            for masks in b.column(1).to_pylist():
+                union = _Union(FAR_PIVOTS)
+                for m in masks:
+                    bits = [k for k in range(FAR_PIVOTS) if m >> k & 1]
+                    for k in bits[1:]:
+                        x, y = union.find(bits[0]), union.find(k)
+                        union.parent[max(x, y)] = min(x, y)
+                balls.append([union.find(k) for k in range(FAR_PIVOTS)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(balls, pa.list_(pa.int32()))], ["component", "melted"])
+
+    masks = placed.where("mask <> 0").groupBy("component").agg(F.collect_set("mask").alias("masks"))
+    melted = materialize(masks.mapInArrow(melt, "component long, melted array<int>"), "melted")
+    # Members of a ball take its name; others keep the ball that they came with.
+    lowest = F.log2(F.col("mask").bitwiseAND(-F.col("mask")).cast("double")).cast("int")
+    named_ball = F.when(F.col("mask") != 0, F.xxhash64("component", F.get("melted", lowest), F.lit(level))).otherwise(F.col("ball"))
+    balled = placed.drop("tied").join(_small(melted), "component", "left").withColumn("ball", named_ball).drop("melted", "mask")
+    tops = balled.groupBy("component", "ball").agg(F.count("*").alias("m")).groupBy("component").agg(F.max_by("ball", F.struct("m", "ball")).alias("top"), F.sum("m").alias("n_before"))
+    tops = materialize(tops, "tops")
+    known = balled.join(_small(tops), "component")
+    others = F.when(F.col("ball") == F.col("top"), F.array().cast("array<int>")).otherwise(F.col("windows"))
+    region = F.xxhash64("component", F.col("r"), F.lit(level))
+    dealt = known.select("node", "component", "shingles", "ball", "top", "n_before", F.explode(F.concat(F.array("home"), others)).alias("r")).withColumn("component", region)
+    dealt = materialize(dealt.select("node", "component", "shingles", "ball", "top", "n_before"), "regions")
+    found = dealt.groupBy("component").agg(F.count("*").alias("n"), F.max("n_before").alias("n_before"), (F.min("ball") != F.max("ball")).alias("open"), F.first("top").alias("top")).where("open")
+    found = materialize(found, "open")
+    # A region that is nearly as large as the family it comes from can't be split by distances.
+    stuck = (F.col("n") > BLOCK) & ((F.col("n") > 0.7 * F.col("n_before")) | F.lit(level + 1 >= LEVELS))
+    split = found.where(~stuck).select("component", "n")
+    fields = ["node", "component", "shingles", "ball"]
+    links = links.unionByName(_family_links(dealt.join(_small(split), "component", "left_semi").select(*fields), split, parts, percent, level + 1))
+    rest = found.where(stuck)
+    return links.unionByName(_in_blocks(dealt.drop("n_before", "top"), materialize(rest.select("component", "top"), "stuck"), parts, percent))
+
+
+def _in_blocks(members: DataFrame, regions: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(a, b) in regions (component, top) that distances don't split: each block with each block of which one is not in the largest ball."""
+    if not regions.count():
+        return members.sparkSession.createDataFrame([], "a long, b long")
+    own = members.join(_small(regions), "component").withColumn("outside", F.col("ball") != F.col("top"))
+    counts = own.groupBy("component").agg(F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("out_blocks"), F.ceil(F.count_if(~F.col("outside")) / BLOCK).cast("int").alias("in_blocks"))
+    dealt = own.join(_small(materialize(counts, "blocks")), "component")
+    # Blocks 0 to out_blocks - 1 are outside the ball. A block of the ball meets those; one outside meets all.
+    block = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), F.greatest("out_blocks", F.lit(1)))).otherwise(F.col("out_blocks") + F.pmod(F.xxhash64("node"), F.greatest("in_blocks", F.lit(1)))).cast("int")
+    last = F.when(F.col("outside"), F.col("out_blocks") + F.col("in_blocks")).otherwise(F.col("out_blocks")) - 1
+    other = F.explode(F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
+    groups = dealt.withColumn("block", block).where(last >= 0).select("*", other.alias("g")).select("component", F.col("g.i").alias("i"), F.col("g.j").alias("j"), F.col("block").alias("side"), "node", "ball", "shingles")
+    return _joined_in_memory(groups, parts, percent)
+
+
+def _roots(df: DataFrame, percent: int, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node, text_hash, ..) of the rows, and (node, root, low, copies) of the nodes that have shingles.
+
+    `low` is the smallest id of the node's rows. Rows of a node are counted before they are joined to anything.
+    """
+    nodes = materialize(nodes_of(df, id_col, text_col, n), "nodes")
+    joined = connected_components(links(df, nodes, percent, n, id_col, text_col))
+    counted = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
+    return nodes, materialize(counted.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "low", "copies"), "roots")
 
 
 def components(df: DataFrame, percent: int = 80, n: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id is the smallest id that links reach."""
-    nodes = materialize(nodes_of(df, id_col, text_col, n), "nodes")
-    joined = connected_components(links(df, nodes, percent, n, id_col, text_col))
-    rows = nodes.select("doc_id", "n_shingles", "node").join(joined, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("root"))
-    lowest = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    some = rows.where("n_shingles > 0").join(lowest, "root").select("doc_id", "n_shingles", "component_id")
-    return some.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    nodes, roots = _roots(df, percent, n, id_col, text_col)
+    lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    of_node = join_totals(roots, lowest, ["root"], roots.count()).select("node", "component_id", F.col("copies").alias("n"))
+    some = join_totals(nodes.where("n_shingles > 0").select("doc_id", "n_shingles", "node"), of_node, ["node"], nodes.count()).select("doc_id", "n_shingles", "component_id")
+    return some.unionByName(nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one_of_each(df: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows whose id is the smallest of their component, each once."""
-    kept = components(df.select("doc_id", "text"), percent).where("doc_id = component_id").select("doc_id").distinct()
-    return df.join(kept, "doc_id", "left_semi").unionByName(df.where("doc_id IS NULL")).select(*df.columns)
+    """One row of each component: that of the smallest id, of several with that id the one with the lowest hash of its text.
+
+    Rows without shingles link with nothing; of those with equal id and text one stays. A null id comes after all others,
+    and is one like any other: near copies go, whether they have an id or not.
+    """
+    nodes, roots = _roots(df, percent, WORDS, "doc_id", "text")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash").alias("k")
+    rows = nodes.select("n_shingles", "node", key)
+    of_node = rows.where("n_shingles > 0").groupBy("node").agg(F.min("k").alias("k"))
+    best = of_node.join(roots.select("node", "root"), "node").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
+    kept = best.unionByName(rows.where("n_shingles = 0").select("k.*").distinct())
+    number = F.col("doc_id").cast("long")
+    keyed = df.select(*(F.col(c).alias(f"_c_{c}") for c in df.columns), number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    one = keyed.join(kept, ["none", "id", "text_hash"], "left_semi").dropDuplicates(["none", "id", "text_hash"])
+    return one.select(*(F.col(f"_c_{c}").alias(c) for c in df.columns))
