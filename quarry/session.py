@@ -66,11 +66,13 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local default is set only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below spark.checkpoint.dir. Where that is unset, a local session uses a folder of its own; on a cluster
+    that would be another disk for each executor, so there it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        existing = spark.sparkContext.getCheckpointDir()
-        root = existing or "/tmp/checkpoints/quarry"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "/tmp/checkpoints/quarry"
     _made.append(f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}")
     return _made[-1]
 
