@@ -112,37 +112,52 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
 
 
-def _good(c: str) -> bool:
-    return c in "\t\n\r" or " " <= c <= "~" or "가" <= c <= "힣" or "ㄱ" <= c <= "ㆎ" or "一" <= c <= "鿿" or "぀" <= c <= "ヿ" or "　" <= c <= "〿" or "＀" <= c <= "￯"
+# Characters that ordinary text of the collection consists of; kana and ideographs are what other code pages make of it.
+ORDINARY = r"[\n\r\t -~가-힣　-〿！-｠]"
+_STRANGE = re.compile(ORDINARY.replace("[", "[^", 1))
+LEGACY = ("cp949", "euc-kr", "utf-16-le", "utf-16-be")
+LIKENESS_HEAD = 2000
 
 
 def likeness_to_text(text: str) -> float:
     """The share of ordinary characters among the first 2000."""
-    head = text[:2000]
-    return sum(map(_good, head)) / len(head) if head else 0.0
+    head = text[:LIKENESS_HEAD]
+    return 1 - len(_STRANGE.findall(head)) / len(head) if head else 0.0
+
+
+def text_likeness(text: Column) -> Column:
+    """`likeness_to_text` as an expression."""
+    head = F.substring(text, 1, LIKENESS_HEAD)
+    return F.when(head == "", 0.0).otherwise(F.regexp_count(head, F.lit(ORDINARY)) / F.length(head))
+
+
+def _read(data: bytes, encoding: str) -> str | None:
+    """The text, if need be without up to three bytes of a character that a cut has left at the end."""
+    for end in range(len(data), max(-1, len(data) - 4), -1):
+        try:
+            return data[:end].decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    return None
+
+
+def _zeros_tell_utf16(data: bytes) -> bool:
+    """Whether many of the even or of the odd bytes are zero, as where Latin letters take two bytes."""
+    head = data[: min(len(data), 512) & ~1]
+    return len(head) >= 16 and max(head[0::2].count(0), head[1::2].count(0)) > 0.15 * len(head)
 
 
 def decode(data: bytes) -> str:
     """Text of bytes of unknown encoding: marks first, then UTF-8, then the candidate that looks most like text."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if data.startswith(mark):
-            return data[len(mark) :].decode(name, "ignore")
-    for cut in range(4):  # a chunk may end inside a character
-        try:
-            return data[: len(data) - cut].decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-    best, most = "", -1.0
-    for name in ("cp949", "euc-kr", "utf-16-le", "utf-16-be"):
-        for cut in range(4):
-            try:
-                text = data[: len(data) - cut].decode(name)
-            except UnicodeDecodeError:
-                continue
-            if (score := likeness_to_text(text)) > most:
-                best, most = text, score
-            break
-    return best if most >= 0 else data.decode("utf-8", "replace")
+            rest = data[len(mark) :]
+            return text if (text := _read(rest, name)) is not None else rest.decode(name, "replace")
+    if (text := _read(data, "utf-8")) is not None:
+        return text
+    names = LEGACY[2:] + LEGACY[:2] if _zeros_tell_utf16(data) else LEGACY
+    readings = [text for name in names if (text := _read(data, name)) is not None]
+    return max(readings, key=likeness_to_text) if readings else data.decode("utf-8", "replace")  # the first of equal ones
 
 
 @F.pandas_udf(T.StringType())
@@ -150,6 +165,23 @@ def decoded(data: pd.Series) -> pd.Series:
     return data.map(lambda d: None if d is None else decode(bytes(d)))
 
 
+def decode_labelled(data: bytes) -> tuple[str, str, str]:
+    """Text, encoding and byte-order mark of bytes that must be whole: the first encoding that reads them."""
+    mark = "UTF-8" if data.startswith(b"\xef\xbb\xbf") else "UTF-16" if data[:2] in (b"\xff\xfe", b"\xfe\xff") else ""
+    tried = [("utf-8-sig" if mark == "UTF-8" else "utf-16", mark)] if mark else []
+    for name, label in (*tried, ("utf-8", "UTF-8"), ("cp949", "CP949"), ("euc-kr", "EUC-KR"), ("latin-1", "Latin-1")):
+        try:
+            return data.decode(name), label, mark
+        except UnicodeError:
+            continue
+    raise AssertionError("Latin-1 reads all bytes")
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "encoding", "bom")]))
+def decoded_labelled(data: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None, None) if d is None else decode_labelled(bytes(d)) for d in data], columns=["text", "encoding", "bom"])
+
+
 def char_grams(text: Column, n: int = 4) -> Column:
     """Distinct runs of n characters of the lower-cased text without spaces."""
     flat = F.lower(F.regexp_replace(text, r"(?U)\s+", ""))

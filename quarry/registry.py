@@ -79,7 +79,7 @@ SELECT id AS doc_id, substr(fp, 1, 16) AS fingerprint, copies, row_number() OVER
 def dup_text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "n_chars", "text"))
     prints = docs.select("doc_id", "n_chars", text.sentence_fingerprint("text").alias("f")).select("doc_id", "n_chars", F.col("f.fingerprint").alias("fp"))
-    kept = grouping.survivor(grouping.groups_of(prints, "fp"), ["fp"], [F.desc("n_chars"), F.col("doc_id")])
+    kept = grouping.survivor(grouping.groups_of(materialize(prints, "prints"), "fp"), ["fp"], [-F.col("n_chars"), F.col("doc_id")])
     return kept.select("doc_id", F.substring("fp", 1, 16).alias("fingerprint"), "copies", "keep")
 
 
@@ -370,7 +370,7 @@ SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PART
 """)
 def latest_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts", "value")
-    best = grouping.survivor(events, ["user_id"], [F.desc("value"), F.desc("ts"), F.col("event_id")])
+    best = grouping.survivor(events, ["user_id"], [-F.col("value"), -F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")])
     return best.where("keep").select("user_id", "event_id", "event_type", "ts")
 
 

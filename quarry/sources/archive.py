@@ -3,13 +3,18 @@
     spark.dataSource.register(ArchiveSource)
     spark.read.format("archive").option("level", "hash").load(folder)
 
-`level` sets how much is read: directory (names, sizes, CRC32 of the central directory), hash (SHA-256 of every member,
-in chunks) or content (the bytes, too). Broken archives give a row with an error, so one bad file fails no scan.
-Archives are dealt into partitions by size. The folder must be visible to all executors.
+Options: `level` sets how much is read: directory (names, sizes, CRC32 of the central directory), hash (SHA-256 of every
+file and member, in chunks) or content (the bytes, too). `members` is false to leave archives closed, `entry` names one
+member ("outer.zip :: inner.txt") of which alone the content is read, `recursive` is false to stay in the folder.
+
+Nothing fails a scan: a folder, file, archive or member that can't be read gives a row of kind "skipped" or "broken", or a
+member row, with the error. Folders are dealt into partitions; a folder's files are listed where they are read, and the driver sees
+only the folders. The folder must be visible to all executors.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import os
 import zipfile
@@ -17,9 +22,15 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "path string, kind string, member string, size long, crc32 string, sha256 string, modified timestamp, error string, content binary"
+SCHEMA = (
+    "path string, kind string, member string, entry int, size long, compressed long, method int, flags int, extra_size int, comment_size int,"
+    " crc32 string, sha256 string, modified timestamp, mtime_ns long, error string, content binary"
+)
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 CHUNK = 1 << 20
-MAX_PARTITION = 256 << 20
+SHARES, MOST_SHARES = 16, 2048  # partitions of one folder's files, and of all folders where they are many
+ARCHIVES = (".zip", ".cbz", ".epub")
+LAST_NS = (1 << 63) - 1
 
 
 def is_noise(name: str) -> bool:
@@ -42,69 +53,117 @@ def member_name(info: zipfile.ZipInfo) -> str:
     return info.filename
 
 
-class Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def clamped_ns(ns: int) -> int:
+    """Times that don't fit into 64 bits count as 0."""
+    return ns if -LAST_NS - 1 <= ns <= LAST_NS else 0
+
+
+def timestamp(seconds: float) -> datetime.datetime | None:
+    """UTC, or None where no calendar holds the time."""
+    try:
+        return datetime.datetime.fromtimestamp(seconds, datetime.UTC)
+    except (OSError, OverflowError, ValueError):
+        return None
+
+
+def member_time(info: zipfile.ZipInfo) -> datetime.datetime | None:
+    try:
+        return datetime.datetime(*info.date_time, tzinfo=datetime.UTC)
+    except ValueError:
+        return None
+
+
+def said(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
+class Share(InputPartition):
+    """Every `of`-th file of each of the folders, from `at` on."""
+
+    def __init__(self, folders: list[str], at: int, of: int):
+        self.folders, self.at, self.of = folders, at, of
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder = options["path"].removeprefix("file:")
+        self.folder = options.get("path", "").removeprefix("file:")
         self.level = options.get("level", "directory")
         self.members = options.get("members", "true") == "true"
-
-    def partitions(self) -> list[Files]:
-        found = []
-        for root, folders, names in os.walk(self.folder):
-            folders.sort()
-            found += [(os.path.join(root, n), os.path.getsize(os.path.join(root, n))) for n in sorted(names) if not os.path.islink(os.path.join(root, n))]
-        out, held, size = [], [], 0
-        for path, n in found:
-            if held and size + n > MAX_PARTITION:
-                out.append(Files(held))
-                held, size = [], 0
-            held.append(path)
-            size += n
-        return [*out, Files(held)]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
-        for path in partition.paths:
-            yield from self._file(path)
+        self.recursive = options.get("recursive", "true") == "true"
+        self.outer, _, self.inner = options.get("entry", "").partition(" :: ")
+
+    def partitions(self) -> list[Share]:
+        if self.outer:
+            return [Share([os.path.dirname(self.outer)], 0, 1)]
+        folders = [root for root, _, _ in os.walk(self.folder)] if self.recursive else [self.folder]
+        folders = folders or [self.folder]
+        if len(folders) * SHARES > MOST_SHARES:
+            return [Share(folders[k::MOST_SHARES], 0, 1) for k in range(min(len(folders), MOST_SHARES))]
+        return [Share([f], k, SHARES) for f in folders for k in range(SHARES)]
+
+    def read(self, partition: Share) -> Iterator[tuple]:
+        for folder in partition.folders:
+            try:
+                with os.scandir(folder) as found:
+                    names = sorted(e.name for e in found)
+            except OSError as e:
+                if partition.at == 0:
+                    yield self._row(path=folder, kind="skipped", error=said(e))
+                continue
+            for name in names[partition.at :: partition.of]:
+                path = os.path.join(folder, name)
+                if not (os.path.islink(path) or os.path.isdir(path) or self.outer and path != self.outer):
+                    yield from self._file(path)
+
+    @staticmethod
+    def _row(**values) -> tuple:
+        return tuple(values.get(c) for c in COLUMNS)
 
     def _file(self, path: str) -> Iterator[tuple]:
-        import datetime
-
-        stamp = datetime.datetime.fromtimestamp(os.path.getmtime(path), datetime.UTC)
-        sha = data = None
-        if self.level != "directory":
-            with open(path, "rb") as f:
-                sha = hashlib.file_digest(f, "sha256").hexdigest()
-        if self.level == "content":
-            with open(path, "rb") as f:
-                data = f.read()
-        yield path, "file", None, os.path.getsize(path), None, sha, stamp, None, data
-        if not self.members or not path.lower().endswith((".zip", ".cbz", ".epub")):
+        try:
+            stat = os.stat(path)
+            own = {"path": path, "size": stat.st_size, "modified": timestamp(stat.st_mtime), "mtime_ns": clamped_ns(stat.st_mtime_ns)}
+            if self.level != "directory" and not self.inner:
+                with open(path, "rb") as f:
+                    own["sha256"], own["content"] = self._taken(f)
+        except OSError as e:
+            yield self._row(path=path, kind="skipped", error=said(e))
+            return
+        if not self.inner:
+            yield self._row(kind="file", **own)
+        if not self.members or not path.lower().endswith(ARCHIVES):
             return
         try:
-            with zipfile.ZipFile(path) as z:
-                for info in z.infolist():
-                    if info.is_dir() or is_noise(info.filename):
-                        continue
-                    sha = data = error = None
-                    if self.level != "directory":
-                        try:
-                            digest, kept = hashlib.sha256(), []
-                            with z.open(info) as f:
-                                while chunk := f.read(CHUNK):
-                                    digest.update(chunk)
-                                    if self.level == "content":
-                                        kept.append(chunk)
-                            sha, data = digest.hexdigest(), b"".join(kept) if self.level == "content" else None
-                        except Exception as e:  # noqa: BLE001  a broken member is a row, not a failed scan
-                            error = f"{type(e).__name__}: {e}"
-                    yield path, "zip item", member_name(info), info.file_size, f"{info.CRC:08x}", sha, stamp, error, data
-        except Exception as e:  # noqa: BLE001
-            yield path, "broken", None, None, None, None, stamp, f"{type(e).__name__}: {e}", None
+            with zipfile.ZipFile(path) as archive:
+                for k, info in enumerate(archive.infolist()):
+                    if not info.is_dir() and not is_noise(info.filename):
+                        row = self._member(archive, k, info)
+                        if not self.inner or row["member"] == self.inner:
+                            yield self._row(path=path, mtime_ns=own["mtime_ns"], **row)
+        except Exception as e:  # noqa: BLE001  whatever a broken archive makes its reader say
+            yield self._row(path=path, kind="broken", modified=own["modified"], mtime_ns=own["mtime_ns"], error=said(e))
+
+    def _taken(self, source) -> tuple[str, bytes | None]:
+        """SHA-256 and, where asked for, the bytes, read in chunks."""
+        digest, kept = hashlib.sha256(), []
+        while chunk := source.read(CHUNK):
+            digest.update(chunk)
+            if self.level == "content":
+                kept.append(chunk)
+        return digest.hexdigest(), b"".join(kept) if self.level == "content" else None
+
+    def _member(self, archive: zipfile.ZipFile, k: int, info: zipfile.ZipInfo) -> dict:
+        row = {
+            "kind": "zip item", "member": member_name(info), "entry": k, "size": info.file_size, "compressed": info.compress_size, "method": info.compress_type,
+            "flags": info.flag_bits, "extra_size": len(info.extra), "comment_size": len(info.comment), "crc32": f"{info.CRC:08x}", "modified": member_time(info),
+        }
+        if self.level != "directory" and (not self.inner or row["member"] == self.inner):
+            try:
+                with archive.open(info) as source:
+                    row["sha256"], row["content"] = self._taken(source)
+            except Exception as e:  # noqa: BLE001  a broken member is a row, not a failed scan
+                row["error"] = said(e)
+        return row
 
 
 class ArchiveSource(DataSource):

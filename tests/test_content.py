@@ -68,9 +68,16 @@ def test_renames(spark):
     assert r.new_name("it's here.txt", o(author="X", author_at="suffix", case="title")) == "It'S Here [X].txt"
     df = spark.createDataFrame([("a_b.txt", 0), ("1_2.txt", 1)], "name string, i int")
     assert [x[0] for x in df.select(r.renamed(F.col("name"), F.col("i"), o(start_number=1))).collect()] == ["a b001.txt", "1_2002.txt"]
-    got = r.smart_fields("3947_[톤냐] 피 위에 핀 꽃 34화 (완결).txt")
-    assert got["writer"] == "톤냐" and got["episodes"] == 34 and got["complete"]
-    assert r.is_suspicious("--") and not r.is_suspicious("겨울 항구 안내서")
+    names = spark.createDataFrame([("3947_[톤냐] 피 위에 핀 꽃 34화 (완결).txt", 7), ("별빛 정원 [무협, 완결] [김작가].epub", 1), ("바다의 노래 - 이바다.txt", 2), (None, 3)], "name string, smart int").drop("smart")
+    got = {x.name: x.smart for x in r.with_smart_fields(names).collect()}
+    first = got["3947_[톤냐] 피 위에 핀 꽃 34화 (완결).txt"]
+    assert first.writer == "톤냐" and first.episodes == 34 and first.complete
+    assert got["별빛 정원 [무협, 완결] [김작가].epub"].writer == "김작가" and got["별빛 정원 [무협, 완결] [김작가].epub"].stem == "별빛 정원 [무협, 완결]"
+    assert got["바다의 노래 - 이바다.txt"].writer == "이바다" and got["바다의 노래 - 이바다.txt"].stem == "바다의 노래"
+    titles = spark.createDataFrame([("--", "x"), ("겨울 항구 안내서", "y"), ("", "z"), (None, "n"), ("!!a!!!!!", "w")], "book string, file string")
+    assert [x[0] for x in titles.select(r.shown_title(F.col("file"), F.col("book"))).collect()] == ["x", "겨울 항구 안내서", "z", "n", "w"]
+    bad = df.select(r.planned(F.col("name"), F.col("i"), F.lit(""), o(find="(", regex=True)).alias("p")).collect()
+    assert all(x.p.target is None and x.p.error for x in bad)
 
 
 def test_text_verdicts(spark):
