@@ -538,18 +538,17 @@ def _family_links(members: DataFrame, sizes: DataFrame, parts: int, percent: int
     tops = materialize(tops, "tops")
     known = balled.join(_small(tops), "component")
     others = F.when(F.col("ball") == F.col("top"), F.array().cast("array<int>")).otherwise(F.col("windows"))
-    region = F.xxhash64("component", F.col("r"), F.lit(level))
-    dealt = known.select("node", "component", "shingles", "ball", "top", "n_before", F.explode(F.concat(F.array("home"), others)).alias("r")).withColumn("component", region)
-    dealt = materialize(dealt.select("node", "component", "shingles", "ball", "top", "n_before"), "regions")
-    found = dealt.groupBy("component").agg(F.count("*").alias("n"), F.max("n_before").alias("n_before"), (F.min("ball") != F.max("ball")).alias("open"), F.first("top").alias("top")).where("open")
-    found = materialize(found, "open")
-    # A region that is nearly as large as the family it comes from can't be split by distances.
-    stuck = (F.col("n") > BLOCK) & ((F.col("n") > 0.7 * F.col("n_before")) | F.lit(level + 1 >= LEVELS))
-    split = found.where(~stuck).select("component", "n")
-    fields = ["node", "component", "shingles", "ball"]
-    links = links.unionByName(_family_links(dealt.join(_small(split), "component", "left_semi").select(*fields), split, parts, percent, level + 1))
-    rest = found.where(stuck)
-    return links.unionByName(_in_blocks(dealt.drop("n_before", "top"), materialize(rest.select("component", "top"), "stuck"), parts, percent))
+    known = materialize(known.select("node", "component", "shingles", "ball", "top", "n_before", F.concat(F.array("home"), others).alias("regions")), "known")
+    dealt = known.select("component", "ball", "n_before", F.explode("regions").alias("r"))
+    found = dealt.groupBy("component", "r").agg(F.count("*").alias("n"), F.max("n_before").alias("n_before"), (F.min("ball") != F.max("ball")).alias("open"))
+    found = materialize(found.where("open").withColumn("region", F.xxhash64("component", "r", F.lit(level))), "open")
+    # Where a region is nearly as large as its family, distances don't split the family, and it is joined as a whole.
+    too_large = (F.col("n") > BLOCK) & ((F.col("n") > 0.7 * F.col("n_before")) | F.lit(level + 1 >= LEVELS))
+    stuck = materialize(found.where(too_large).join(known.select("component", "top").distinct(), "component").select("component", "top").distinct(), "stuck")
+    split = materialize(found.join(_small(stuck), "component", "left_anti"), "split")
+    members = known.select("node", "component", "shingles", "ball", F.explode("regions").alias("r")).join(_small(split.select("component", "r", "region")), ["component", "r"])
+    links = links.unionByName(_family_links(members.select("node", F.col("region").alias("component"), "shingles", "ball"), split.select(F.col("region").alias("component"), "n"), parts, percent, level + 1))
+    return links.unionByName(_in_blocks(known.select("node", "component", "shingles", "ball"), stuck, parts, percent))
 
 
 def _in_blocks(members: DataFrame, regions: DataFrame, parts: int, percent: int) -> DataFrame:
