@@ -19,5 +19,6 @@ def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], most: int,
     held = totals.select(*keys, F.struct(*names).alias("_total"), count)
     hot = F.broadcast(held.where(F.col(count) > max(LEAST_HOT, most // HOT_KEYS)).select(*keys, F.col("_total").alias("_hot")))  # at most HOT_KEYS rows
     salted = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(parts))).cast("int"))
-    found = salted.join(held.select(*keys, "_total", F.lit(0).alias("_salt")), [*keys, "_salt"], "left").withColumn("_total", F.coalesce("_hot", "_total"))
+    # A literal 0 would be folded into a condition, and rows of a hot key would meet in one task after all.
+    found = salted.join(held.select(*keys, "_total", (F.col(count) % 1).cast("int").alias("_salt")), [*keys, "_salt"], "left").withColumn("_total", F.coalesce("_hot", "_total"))
     return found.where("_total IS NOT NULL").select(*rows.columns, *(F.col(f"_total.{c}").alias(c) for c in names))

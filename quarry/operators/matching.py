@@ -5,15 +5,13 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import char_grams, sentence_array
 
-BROADCAST_BYTES = 64 << 20
-
 
 def sentence_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sentence, n): a row for each distinct sentence, and the row's number of them. The text is left behind."""
@@ -29,9 +27,12 @@ def reference_matches(targets: DataFrame, key: str, text: str, reference: DataFr
     return counts.withColumn("match_ratio", F.round(F.col("match_count") * 100.0 / F.col("sentence_count"), 1))
 
 
-def number_copies(bag: DataFrame, owner: str, *signature: str) -> DataFrame:
-    """Rows of a bag with a number among the equal ones of their owner, so that bags match by a plain join."""
-    return bag.withColumn("copy", F.row_number().over(W.partitionBy(owner, *signature).orderBy(F.lit(1))))
+def sentence_overlaps(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid: str, rtext: str) -> DataFrame:
+    """(lid, rid, common, overlap, left_coverage, right_coverage) for pairs that share sentences, in percent; overlap is that of the smaller side."""
+    x, y = sentence_rows(left, lid, ltext), sentence_rows(right, rid, rtext).withColumnRenamed("n", "m")
+    met = x.join(y, "sentence").groupBy(lid, rid).agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
+    percent = lambda whole: F.round(F.col("common") * 100.0 / whole, 1)
+    return met.select(lid, rid, "common", percent(F.least("n", "m")).alias("overlap"), percent(F.col("n")).alias("left_coverage"), percent(F.col("m")).alias("right_coverage"))
 
 
 def bag_overlaps(bag: DataFrame, owner: str, item: str) -> DataFrame:
@@ -92,7 +93,3 @@ def full_compare(a: DataFrame, b: DataFrame, key: str, *values: str) -> DataFram
     x, y = a.select(key, F.struct(*values).alias("_x")), b.select(key, F.struct(*values).alias("_y"))
     status = F.when(F.col("_y").isNull(), "left_only").when(F.col("_x").isNull(), "right_only").when(F.col("_x") == F.col("_y"), "same").otherwise("changed")
     return x.join(y, key, "full_outer").select(key, status.alias("status"))
-
-
-def contains_either_way(a: Column, b: Column) -> Column:
-    return a.contains(b) | b.contains(a)

@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import names, text
+from quarry.functions import display, names, rename, text
 from quarry.operators import grouping, library, manifest, matching
-from quarry.operators.components import connected_components
-from quarry.plans import commands
+from quarry.plans import archives, commands, compare
 from quarry.session import materialize, spread, table
-from quarry.streaming import incremental
+from quarry.streaming import incremental, jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,22 +106,6 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select("page_id", F.length("body").cast("long").alias("body_chars"), F.sha2("body", 256).alias("body_sha"))
 
 
-@query("""
-WITH RECURSIVE d AS (SELECT doc_id, lang || ':' || substr(text, 1, 40) AS title, sha256(text) AS sha FROM documents WHERE length(text) >= 40),
-s AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY title) AS b FROM d UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY sha) FROM d),
-e AS (SELECT a, b FROM s WHERE a <> b UNION SELECT b, a FROM s WHERE a <> b),
-r(node, label) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON r.node = e.a WHERE r.label < e.b),
-c AS (SELECT node, min(label) AS component FROM r GROUP BY node)
-SELECT node AS doc_id, component, count(*) OVER (PARTITION BY component) AS members, node = component AS keep FROM c
-""")
-def comprehensive_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 40").select("doc_id", F.concat("lang", F.lit(":"), F.substring("text", 1, 40)).alias("title"), F.sha2("text", 256).alias("sha"))
-    edges = [docs.join(docs.groupBy(key).agg(F.min("doc_id").alias("b")), key).select(F.col("doc_id").alias("a"), "b") for key in ("title", "sha")]
-    found = connected_components(edges[0].unionByName(edges[1]))
-    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
-    return found.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "members", (F.col("node") == F.col("component")).alias("keep"))
-
-
 @query()
 def page_text_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of equal text fingerprints; of each group the longest stays, then the first. Pages without text are not alike."""
@@ -133,11 +116,19 @@ def page_text_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(heads, "fp").select("page_id", F.substring("fp", 1, 16).alias("fingerprint"), "copies", (F.col("page_id") == F.col("k.page_id")).alias("keep"))
 
 
-@query()
+@query(
+    "WITH "
+    + _SENTENCES.format(id="doc_id", text="text", table="documents WHERE text IS NOT NULL")
+    + """, f AS (SELECT id, sha256(coalesce(string_agg(DISTINCT s, chr(10) ORDER BY s) FILTER (length(s) >= 12), any_value(t))) AS body FROM clean GROUP BY id),
+g AS (SELECT f.id, body, sha256(d.text) AS sha FROM f JOIN documents d ON d.doc_id = f.id),
+c AS (SELECT *, count(*) OVER (PARTITION BY body) AS members, count(*) OVER (PARTITION BY sha) AS same, min(id) OVER (PARTITION BY body) AS component FROM g)
+SELECT id AS doc_id, component, members, id = component AS keep, CASE WHEN same > 1 THEN 'body, hash' ELSE 'body' END AS evidence FROM c WHERE members > 1
+"""
+)
 def comprehensive_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components over equal texts and equal sentence fingerprints of whole texts, of whatever length, with evidence.
 
-    Sentences and links of a whole table are too much for recursive SQL; the tests compare with a plain search.
+    Equal texts have equal fingerprints, so in SQL the components are the groups of those.
     """
     docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
     facts = docs.select(F.col("doc_id").alias("node"), F.sha2("text", 256).alias("hash"), text.sentence_fingerprint("text").alias("f"))
@@ -178,16 +169,38 @@ def volume_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT conv_id AS o, md5(role || ':' || text) AS i, count(*) AS m FROM conversations GROUP BY ALL HAVING i IS NOT NULL),
-s AS (SELECT o, sum(m) AS size FROM h GROUP BY o),
-c AS (SELECT x.o AS a, y.o AS b, sum(least(x.m, y.m)) AS common FROM h x JOIN h y ON x.i = y.i AND x.o < y.o GROUP BY ALL)
-SELECT a, b, CAST(common AS BIGINT) AS common, CAST(p.size AS BIGINT) AS size_a, CAST(q.size AS BIGINT) AS size_b,
-CASE WHEN common = p.size AND common = q.size THEN 'exact' WHEN common = p.size THEN 'subset' WHEN common = q.size THEN 'superset' ELSE 'partial' END AS relation
-FROM c JOIN s p ON p.o = a JOIN s q ON q.o = b
+WITH h AS (SELECT l_orderkey AS o, l_suppkey AS i, count(*) AS m FROM lineitem GROUP BY ALL),
+b AS (SELECT o, string_agg(i || 'x' || m, ',' ORDER BY i) AS bag, sum(m) AS n FROM h GROUP BY o),
+k AS (SELECT bag, min(o) AS o, any_value(n) AS n FROM b GROUP BY bag),
+r AS (SELECT k.o, k.n, h.i, h.m FROM k JOIN h ON h.o = k.o),
+c AS (SELECT x.o AS a, y.o AS b, x.n AS size_a, y.n AS size_b, sum(least(x.m, y.m)) AS common FROM r x JOIN r y ON x.i = y.i AND x.n < y.n GROUP BY ALL)
+SELECT a, b, CAST(size_b - size_a AS BIGINT) AS extra FROM c WHERE common = size_a
 """)
 def archive_bag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").where("role IS NOT NULL AND text IS NOT NULL")
-    return matching.bag_overlaps(turns.select("conv_id", F.md5(F.concat("role", F.lit(":"), "text")).alias("item")), "conv_id", "item")
+    """Orders as archives of suppliers: which bags lie in which larger ones, by the first order of each bag."""
+    lines = table(spark, sf_dir, "lineitem")
+    members = lines.select(F.col("l_orderkey").alias("archive"), F.lit(".x").alias("extension"), F.col("l_suppkey").cast("string").alias("sha256"), F.lit(1).alias("size"))
+    found = materialize(archives.bags(members), "bags")
+    firsts = found.groupBy("bag").agg(F.min("archive").alias("first"))
+    inside = archives.contained_bags(members, found)
+    out = inside.join(firsts.select("bag", F.col("first").alias("a")), "bag").join(firsts.select(F.col("bag").alias("holder"), F.col("first").alias("b")), "holder")
+    return out.select("a", "b", F.col("extra").cast("long").alias("extra"))
+
+
+@query(
+    "WITH "
+    + _SENTENCES.format(id="doc_id", text="text", table="documents WHERE text IS NOT NULL")
+    + ", l AS (SELECT DISTINCT id, s FROM clean WHERE length(s) >= 12), k AS (SELECT DISTINCT id AS item_id, s FROM (WITH "
+    + _SENTENCES.format(id="item_id", text="text", table="benchmark")
+    + """ SELECT id, s FROM clean WHERE length(s) >= 12)),
+c AS (SELECT id, item_id, count(*) AS common FROM l JOIN k USING (s) GROUP BY ALL), n AS (SELECT id, count(*) AS n FROM l GROUP BY id), m AS (SELECT item_id, count(*) AS m FROM k GROUP BY item_id)
+SELECT id AS doc_id, item_id, common, round(common * 100.0 / least(n, m), 1) AS overlap, round(common * 100.0 / n, 1) AS left_coverage, round(common * 100.0 / m, 1) AS right_coverage FROM c JOIN n USING (id) JOIN m USING (item_id)
+"""
+)
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items that share sentences, with how much of each the other covers."""
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    return matching.sentence_overlaps(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 @query()
@@ -303,6 +316,95 @@ def url_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", names.extension(F.col("url")).alias("ext"), names.key_of(tail).alias("key"))
 
 
+# Names made of the parts' columns, so that every rule has something to find.
+_NAMES = """n AS (SELECT p_partkey, p_name, p_brand, p_size, '/x/' || (p_partkey % 9000 + 100) || '_[' || p_brand || '] ' || replace(p_name, ' ', '_') || ' ' || p_size || '권 ' || (p_partkey % 300) || '화'
+|| CASE WHEN p_partkey % 4 = 0 THEN ' (' || (p_partkey % 9) || ')' WHEN p_partkey % 4 = 1 THEN ' @up #tag' ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN '.txt' ELSE '.EPUB' END AS name FROM part)"""
+
+
+def _made_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    tail = F.when(key % 4 == 0, F.concat(F.lit(" ("), key % 9, F.lit(")"))).when(key % 4 == 1, " @up #tag").otherwise("")
+    name = F.concat(F.lit("/x/"), key % 9000 + 100, F.lit("_["), "p_brand", F.lit("] "), F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit(" "), "p_size", F.lit("권 "), key % 300, F.lit("화"), tail, F.when(key % 2 == 0, ".txt").otherwise(".EPUB"))
+    return part.select("p_partkey", "p_name", "p_brand", "p_size", name.alias("name"))
+
+
+@query(f"""
+WITH {_NAMES}, b AS (SELECT *, regexp_extract(name, '([^/]+)$', 1) AS base FROM n),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '\\.[A-Za-z0-9]{{2,5}}$', ''), '\\s*\\(\\d+\\)\\s*$', ''), '^(\\s*\\[[^\\]]+\\]\\s*)+', ''), '[_.-]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ._-') AS title FROM b)
+SELECT p_partkey, title, lower(replace(title, ' ', '')) AS title_key, CAST(p_partkey % 300 AS BIGINT) AS episode, CAST(p_size AS BIGINT) AS volume,
+CASE WHEN p_size > 999 THEN 'volume:' || right(CAST(p_size AS VARCHAR), 3) ELSE 'volume:' || p_size END AS signature, lower(regexp_extract(base, '(\\.[^.]+)$', 1)) AS extension, base AS display FROM t
+""")
+def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, keys, episodes, volumes and marks of names that hold all of them."""
+    found = _made_names(spark, sf_dir).withColumn("base", F.regexp_extract("name", "([^/]+)$", 1)).withColumn("f", names.name_fields("base"))
+    return found.select("p_partkey", "f.title", "f.title_key", "f.episode", "f.volume", "f.signature", names.extension(F.col("name")).alias("extension"), "f.display")
+
+
+@query(f"""
+WITH {_NAMES}, b AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(name, '([^/]+)$', 1), '\\.[^.]*$', ''), '^\\d{{2,7}}[_. -]+', '') AS stem FROM n)
+SELECT p_partkey, trim(p_brand) AS author, 'M' || p_size AS part, replace(p_name, ' ', '_') AS root_has, trim(regexp_replace(CASE WHEN p_partkey % 4 = 1 THEN regexp_replace(stem, '\\s*[@#][^\\[\\]]*$', '') ELSE stem END, '\\s+', ' ', 'g')) AS plain FROM b
+""")
+def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors in brackets, part tokens, and stems without record number and source tag."""
+    found = _made_names(spark, sf_dir).withColumn("base", F.regexp_extract("name", "([^/]+)$", 1))
+    stem = F.regexp_replace(F.regexp_replace("base", r"\.[^.]*$", ""), r"^\d{2,7}[_\-. ]+", "")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(stem, r"\s*[@#][^\[\]]*$", ""), r"\s+", " "))
+    marked = rename.stated_author(stem)["author"]
+    root = F.regexp_extract(F.regexp_replace(display.series_root(F.regexp_replace(stem, r"^\[[^\]]*\] ", "")), r"_\d+$", ""), "^([^ ]*)", 1)
+    return found.select("p_partkey", F.when(marked == "", F.regexp_extract(stem, r"^\[([^\]]+)\]", 1)).otherwise(marked).alias("author"), display.part_token(F.col("base")).alias("part"), root.alias("root_has"), plain.alias("plain"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, substr(text, 1, 2000) AS h FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN h = '' THEN 0.0 ELSE round(CAST(length(regexp_replace(h, '[^\n\r\t -~가-힣\x{3000}-\x{303F}\x{FF01}-\x{FF60}]', '', 'g')) AS DOUBLE) / length(h), 9) END AS likeness FROM t
+""")
+def text_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.round(text.text_likeness(F.col("text")), 9).alias("likeness"))
+
+
+@query("""
+SELECT p_partkey, p_name AS source, p_name || '_' || lpad(CAST(row_number() OVER (ORDER BY lower(p_name || '/' || p_partkey), p_partkey) + 9 AS VARCHAR), 6, '0') AS target FROM part
+""")
+def rename_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_name", F.lit("/"), "p_partkey").alias("path"))
+    return library.numbered_names(files, 10).select("p_partkey", F.col("p_name").alias("source"), F.concat("p_name", F.lit("_"), F.lpad(F.col("index").cast("string"), 6, "0")).alias("target"))
+
+
+@query("""
+SELECT event_id, user_id, coalesce(lag(event_type) OVER (ORDER BY user_id, ts, event_id) <> event_type OR lag(user_id) OVER (ORDER BY user_id, ts, event_id) <> user_id, TRUE) AS starts FROM events
+""")
+def group_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.concat_ws(":", "user_id", "event_type").alias("grp"))
+    return commands.with_group_starts(events, "grp", ["user_id", "ts", "event_id"]).select("event_id", "user_id", "starts")
+
+
+@query("""
+WITH x AS (SELECT l_suppkey AS name, sum(l_quantity) AS q, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), y AS (SELECT l_suppkey AS name, sum(l_quantity) AS q, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT CAST(coalesce(x.name, y.name) AS VARCHAR) AS name, CASE WHEN y.name IS NULL THEN 'left_only' WHEN x.name IS NULL THEN 'right_only' WHEN x.q <> y.q OR x.n <> y.n THEN 'changed' ELSE 'same' END AS status FROM x FULL JOIN y ON x.name = y.name
+""")
+def member_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two archives, of returned and of accepted lines, whose members are suppliers: which are the same, changed or on one side."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("size"), F.count("*").cast("string").alias("crc32"))
+    rows = lines.select(F.col("l_returnflag").alias("path"), F.lit("zip item").alias("kind"), F.col("l_suppkey").cast("string").alias("member"), "size", "crc32", F.lit(8).alias("method"))
+    pairs = spark.createDataFrame([("p", "A", "R")], "pair string, left string, right string")
+    return compare.compare_zip_members(pairs, rows).select("name", "status")
+
+
+@query("""
+WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS path, role, length(text) AS size FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)
+SELECT path, count(*) AS members, CAST(sum(size) AS BIGINT) AS total_size, max(size) AS largest, count(*) FILTER (role = 'user') AS of_user FROM c GROUP BY path
+""")
+def archive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as archives of turns: members, sizes and kinds of members by number."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL").select(F.col("conv_id").cast("string").alias("path"), "turn", "role", F.length("text").cast("long").alias("size"))
+    shape = {"compressed": F.col("size"), "extra_size": F.lit(0), "comment_size": F.lit(0), "modified": F.lit(None).cast("timestamp"), "error": F.lit(None).cast("string"), "sha256": F.lit("")}
+    members = turns.select("path", F.lit("zip item").alias("kind"), F.concat("turn", F.lit("."), "role").alias("member"), "size").withColumns(shape)
+    files = turns.groupBy("path").agg(F.sum("size").alias("size")).select("path", F.lit("file").alias("kind"), F.lit(None).cast("string").alias("member"), "size").withColumns(shape)
+    found = compare.archive_summary(members.unionByName(files))
+    largest = turns.groupBy("path").agg(F.max("size").alias("largest"))
+    return found.join(largest, "path").select("path", "members", "total_size", "largest", F.coalesce(F.try_element_at("extensions", F.lit(".user")), F.lit(0).cast("long")).alias("of_user"))
+
+
 # --- library ---------------------------------------------------------------------------------------------------------
 
 
@@ -382,6 +484,105 @@ def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", *library.storage_profile(F.col("text")))
 
 
+@query("""
+WITH t AS (SELECT p_partkey, p_name, lower(p_name) AS key, p_brand, p_type, p_size % 7 AS volume, p_size FROM part),
+v AS (SELECT key, volume, count(*) AS n FROM t GROUP BY ALL), d AS (SELECT key, sum(n - 1) AS removable, CASE WHEN count(*) FILTER (volume <> 0) > 1 THEN count(*) FILTER (volume <> 0) ELSE 0 END AS volumes FROM v GROUP BY key)
+SELECT key, count(*) AS files, min_by(p_brand, p_partkey) AS author, array_to_string(list_sort(list(DISTINCT '.' || lower(p_type))), ' ') AS extensions, CAST(max(volume) AS BIGINT) AS latest_volume, CAST(sum(p_size) AS BIGINT) AS size, CAST(any_value(removable) AS BIGINT) AS removable, any_value(volumes) AS volumes
+FROM t JOIN d USING (key) GROUP BY key
+""")
+def library_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files of works: first author, kinds, volumes and surplus files of each."""
+    return _library(spark, sf_dir).select("key", "files", "author", F.array_join("extensions", " ").alias("extensions"), "latest_volume", "size", "removable", "volumes")
+
+
+def _part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("location"), F.col("p_name").alias("name"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), none.alias("thumbnail"), F.concat(F.lit("."), "p_type").alias("extension"), F.col("p_size").cast("long").alias("size"),
+        none.alias("modified"), F.lit(0).cast("long").alias("episodes"), (F.col("p_size") % 7).cast("long").alias("volumes"), F.lit(False).alias("complete"), F.array().cast("array<string>").alias("tags"), none.alias("source"), F.col("p_partkey").alias("position"),
+    )
+
+
+def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.works(_part_items(spark, sf_dir))
+
+
+@query("""
+WITH e AS (SELECT 'extension' AS panel, '.' || lower(p_type) AS name, count(*) AS n FROM part GROUP BY ALL ORDER BY n DESC, name LIMIT 6),
+w AS (SELECT lower(p_name) AS key, min_by(p_name, p_partkey) AS title, min_by(p_brand, p_partkey) AS author, count(*) AS files, count(DISTINCT lower(p_type)) AS kinds, count(*) - count(DISTINCT p_size % 7) AS removable FROM part GROUP BY ALL),
+a AS (SELECT 'author', author, CAST(sum(files) AS BIGINT) FROM w WHERE regexp_matches(lower(author), '[가-힣a-z]') AND length(author) <= 20 GROUP BY author ORDER BY 3 DESC, 2 LIMIT 6),
+l AS (SELECT 'largest', title, files FROM w WHERE removable > 0 ORDER BY files DESC, title LIMIT 6),
+t AS (SELECT 'total', 'works', count(*) FROM w UNION ALL SELECT 'total', 'files', CAST(sum(files) AS BIGINT) FROM w UNION ALL SELECT 'total', 'removable', CAST(sum(removable) AS BIGINT) FROM w),
+o AS (SELECT 'todo', 'duplicate', count(*) FROM w WHERE removable > 0 HAVING count(*) > 0 UNION ALL SELECT 'todo', 'mixed', count(*) FROM w WHERE kinds > 1 HAVING count(*) > 0)
+SELECT * FROM e UNION ALL SELECT * FROM a UNION ALL SELECT * FROM l UNION ALL SELECT * FROM t UNION ALL SELECT * FROM o
+""")
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extensions, authors, the largest works, totals and what is to be done. A report of the top six."""
+    return library.dashboard(_part_items(spark, sf_dir), _library(spark, sf_dir))
+
+
+@query("""
+WITH w AS (SELECT s_suppkey, lower(regexp_replace(s_name, '.*#0*', '')) AS key FROM supplier), o AS (SELECT DISTINCT CAST(c_custkey * 7 AS VARCHAR) AS key FROM customer WHERE c_nationkey = 3), r AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS key FROM part WHERE p_size = 9)
+SELECT s_suppkey, CASE WHEN w.key <> '' AND EXISTS (SELECT 1 FROM o WHERE contains(o.key, w.key) OR contains(w.key, o.key)) THEN 'owned' WHEN w.key <> '' AND EXISTS (SELECT 1 FROM r WHERE contains(r.key, w.key) OR contains(w.key, r.key)) THEN 'rejected' ELSE 'new' END AS status FROM w
+""")
+def external_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list against what is owned and what was rejected: keys that hold or lie in each other."""
+    wanted = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower(F.regexp_replace("s_name", ".*#0*", "")).alias("k"))
+    owned = table(spark, sf_dir, "customer").where("c_nationkey = 3").select((F.col("c_custkey") * 7).cast("string").alias("key"))
+    rejects = table(spark, sf_dir, "part").where("p_size = 9").select(F.col("p_partkey").cast("string").alias("key"))
+    return library.against_library(wanted, "k", owned, rejects).select("s_suppkey", "status")
+
+
+@query("""
+WITH k AS (SELECT DISTINCT lower(n_name) AS reject FROM nation UNION SELECT 'widget') SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM k WHERE contains(lower(p_name), reject))
+""")
+def rejected_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejects = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("reject")).unionByName(spark.createDataFrame([("widget",)], "reject string"))
+    return library.rejected(table(spark, sf_dir, "part").select("p_partkey", "p_name"), rejects, "p_name").select("p_partkey")
+
+
+@query("""
+SELECT o_custkey AS location, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1
+""")
+def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Libraries merged by location: the last by the library's place, then by the item's."""
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("location"), F.col("o_orderpriority").alias("library_pos"), F.col("o_orderkey").alias("item_pos"), "o_totalprice")
+    return library.merged_libraries(items).select("location", F.col("item_pos").alias("o_orderkey"), "o_totalprice")
+
+
+@query("""
+SELECT doc_id, quality, toxic, 'own' AS origin FROM labels WHERE quality = 1 UNION ALL
+SELECT doc_id, NULL, NULL, 'incoming' FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.quality = 1 AND l.doc_id = d.doc_id)
+""")
+def import_without_overwriting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own records stay; incoming ones are added where there is none."""
+    said = {"title": F.lit(""), "rating": F.lit("1"), "user_tags": F.lit(""), "read": F.lit(False), "favorite": F.lit(False), "memo": F.lit("")}
+    own = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("key"), "quality", "toxic", F.lit("own").alias("origin")).withColumns(said)
+    incoming = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"), F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), F.lit("incoming").alias("origin")).withColumns(said)
+    return library.import_records(own, incoming).select(F.col("key").alias("doc_id"), "quality", "toxic", "origin")
+
+
+@query("""
+WITH k AS (SELECT p_partkey, p_name || p_size AS name FROM part)
+SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(name, '^(\\D*)', 1), CAST(regexp_extract(name, '(\\d+)$', 1) AS INTEGER), p_partkey) AS place FROM k
+""")
+def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the order of names with numbers by value."""
+    named = table(spark, sf_dir, "part").select("p_partkey", names.natural_key(F.concat("p_name", "p_size")).alias("k"))
+    return grouping.ranked(named, ["k", "p_partkey"], "place").select("p_partkey", F.col("place").cast("long").alias("place"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, text, len(regexp_extract_all(text, '\\r\\n')) AS crlf FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(crlf AS BIGINT) AS crlf, CAST(length(text) - length(replace(text, chr(10), '')) - crlf AS BIGINT) AS lf, CAST(length(text) - length(replace(text, chr(13), '')) - crlf AS BIGINT) AS cr,
+CAST(length(text) - length(regexp_replace(text, '\\p{Cf}', '', 'g')) AS BIGINT) AS invisible_count,
+CAST(list_sum(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda l: length(l) - length(rtrim(l, ' ' || chr(9))))) AS BIGINT) AS trailing_spaces FROM t
+""")
+def line_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = [c for c in library.line_profile(F.col("text"))[:5]]
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", *profile)
+
+
 # --- incremental work ------------------------------------------------------------------------------------------------
 
 
@@ -417,3 +618,25 @@ SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'miss' ELSE 'hit' END AS cache FR
 """)
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.cache_state(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id").distinct(), ["doc_id"])
+
+
+@query("""
+WITH r AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, event_type AS status, n FROM r WHERE r = 1 AND event_type <> 'purchase'
+""")
+def unfinished_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of each job that is not its end."""
+    events = table(spark, sf_dir, "events")
+    last = events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n"))
+    return last.where("status <> 'purchase'")
+
+
+@query("""
+WITH m AS (SELECT 1 AS stage, doc_id AS id FROM documents WHERE lang = 'fr' UNION ALL SELECT 2, doc_id FROM documents WHERE lang = 'de'),
+r AS (SELECT *, row_number() OVER (ORDER BY stage, id) AS r FROM m) SELECT stage, id FROM r WHERE r <= 120
+""")
+def shared_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two stages may read of one budget. The limit is the feature."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    first, second = jobs.shared_budget([docs.where("lang = 'fr'"), docs.where("lang = 'de'")], "id", 120)
+    return first.select(F.lit(1).alias("stage"), "id").unionByName(second.select(F.lit(2).alias("stage"), "id"))
