@@ -1,21 +1,24 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
 Candidates are all matches of four base patterns (email, ip, card, phone) and of looser patterns for the same kinds
-(spelled-out addresses, national numbers, other separators). Five labelers vote on each candidate for, against or not
-at all: the base pattern, a structure test (checksum, ranges, digit counts), a gazetteer (domain endings, card and
-country prefixes, reserved addresses), words of the context that speak for the kind, and words that speak for something
-else. Expectation-maximisation over the table of vote patterns estimates how reliable each labeler is and how likely
-each pattern is personal data; those likelihoods then train the final classifier, a logistic function of the votes, of
-which the weights are put into a column expression.
+(spelled-out addresses, national numbers, other separators). Five labelers, each looking at something else, vote on every
+candidate for, against or not at all: whether it stands free of what is around it, a structure test (checksum, ranges,
+digit counts), a gazetteer (domain endings, card and country prefixes, reserved addresses), words of the context that
+speak for the kind, and words that speak for something else. Expectation-maximisation over the table of vote patterns
+estimates how reliable each labeler is and how likely each pattern is personal data. Those likelihoods train the final
+classifier, a logistic function of the span itself (how many digits, which separators) and of the votes, of which the
+weights are put into a column expression.
 
 Valid base matches are always spans. Looser candidates become spans where the classifier says so and no base span
 covers them.
 
-Only the table of vote patterns (at most 4 * 3^5 rows) is sent to the driver. Every step on rows is an expression over
-one row, so nothing is shuffled but those counts.
+Texts are searched once: the candidates are written to the shared folder, and both training and spans read them there.
+Only the table of vote patterns and span features (at most 4 * 3^5 * 16 rows) is sent to the driver. Every step on rows is
+an expression over one row, so nothing is shuffled but those counts.
 
 Defined results: null and empty texts have no spans; positions are code points, ends exclusive; repeated rows give
-repeated results; without candidates nothing is trained and the base spans are the result.
+repeated results; without candidates nothing is trained and the base spans are the result; where spans of different kinds overlap,
+redaction masks the one that begins first, of those the shortest, and what the others have beyond it.
 """
 
 from __future__ import annotations
@@ -26,8 +29,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
+
 KINDS = ("email", "ip", "card", "phone")
-LABELERS = ("pattern", "structure", "gazetteer", "context", "elsewhere")
+LABELERS = ("free", "structure", "gazetteer", "context", "elsewhere")
+DIGITS, SEPARATORS = 4, 4  # kinds of spans by number of digits and by what stands between them
 CONTEXT = 40
 ACCEPT = 0.5
 
@@ -92,6 +98,13 @@ def _structure(kind: str, c: Column) -> Column:
     return F.lit(True)
 
 
+def _span_kind(c: Column) -> Column:
+    """A number for the span's digits (few, of a phone, of a card, more) and separators (none, spaces, signs, both)."""
+    n = F.length(_digits(c))
+    digits = F.when(n < 9, 0).when(n < 13, 1).when(n <= 19, 2).otherwise(3)
+    return digits * SEPARATORS + c.contains(" ").cast("int") + 2 * c.rlike("[-._/()]").cast("int")
+
+
 def _gazetteer(kind: str, c: Column) -> Column:
     if kind == "email":
         return F.when(c.rlike(rf"(?i)(?:\.|dot[\)\]\}}]? )(?:{ENDINGS})$"), 1).otherwise(-1)
@@ -111,7 +124,7 @@ def _found(text: Column, pattern: str, hint: str, group: int) -> Column:
 
 
 def _candidates(text: Column, gaps: Column, hits: Column, kind: str, base: bool) -> Column:
-    """Structs of kind, start, end, base and the votes, for each match of one pattern."""
+    """Structs of kind, start, end, base, loose, span and the votes, for each match of one pattern."""
     lengths = F.zip_with(gaps, hits, lambda g, h: (F.length(g) + F.length(h)).cast("long"))
     ends = F.aggregate(lengths, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
@@ -128,8 +141,10 @@ def _candidates(text: Column, gaps: Column, hits: Column, kind: str, base: bool)
             start.alias("start"),
             end.alias("end"),
             (valid if base else F.lit(False)).alias("base"),
+            F.lit(not base).alias("loose"),
+            _span_kind(h).alias("span"),
             F.array(
-                (vote(valid, 1, -1) if base else F.lit(0)),
+                vote(F.right(before, F.lit(1)).rlike(r"[\p{L}\p{N}_@#/\\=]") | F.substring(text, (end + 1).cast("int"), F.lit(1)).rlike(r"[\p{L}\p{N}_@#/\\=]"), -1, 1),
                 vote(valid, 1, -1),
                 _gazetteer(kind, h).cast("int"),
                 vote(before.rlike(SPEAKS_FOR[kind]), 1, 0),
@@ -160,16 +175,16 @@ def with_candidates(df: DataFrame, text_col: str = "text", name: str = "candidat
 
 @dataclass
 class Model:
-    """Weights of the votes by kind, with what was estimated on the way."""
+    """Weights of the spans' kinds and of the votes by kind of data, with what was estimated on the way."""
 
-    weights: dict[int, tuple[float, list[float]]] = field(default_factory=dict)  # kind: intercept, labelers
+    weights: dict[int, tuple[list[float], list[float]]] = field(default_factory=dict)  # kind: kinds of spans (with the intercept), labelers
     reliability: dict[int, list[float]] = field(default_factory=dict)
 
     def accepts(self, candidate: Column) -> Column:
         """Whether the classifier takes a candidate for personal data."""
         out = F.lit(False)
-        for kind, (b, w) in sorted(self.weights.items()):
-            z = F.lit(b)
+        for kind, (spans, w) in sorted(self.weights.items()):
+            z = F.get(F.array(*map(F.lit, spans)), candidate["span"])
             for j, weight in enumerate(w):
                 z = z + F.get(candidate["votes"], F.lit(j)) * F.lit(weight)
             out = F.when(candidate["kind"] == kind, 1 / (1 + F.exp(-z)) >= ACCEPT).otherwise(out)
@@ -197,16 +212,17 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return p, right, prior
 
 
-def train(table: list[tuple[int, list[int], int]]) -> Model:
-    """A model from (kind, votes, count) rows."""
+def train(table: list[tuple[int, int, list[int], int]]) -> Model:
+    """A model from (kind, span, votes, count) rows."""
     model = Model()
     for kind in range(len(KINDS)):
-        rows = sorted((v, n) for k, v, n in table if k == kind)
+        rows = sorted((v, k, n) for own, k, v, n in table if own == kind)
         if not rows:
             continue
-        votes, counts = np.array([v for v, _ in rows], float), np.array([n for _, n in rows], float)
+        votes, kinds, counts = np.array([v for v, _, _ in rows], float), np.array([k for _, k, _ in rows]), np.array([n for _, _, n in rows], float)
         p, right, _ = expectation_maximisation(votes, counts)
-        x = np.c_[np.ones(len(votes)), votes]
+        digits, separators = kinds // SEPARATORS, kinds % SEPARATORS
+        x = np.c_[np.ones(len(votes)), np.eye(DIGITS)[digits], np.eye(SEPARATORS)[separators], votes]
         w = np.zeros(x.shape[1])
         share = counts / counts.sum()
         for _ in range(50):  # Newton steps for logistic regression on the likelihoods, weighted by counts
@@ -215,22 +231,24 @@ def train(table: list[tuple[int, list[int], int]]) -> Model:
             h = (x * (share * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(len(w))
             step = np.linalg.solve(h, g)
             w = w - np.clip(step, -2, 2)
-        model.weights[kind] = (float(w[0]), [float(a) for a in w[1:]])
+        every = np.arange(DIGITS * SEPARATORS)
+        spans = w[0] + w[1 : 1 + DIGITS][every // SEPARATORS] + w[1 + DIGITS : 1 + DIGITS + SEPARATORS][every % SEPARATORS]
+        model.weights[kind] = ([float(a) for a in spans], [float(a) for a in w[1 + DIGITS + SEPARATORS :]])
         model.reliability[kind] = [float(r) for r in right]
     return model
 
 
 def fit(candidates: DataFrame, name: str = "candidates") -> Model:
-    """A model from a table with candidates; only the counts of vote patterns reach the driver."""
-    exploded = candidates.select(F.explode(name).alias("c")).select("c.kind", "c.votes")
-    return train([(r["kind"], list(r["votes"]), r["n"]) for r in exploded.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()])
+    """A model from a table with candidates; only the counts of vote patterns and spans reach the driver."""
+    exploded = candidates.select(F.explode(name).alias("c")).select("c.kind", "c.span", "c.votes")
+    return train([(r["kind"], r["span"], list(r["votes"]), r["n"]) for r in exploded.groupBy("kind", "span", "votes").agg(F.count("*").alias("n")).collect()])
 
 
 def spans(candidates: DataFrame, model: Model, name: str = "candidates") -> DataFrame:
     """The table with `base_spans` and `all_spans`, arrays of (kind, start, end) sorted by kind and start."""
     bare = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter(name, lambda x: x["base"]), bare))
-    taken = F.array_sort(F.transform(F.filter(name, lambda x: x["base"] | ((F.get(x["votes"], F.lit(0)) == 0) & model.accepts(x))), bare))
+    taken = F.array_sort(F.transform(F.filter(name, lambda x: x["base"] | (x["loose"] & model.accepts(x))), bare))
     return candidates.withColumns({"base_spans": base, "all_spans": taken}).drop(name)
 
 
@@ -241,7 +259,7 @@ def _joined(column: str) -> Column:
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: counts of base spans by kind, their digest and all spans as text."""
-    found = with_candidates(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "candidates")
+    found = materialize(with_candidates(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "candidates"), "candidates")
     done = spans(found, fit(found))
     count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long")
     return done.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(_joined("base_spans"), 256).alias("base_sha256"), _joined("all_spans").alias("spans"))
@@ -249,7 +267,7 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df` with each span of the text replaced by its kind in brackets; overlapping spans become one."""
-    found = with_candidates(df, text_col, "_pii_candidates")
+    found = materialize(with_candidates(df, text_col, "_pii_candidates"), "candidates")
     done = spans(found, fit(found, "_pii_candidates"), "_pii_candidates")
     # Spans by position; each keeps what no earlier span has covered.
     placed = F.array_sort(F.transform("all_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
