@@ -169,7 +169,7 @@ def volume_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT l_orderkey AS o, l_suppkey AS i, count(*) AS m FROM lineitem GROUP BY ALL),
+WITH h AS (SELECT l_orderkey AS o, l_partkey AS i, count(*) AS m FROM lineitem GROUP BY ALL),
 b AS (SELECT o, string_agg(i || 'x' || m, ',' ORDER BY i) AS bag, sum(m) AS n FROM h GROUP BY o),
 k AS (SELECT bag, min(o) AS o, any_value(n) AS n FROM b GROUP BY bag),
 r AS (SELECT k.o, k.n, h.i, h.m FROM k JOIN h ON h.o = k.o),
@@ -177,9 +177,9 @@ c AS (SELECT x.o AS a, y.o AS b, x.n AS size_a, y.n AS size_b, sum(least(x.m, y.
 SELECT a, b, CAST(size_b - size_a AS BIGINT) AS extra FROM c WHERE common = size_a
 """)
 def archive_bag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as archives of suppliers: which bags lie in which larger ones, by the first order of each bag."""
+    """Orders as archives of parts: which bags lie in which larger ones, by the first order of each bag."""
     lines = table(spark, sf_dir, "lineitem")
-    members = lines.select(F.col("l_orderkey").alias("archive"), F.lit(".x").alias("extension"), F.col("l_suppkey").cast("string").alias("sha256"), F.lit(1).alias("size"))
+    members = lines.select(F.col("l_orderkey").alias("archive"), F.lit(".x").alias("extension"), F.col("l_partkey").cast("string").alias("sha256"), F.lit(1).alias("size"))
     found = materialize(archives.bags(members), "bags")
     firsts = found.groupBy("bag").agg(F.min("archive").alias("first"))
     inside = archives.contained_bags(members, found)
