@@ -28,11 +28,14 @@ def same_content(df: DataFrame, size: str, content: str, *also: str) -> DataFram
 
 
 def survivor(df: DataFrame, group: list[str], order: list[Column], name: str = "keep") -> DataFrame:
-    """Marks the first row of each group in the ascending order, which should be total: of equal rows all are marked.
+    """Marks the first row of each group in the order, which should be total: of equal rows all may be marked.
 
-    Groups are not sorted: the least of each is found with partial sums and joined back, so a group of very many rows is no
-    single task's. Nulls come last. `df` is read twice; write it first where it is dear. Rows of null keys are left out.
+    With plain columns, which ascend with nulls last, groups are not sorted: the least of each is found with partial sums and joined
+    back, so a group of very many rows is no single task's. `df` is read twice then; write it first where it is dear. Rows
+    of null keys are left out. Where a column states its direction, each group is sorted in one task.
     """
+    if any(str(c).endswith((" NULLS FIRST'>", " NULLS LAST'>")) for c in order):
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)) == 1)
     place = F.struct(*(x for c in order for x in (c.isNull(), c)))
     best = df.groupBy(*group).agg(F.min(place).alias("_first"), F.count("*").alias("n"))
     return join_totals(df, best, group, df.count()).withColumn(name, place == F.col("_first")).drop("_first")
