@@ -27,6 +27,26 @@ def reference_matches(targets: DataFrame, key: str, text: str, reference: DataFr
     return counts.withColumn("match_ratio", F.round(F.col("match_count") * 100.0 / F.col("sentence_count"), 1))
 
 
+def reference_report(targets: DataFrame, key: str, text: str, reference: DataFrame, ref_key: str, ref_text: str, names: int = 4, sentences: int = 3, width: int = 220) -> DataFrame:
+    """`reference_matches` with the first `names` sources of what was met, their number, and a preview of the first sentences.
+
+    Of each sentence only the first sources are carried, which is enough for the first of all; a target holds few sentences.
+    """
+    known = sentence_rows(reference, ref_key, ref_text).select("sentence", F.col(ref_key).cast("string").alias("source")).distinct()
+    place = F.row_number().over(W.partitionBy("sentence").orderBy("source"))
+    first = known.withColumn("_r", place).where(F.col("_r") <= names).drop("_r")
+    met = sentence_rows(targets, key, text).join(first, "sentence")
+    out = met.groupBy(key).agg(F.count_distinct("sentence").alias("match_count"), F.max("n").cast("long").alias("sentence_count"), F.array_sort(F.collect_set("source")).alias("_s"), F.array_sort(F.collect_set("sentence")).alias("_t"))
+    preview = F.substring(F.array_join(F.slice("_t", 1, sentences), " / "), 1, width)
+    ratio = F.round(F.col("match_count") * 100.0 / F.greatest("sentence_count", F.lit(1)), 1)
+    return out.select(key, "match_count", "sentence_count", ratio.alias("match_ratio"), F.array_join(F.slice("_s", 1, names), ", ").alias("sources"), preview.alias("preview"))
+
+
+def reference_order(key: str) -> list:
+    """Most matches first, then the largest share, then by lower-cased key."""
+    return [F.desc("match_count"), F.desc("match_ratio"), F.lower(F.col(key).cast("string"))]
+
+
 def sentence_overlaps(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid: str, rtext: str) -> DataFrame:
     """(lid, rid, common, overlap, left_coverage, right_coverage) for pairs that share sentences, in percent; overlap is that of the smaller side."""
     x, y = sentence_rows(left, lid, ltext), sentence_rows(right, rid, rtext).withColumnRenamed("n", "m")
