@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators.joins import join_totals
 from quarry.session import materialize
@@ -27,16 +28,43 @@ def same_content(df: DataFrame, size: str, content: str, *also: str) -> DataFram
     return groups_of(hashed.where("sha IS NOT NULL"), size, "sha", *also)
 
 
-def survivor(df: DataFrame, group: list[str], order: list[Column], name: str = "keep") -> DataFrame:
+Order = Column | str | tuple[Column | str, str]  # a column, or a column with "asc" or "desc"
+_HEX = "0123456789ABCDEF"
+
+
+def _descending(df: DataFrame, c: Column) -> Column:
+    """A value of which the ascending order is the descending one of the column."""
+    kind = df.select(c.alias("c")).schema[0].dataType
+    if isinstance(kind, T.StringType | T.BinaryType):  # digits turned round; what ends first comes last
+        return F.concat(F.translate(F.hex(c.cast("binary")), _HEX, _HEX[::-1]), F.lit("~"))
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return -F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(c)
+    if isinstance(kind, T.BooleanType):
+        return ~c
+    return F.bitwise_not(c) if isinstance(kind, T.IntegralType) else -c
+
+
+def place_of(df: DataFrame, order: list[Order]) -> Column:
+    """A struct that sorts ascending as the columns of the order do, each in its direction, nulls last."""
+    parts = []
+    for o in order:
+        c, direction = o if isinstance(o, tuple) else (o, "asc")
+        c = F.col(c) if isinstance(c, str) else c
+        if direction not in ("asc", "desc"):
+            raise ValueError(f"no such direction: {direction}")
+        parts += [c.isNull(), c if direction == "asc" else _descending(df, c)]
+    return F.struct(*parts)
+
+
+def survivor(df: DataFrame, group: list[str], order: list[Order], name: str = "keep") -> DataFrame:
     """Marks the first row of each group in the order, which should be total: of equal rows all may be marked.
 
-    With plain columns, which ascend with nulls last, groups are not sorted: the least of each is found with partial sums and joined
-    back, so a group of very many rows is no single task's. `df` is read twice then; write it first where it is dear. Rows
-    of null keys are left out. Where a column states its direction, each group is sorted in one task.
+    Groups are not sorted: the least of each is found with partial sums and joined back, so a group of very many rows is no single
+    task's. `df` is read twice then; write it first where it is dear. Rows of null keys are left out.
     """
-    if any(str(c).endswith((" NULLS FIRST'>", " NULLS LAST'>")) for c in order):
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)) == 1)
-    place = F.struct(*(x for c in order for x in (c.isNull(), c)))
+    place = place_of(df, order)
     best = df.groupBy(*group).agg(F.min(place).alias("_first"), F.count("*").alias("n"))
     return join_totals(df, best, group, df.count()).withColumn(name, place == F.col("_first")).drop("_first")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import char_grams, sentence_array
+from quarry.session import materialize
 
 
 def sentence_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -55,22 +56,6 @@ def sentence_overlaps(left: DataFrame, lid: str, ltext: str, right: DataFrame, r
     return met.select(lid, rid, "common", percent(F.least("n", "m")).alias("overlap"), percent(F.col("n")).alias("left_coverage"), percent(F.col("m")).alias("right_coverage"))
 
 
-def bag_overlaps(bag: DataFrame, owner: str, item: str) -> DataFrame:
-    """(a, b, common, size_a, size_b, relation) for owners a < b that share an item, counted with multiplicity.
-
-    Counts are compared instead of rows: an item held m and n times gives min(m, n).
-    """
-    held = bag.groupBy(F.col(owner).alias("o"), F.col(item).alias("i")).agg(F.count("*").alias("m"))
-    sizes = held.groupBy("o").agg(F.sum("m").alias("size"))
-    x, y = held.alias("x"), held.alias("y")
-    common = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.o") < F.col("y.o"))).groupBy(F.col("x.o").alias("a"), F.col("y.o").alias("b")).agg(F.sum(F.least("x.m", "y.m")).alias("common"))
-    out = common.join(sizes.select(F.col("o").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("o").alias("b"), F.col("size").alias("size_b")), "b")
-    relation = (
-        F.when((F.col("common") == F.col("size_a")) & (F.col("common") == F.col("size_b")), "exact").when(F.col("common") == F.col("size_a"), "subset").when(F.col("common") == F.col("size_b"), "superset").otherwise("partial")
-    )
-    return out.select("a", "b", "common", "size_a", "size_b", relation.alias("relation"))
-
-
 def gram_candidates(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid: str, rtext: str, n: int = 4, top: int = 8, least: float = 0.12, within: bool = False) -> DataFrame:
     """(lid, rid, shared, overlap): for each left text the `top` right texts by shared character n-grams.
 
@@ -108,6 +93,22 @@ def greedy_pairs(scored: DataFrame, group: str, left: str, right: str, score: st
     return scored.groupBy(group).applyInPandas(choose, scored.schema)
 
 
+def pairs_in_turn(scored: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
+    """One-to-one pairs of each group: every left row in its order takes the best right one that is free, of equals the first.
+
+    Each left row asks for its best; of those that ask for one right row the first keeps it, and later ones give it up for good. That is
+    repeated until no two ask for the same, a join a round, so no group is worked through in one task.
+    """
+    rows = materialize(scored.select(*group, left, right, score), "asking")
+    while True:
+        best = rows.groupBy(*group, left).agg(F.min(F.struct((-F.col(score)).alias("less"), F.col(right).alias(right))).alias("_b"))
+        asked = materialize(best.select(*group, left, F.col(f"_b.{right}").alias(right), (-F.col("_b.less")).alias(score)), "asked")
+        holder = asked.groupBy(*group, right).agg(F.min(left).alias("_holder"), F.count("*").alias("_n"))
+        if holder.where("_n > 1").isEmpty():
+            return asked
+        rows = materialize(rows.join(holder.drop("_n"), [*group, right], "left").where(F.col("_holder").isNull() | (F.col(left) <= F.col("_holder"))).drop("_holder"), "asking")
+
+
 def full_compare(a: DataFrame, b: DataFrame, key: str, *values: str) -> DataFrame:
     """(key, status): same, changed, left only or right only, by a full outer join on the key."""
     x, y = a.select(key, F.struct(*values).alias("_x")), b.select(key, F.struct(*values).alias("_y"))

@@ -6,6 +6,8 @@ Files are (path, size, modified[, content]). Members of archives come in by the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ from quarry.sources.files import matches
 BROADCAST_ROWS = 100_000
 TEXT_EXTENSIONS = (".txt", ".html", ".htm", ".xhtml", ".xml", ".epub")
 LATEST = "9999-12-31 23:59"  # stands for a time that is none
+Fetch = Callable[[DataFrame], DataFrame]  # items (location, path, inner, ..) to the same rows with sha256 and content
+
+
+def read_items(items: DataFrame, wanted: DataFrame, fetch: Fetch | None = None) -> DataFrame:
+    """`wanted` (location, path, inner, ..) with sha256 and content.
+
+    `fetch`, as `archive.contents`, opens what is wanted and nothing else. Without it, items bring their content along.
+    """
+    if fetch is not None:
+        return fetch(wanted)
+    wanted = materialize(wanted, "wanted")
+    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return items.select("location", "content").join(some, "location").withColumn("sha256", F.sha2("content", 256))
 
 
 def as_items(files: DataFrame) -> DataFrame:
@@ -91,7 +106,7 @@ def titles(files: DataFrame, query: str = "") -> DataFrame:
     groups = grouping.groups_of(found, "title_key", "extension")
     if query.strip():
         groups = grouping.whole_groups_matching(groups, ["title_key", "extension"], matches(query, F.col("name"), F.col("title"), F.col("extension"), F.col("location")))
-    kept = grouping.survivor(groups, ["title_key", "extension"], [F.col("kind") != "file", -F.col("size"), F.length("location"), F.col("location")])
+    kept = grouping.survivor(groups, ["title_key", "extension"], [F.col("kind") != "file", ("size", "desc"), F.length("location"), "location"])
     return grouping.numbered(kept, ["title_key", "extension"], [F.min(F.lower("title"))])
 
 
@@ -112,19 +127,26 @@ def text_prints(files: DataFrame, least: int = 30) -> DataFrame:
     return prints.select("location", "path", "kind", "extension", "size", F.col("f.fingerprint").alias("fingerprint"), F.col("f.n").alias("sentences"), F.col("f.preview").alias("preview"))
 
 
-def text_duplicates(files: DataFrame, least: int = 30, cached: DataFrame | None = None, query: str = "") -> DataFrame:
+def text_duplicates(files: DataFrame, least: int = 30, cached: DataFrame | None = None, query: str = "", allowed: DataFrame | None = None, fetch: Fetch | None = None) -> DataFrame:
     """Groups of equal sentence fingerprints over files and members; EPUBs stay first, then the largest, then by location.
 
-    `cached` are prints of earlier runs; their items are not read again. The query filters rows after grouping.
+    `cached` are prints of earlier runs; their items are not read again. `allowed` (location) are the only items to look at. With
+    `fetch`, only what is left is opened. The query filters rows after grouping.
     """
-    fresh = as_items(files)
+    items = as_items(files)
+    if allowed is not None:
+        items = items.join(allowed.select("location").distinct(), "location", "left_semi")
+    fresh = items
     if cached is not None:
         fresh = fresh.join(cached.select("location", "size"), ["location", "size"], "left_anti")
+    if fetch is not None:
+        entry = [c for c in ("entry",) if c in fresh.columns]
+        fresh = fetch(fresh.where(F.col("extension").isin(*TEXT_EXTENSIONS)).select("location", "path", "inner", *entry, "kind", "name", "extension", "size"))
     prints = text_prints(fresh, least)
     if cached is not None:
-        prints = prints.unionByName(cached.join(as_items(files).select("location", "size"), ["location", "size"], "left_semi").select(*prints.columns))
+        prints = prints.unionByName(cached.join(items.select("location", "size"), ["location", "size"], "left_semi").select(*prints.columns))
     prints = materialize(prints, "prints")
-    kept = grouping.survivor(grouping.groups_of(prints, "fingerprint"), ["fingerprint"], [F.col("extension") != ".epub", -F.col("size"), F.col("location")])
+    kept = grouping.survivor(grouping.groups_of(prints, "fingerprint"), ["fingerprint"], [F.col("extension") != ".epub", ("size", "desc"), "location"])
     return kept.where(row_query(query, "location", "extension", "preview"))
 
 
@@ -151,11 +173,13 @@ def with_health(rows: DataFrame, with_content: DataFrame) -> DataFrame:
     return rows.join(health, "location", "left")
 
 
-def content_duplicates(files: DataFrame, kilobytes: float = 4) -> DataFrame:
-    """Groups of equal content and extension over (.., content), numbered by extension and hash; only sizes that occur twice are hashed."""
+def content_duplicates(files: DataFrame, kilobytes: float = 4, fetch: Fetch | None = None) -> DataFrame:
+    """Groups of equal content and extension, numbered by extension and hash; only sizes that occur twice are hashed, and with `fetch` opened."""
     found = as_items(files).where(F.col("size") >= int(kilobytes * 1024))
-    twice = found.groupBy("size").agg(F.count("*").alias("n")).where("n > 1")
-    same = grouping.same_content(found.join(twice.select("size"), "size").select("location", "name", "extension", "size", "content"), "size", "content", "extension")
+    entry = [c for c in ("entry",) if c in found.columns]
+    candidates = grouping.groups_of(found.select("location", "path", "inner", *entry, "name", "extension", "size"), "size").drop("copies")
+    hashed = read_items(found, candidates, fetch).select("location", "name", "extension", "size", F.col("sha256").alias("sha"))
+    same = grouping.groups_of(materialize(hashed.where("sha IS NOT NULL"), "hashed"), "size", "sha", "extension")
     return grouping.numbered(same, ["extension", "sha"], [F.first("extension"), F.first("sha")])
 
 
@@ -167,25 +191,25 @@ def linked_by_keys(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return connected_components(edges), evidence
 
 
-def comprehensive(files: DataFrame, query: str = "") -> DataFrame:
+def comprehensive(files: DataFrame, query: str = "", fetch: Fetch | None = None) -> DataFrame:
     """Components over equal titles, equal content and equal bodies of files and members, with evidence, survivor and verdict.
 
     Groups of equal content or body whose names state different volumes fall apart first. Only rows of equal titles
-    have their bodies compared, and only rows of equal sizes are hashed. In a group with files and members a member is kept
-    before a file; of equals the oldest, then the first by lower-cased location. Members are never selected.
+    have their bodies compared, and only rows of equal sizes are hashed; with `fetch` nothing else is opened. In a group with files
+    and members a member is kept before a file; of equals the oldest, then the first by lower-cased location. Members are never selected.
     """
     items = as_items(files)
-    base = materialize(catalog(items.drop("content")).select("path", "location", "kind", "size", "modified", "extension", "title", "title_key", "signature").withColumn("node", F.xxhash64("location")), "items")
+    entry = F.col("entry") if "entry" in items.columns else F.lit(None).cast("int")
+    named = items.select("path", "location", "inner", "kind", "size", "modified", "extension", "name", entry.alias("entry"))
+    base = grouping.ranked(named.withColumn("f", names.name_fields("name")).select("*", "f.title", "f.title_key", "f.signature").drop("f", "name"), ["location"], "node")
+    base = materialize(base, "items")
     # What has to be read: content of sizes that occur twice, bodies of titles that do. Only digests of it go on.
     sizes = base.groupBy("size").agg((F.count("*") > 1).alias("need_hash"))
     alike = base.where("title_key <> ''").groupBy("title_key").agg((F.count("*") > 1).alias("need_body"))
-    wanted = base.join(sizes, "size").join(alike, "title_key", "left").select("location", "node", F.col("extension").alias("ext"), "need_hash", F.coalesce("need_body", F.lit(False)).alias("need_body")).where("need_hash OR need_body")
-    wanted = materialize(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    read = items.select("location", "content").join(wanted, "location")
+    wanted = base.join(sizes, "size").join(alike, "title_key", "left").select("location", "path", "inner", "entry", "node", F.col("extension").alias("ext"), "need_hash", F.coalesce("need_body", F.lit(False)).alias("need_body")).where("need_hash OR need_body")
+    read = read_items(items, wanted, fetch)
     text = F.when(F.col("need_body") & (F.col("ext") == ".epub"), content.epub_body("content")).otherwise(decoded(F.when(F.col("need_body"), F.col("content"))))
-    facts = read.select("node", F.when(F.col("need_hash"), F.sha2("content", 256)).alias("hash"), normalise(F.when(F.col("need_body"), text)).alias("body"))
+    facts = read.select("node", F.when(F.col("need_hash"), F.col("sha256")).alias("hash"), normalise(F.when(F.col("need_body"), text)).alias("body"))
     facts = materialize(facts.select("node", "hash", sentence_fingerprint(F.when(F.length("body") >= 30, F.col("body"))).alias("f")).select("node", "hash", F.col("f.fingerprint").alias("body")), "facts")
     with_hash = base.join(facts, "node", "left")
     title = base.where("title_key <> ''").select("node", F.concat_ws("\0", F.lit("title"), "title_key", "extension").alias("key"), F.lit("").alias("signature"))
@@ -244,29 +268,6 @@ def comprehensive_stats(rows: DataFrame) -> DataFrame:
     )
 
 
-def archive_status(members: DataFrame, broken: DataFrame | None = None) -> DataFrame:
-    """(archive, status, best, common) for members (archive, extension, sha256, size): exact and contained archives.
-
-    Status: subset, keep or all-matched (equal to another; the first by name is kept), partial, unmatched, broken.
-    """
-    item = F.concat_ws("\0", "extension", "sha256", F.col("size").cast("string"))
-    bag = members.select(F.col("archive"), item.alias("item"))
-    pairs = materialize(matching.bag_overlaps(bag, "archive", "item"), "overlaps")
-    turned = {"exact": "exact", "subset": "superset", "superset": "subset", "partial": "partial"}
-    back = F.create_map(*(F.lit(x) for kv in turned.items() for x in kv))
-    both = pairs.select(F.col("a").alias("archive"), F.col("b").alias("other"), "relation", "common").unionByName(pairs.select(F.col("b").alias("archive"), F.col("a").alias("other"), back[F.col("relation")].alias("relation"), "common"))
-    rank = F.when(F.col("relation") == "subset", 0).when(F.col("relation") == "exact", 1).when(F.col("relation") == "superset", 2).otherwise(3)
-    best = both.groupBy("archive").agg(F.min(F.struct(rank.alias("rank"), (-F.col("common")).alias("less"), F.lower("other").alias("low"), "other", "relation", "common")).alias("b")).select("archive", "b.other", "b.relation", "b.common")
-    every = members.select("archive").distinct().join(best, "archive", "left")
-    status = (
-        F.when(F.col("relation") == "subset", "subset").when((F.col("relation") == "exact") & (F.col("archive") < F.col("other")), "keep").when(F.col("relation") == "exact", "all-matched").when(F.col("relation").isin("superset", "partial"), F.col("relation")).otherwise("unmatched")
-    )
-    out = every.select("archive", status.alias("status"), F.col("other").alias("best"), "common")
-    if broken is not None:
-        out = out.unionByName(broken.select("archive", F.lit("broken").alias("status"), F.lit(None).cast("string").alias("best"), F.lit(None).cast("long").alias("common")))
-    return out
-
-
 def listed(found: DataFrame) -> DataFrame:
     """A catalog in the order of lists: series, kind of file, part, number, name."""
     return found.orderBy(*display.catalog_order(F.col("series"), F.col("extension"), F.col("name")), "location")

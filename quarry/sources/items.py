@@ -8,17 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import names
-from quarry.sources.archive import ArchiveSource
+from quarry.sources.archive import register
 from quarry.sources.files import BOOK_EXTENSIONS, ZIP_EXTENSIONS, allowed_extensions, matches
 
 MOST_ENTRIES = 2000  # of an archive, in catalogs and title lists; folders count
 SEPARATOR = " :: "
 
 
-def scan(spark: SparkSession, folder: str, level: str = "directory", **options: str) -> DataFrame:
-    """Rows of the `archive` source."""
-    spark.dataSource.register(ArchiveSource)
-    return spark.read.format("archive").options(level=level, **options).load(folder)
+def scan(spark: SparkSession, folder: str, level: str = "directory", where: list | None = None, **options: str) -> DataFrame:
+    """Rows of the `archive` source; with `where`, tests (column, comparison, value), those that pass, and nothing else is opened."""
+    register(spark)
+    return spark.read.format("archive").options(level=level, where=json.dumps(where or []), **options).load(folder)
 
 
 def items(rows: DataFrame, archives: tuple[str, ...] = ZIP_EXTENSIONS, most: int = 0) -> DataFrame:
@@ -35,8 +35,8 @@ def items(rows: DataFrame, archives: tuple[str, ...] = ZIP_EXTENSIONS, most: int
     return kept.withColumns({"location": location, "inner": inner, "name": name}).withColumn("extension", names.extension(F.col("name"))).drop("member")
 
 
-def skipped(rows: DataFrame, most: int = 0) -> DataFrame:
-    """(path, reason): what could not be read, and archives of which entries were left out."""
+def skipped(rows: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """(path, reason): what could not be read, and archives of which catalogs and title lists leave entries out; 0: these leave out none."""
     errors = rows.where("error IS NOT NULL").select(F.when(F.col("member").isNull(), F.col("path")).otherwise(F.concat("path", F.lit(SEPARATOR), "member")).alias("path"), F.col("error").alias("reason"))
     if not most:
         return errors

@@ -6,12 +6,16 @@ Listings are Spark's own, of paths and lengths only, so folders are listed where
 
 from __future__ import annotations
 
+import io
+import os
 import re
 
-from pyarrow import NativeFile, fs
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BUFFER = 1 << 16
+
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path there."""
@@ -20,10 +24,51 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def opened(uri: str) -> NativeFile:
-    """The file as a seekable stream of which each read is a range."""
+def entries(folder: str) -> list[tuple[str, fs.FileInfo]]:
+    """(path or URI, info) of what lies in a folder, by name. Links are left out."""
+    system, path = file_system(folder)
+    local, prefix = isinstance(system, fs.LocalFileSystem), folder[: len(folder) - len(path)] if folder.endswith(path) else ""
+    found = system.get_file_info(fs.FileSelector(path, recursive=False))
+    kept = [("" if local else prefix, i) for i in found if not (local and os.path.islink(i.path))]
+    return [(before + i.path, i) for before, i in sorted(kept, key=lambda e: e[1].base_name)]
+
+
+class _Ranges(io.RawIOBase):
+    """Reads at places of a file, with the errors that readers of archives expect."""
+
+    def __init__(self, source):
+        self.source, self.at, self.length = source, 0, source.size()
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        to = offset + (0, self.at, self.length)[whence]
+        if to < 0:
+            raise OSError("before the beginning of the file")
+        self.at = to
+        return to
+
+    def readinto(self, target) -> int:
+        n = max(0, min(len(target), self.length - self.at))
+        if n:
+            target[:n] = self.source.read_at(n, self.at)
+            self.at += n
+        return n
+
+    def close(self) -> None:
+        if not self.closed:
+            self.source.close()
+        super().close()
+
+
+def opened(uri: str) -> io.BufferedReader:
+    """The file as a seekable stream that fetches ranges of at least BUFFER bytes."""
     system, path = file_system(uri)
-    return system.open_input_file(path)
+    return io.BufferedReader(_Ranges(system.open_input_file(path)), BUFFER)
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True) -> DataFrame:

@@ -3,12 +3,13 @@
 import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import names
 from quarry.operators import grouping, library, manifest, matching
 from quarry.operators.components import connected_components
-from quarry.plans import commands
+from quarry.plans import archives, commands
 from quarry.sources import files
 from quarry.sources.archive import ArchiveSource
 from quarry.streaming import incremental
@@ -47,13 +48,28 @@ def test_volume_split_and_survivor(spark):
     df = spark.createDataFrame([(1, "g", "v1"), (2, "g", "v2"), (3, "g", ""), (4, "h", "v1"), (5, "h", None)], "id int, grp string, sig string")
     got = {r.id: r.part for r in grouping.split_by_volume(df, "grp", "sig").collect()}
     assert got == {1: "v1", 2: "v2", 3: "", 4: "", 5: ""}
-    assert sorted(r.id for r in grouping.survivor(df, ["grp"], [F.desc("id")]).where("keep").collect()) == [3, 5]
+    assert sorted(r.id for r in grouping.survivor(df, ["grp"], [("id", "desc")]).where("keep").collect()) == [3, 5]
 
 
 def test_bags_count_copies(spark):
-    bag = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("c", 1), ("c", 2)], "o string, i int")
-    got = {(r.a, r.b): (r.common, r.relation) for r in matching.bag_overlaps(bag, "o", "i").collect()}
-    assert got == {("a", "b"): (2, "superset"), ("a", "c"): (3, "exact"), ("b", "c"): (2, "subset")}
+    held = [("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("c", 2), ("c", 1), ("d", 3)]
+    members = spark.createDataFrame([(a, ".x", str(i), 1) for a, i in held], "archive string, extension string, sha256 string, size int").repartition(3)
+    found = archives.bags(members)
+    bag = {r.archive: (r.bag, r.n) for r in found.collect()}
+    assert bag["a"] == bag["c"] and bag["a"][1] == 3 and len(set(bag.values())) == 3
+    inside = {(r.bag, r.holder, r.extra) for r in archives.contained_bags(members, found).collect()}
+    assert inside == {(bag["b"][0], bag["a"][0], 1)}
+
+
+def test_survivors_in_both_directions(spark):
+    rows = [("g", "ab", 5, None), ("g", "a", 5, True), ("g", "abc", 1, False), ("g", None, 5, True), ("h", "ß", -(2**63), True), ("h", "z", 2**63 - 1, False)]
+    df = spark.createDataFrame(rows, "grp string, s string, n long, b boolean").repartition(3)
+    kept = lambda *order: sorted((r.grp, r.s) for r in grouping.survivor(df, ["grp"], list(order)).where("keep").collect())
+    assert kept(("s", "desc")) == [("g", "abc"), ("h", "ß")] and kept("s") == [("g", "a"), ("h", "z")]
+    assert kept(("n", "desc"), ("s", "desc")) == [("g", "ab"), ("h", "z")] and kept("n") == [("g", "abc"), ("h", "ß")]
+    assert kept(("b", "desc"), "s") == [("g", "a"), ("h", "ß")] and kept(F.col("b"), "s") == [("g", "abc"), ("h", "z")]
+    with pytest.raises(ValueError):
+        kept(("s", "down"))
 
 
 def test_manifest(spark):
@@ -102,8 +118,9 @@ def test_archives_and_commands(spark, tmp_path):
     spark.dataSource.register(ArchiveSource)
     rows = spark.read.format("archive").option("level", "hash").load(str(tmp_path))
     assert rows.where("kind = 'zip item'").count() == 6 and rows.where("kind = 'broken'").count() == 1 and rows.where("path LIKE '%_hidden.txt'").count() == 1
-    members = rows.where("kind = 'zip item'").select(F.regexp_extract("path", "([^/]+)$", 1).alias("archive"), names.extension(F.col("member")).alias("extension"), "sha256", "size")
-    got = {r.archive: r.status for r in commands.archive_status(members).collect()}
+    members = rows.where("kind = 'zip item'").select(F.regexp_extract("path", "([^/]+)$", 1).alias("archive"), F.col("member").alias("inner"), names.extension(F.col("member")).alias("extension"), "sha256", "size", "entry")
+    found = members.select(F.col("archive").alias("path"), F.col("archive").alias("name"), F.lit(1).alias("modified"), F.lit(0).alias("errors")).distinct()
+    got = {r.path: r.status for r in archives.archive_report(found, members).collect()}
     assert got == {"a.zip": "keep", "b.zip": "all-matched", "c.zip": "subset", "d.zip": "unmatched"}
 
 
