@@ -201,8 +201,8 @@ def comprehensive(files: DataFrame, query: str = "", fetch: Fetch | None = None)
     items = as_items(files)
     entry = F.col("entry") if "entry" in items.columns else F.lit(None).cast("int")
     named = items.select("path", "location", "inner", "kind", "size", "modified", "extension", "name", entry.alias("entry"))
-    base = grouping.ranked(named.withColumn("f", names.name_fields("name")).select("*", "f.title", "f.title_key", "f.signature").drop("f", "name"), ["location"], "node")
-    base = materialize(base, "items")
+    named = materialize(named.withColumn("f", names.name_fields("name")).select("*", "f.title", "f.title_key", "f.signature").drop("f", "name"), "named")
+    base = materialize(grouping.ranked(named, ["location"], "node"), "items")
     # What has to be read: content of sizes that occur twice, bodies of titles that do. Only digests of it go on.
     sizes = base.groupBy("size").agg((F.count("*") > 1).alias("need_hash"))
     alike = base.where("title_key <> ''").groupBy("title_key").agg((F.count("*") > 1).alias("need_body"))

@@ -78,7 +78,7 @@ SELECT id AS doc_id, substr(fp, 1, 16) AS fingerprint, copies, row_number() OVER
 def dup_text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "n_chars", "text"))
     prints = docs.select("doc_id", "n_chars", text.sentence_fingerprint("text").alias("f")).select("doc_id", "n_chars", F.col("f.fingerprint").alias("fp"))
-    kept = grouping.survivor(grouping.groups_of(materialize(prints, "prints"), "fp"), ["fp"], [-F.col("n_chars"), F.col("doc_id")])
+    kept = grouping.survivor(grouping.groups_of(materialize(prints, "prints"), "fp"), ["fp"], [("n_chars", "desc"), "doc_id"])
     return kept.select("doc_id", F.substring("fp", 1, 16).alias("fingerprint"), "copies", "keep")
 
 
@@ -106,14 +106,27 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select("page_id", F.length("body").cast("long").alias("body_chars"), F.sha2("body", 256).alias("body_sha"))
 
 
-@query()
+_BLOCK_END = "(?i)</(?:p|div|li|h[1-6]|nav|header|footer|aside|section|form)>"
+
+
+@query(
+    rf"""
+WITH pieces AS (SELECT page_id, unnest(string_split_regex(html, '{_BLOCK_END}')) AS t, generate_subscripts(string_split_regex(html, '{_BLOCK_END}'), 1) AS place FROM pages WHERE html IS NOT NULL),
+blocks AS (SELECT page_id, place, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(t, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM pieces),
+"""
+    + _SENTENCES.format(id="page_id * 100000 + place", text="body", table="blocks WHERE body <> ''")
+    + """, f AS (SELECT id, any_value(length(t)) AS n, sha256(coalesce(string_agg(DISTINCT s, chr(10) ORDER BY s) FILTER (length(s) >= 12), any_value(t))) AS fp FROM clean GROUP BY id),
+g AS (SELECT *, count(*) OVER (PARTITION BY fp) AS copies, row_number() OVER (PARTITION BY fp ORDER BY n DESC, id) = 1 AS keep FROM f)
+SELECT id // 100000 AS page_id, CAST(id % 100000 AS INTEGER) AS place, substr(fp, 1, 16) AS fingerprint, copies, keep FROM g WHERE copies > 1
+"""
+)
 def page_text_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of equal text fingerprints; of each group the longest stays, then the first. Pages without text are not alike."""
-    body = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", text.normalise(F.col("html")).alias("body")).where("body <> ''")
-    prints = body.select("page_id", F.length("body").alias("body_chars"), text.sentence_fingerprint("body").alias("f")).select("page_id", "body_chars", F.col("f.fingerprint").alias("fp"))
-    prints = materialize(prints, "prints")
-    heads = prints.groupBy("fp").agg(F.count("*").alias("copies"), F.min(F.struct((-F.col("body_chars")).alias("less"), "page_id")).alias("k")).where("copies > 1")
-    return prints.join(heads, "fp").select("page_id", F.substring("fp", 1, 16).alias("fingerprint"), "copies", (F.col("page_id") == F.col("k.page_id")).alias("keep"))
+    """Blocks of pages (menus, notices, repeated paragraphs) of equal text fingerprints; of each group the longest stays, then the first."""
+    pages = spread(table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", "html"))
+    cut = pages.select("page_id", F.posexplode(F.split("html", _BLOCK_END)).alias("place", "t")).select("page_id", (F.col("place") + 1).alias("place"), text.normalise(F.col("t")).alias("body")).where("body <> ''")
+    prints = cut.select("page_id", "place", F.length("body").alias("n"), text.sentence_fingerprint("body").alias("f")).select("page_id", "place", "n", F.col("f.fingerprint").alias("fp"))
+    kept = grouping.survivor(grouping.groups_of(materialize(prints, "prints"), "fp"), ["fp"], [("n", "desc"), "page_id", "place"])
+    return kept.select("page_id", "place", F.substring("fp", 1, 16).alias("fingerprint"), "copies", "keep")
 
 
 @query(
@@ -140,6 +153,57 @@ def comprehensive_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member.select(F.col("node").alias("doc_id"), "component", "members", (F.col("node") == F.col("component")).alias("keep"), "evidence")
 
 
+_ITEMS = r"""
+raw_items AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'box' || (doc_id % 50) || '.zip :: ' || doc_id || '/' ELSE '/d' || doc_id || '/' END AS place, CASE WHEN doc_id % 3 = 0 THEN 'zip item' ELSE 'file' END AS kind,
+'w' || CASE WHEN doc_id % 5 < 3 THEN doc_id // 2 ELSE 1000000000 + doc_id END || 'x' || CASE doc_id % 8 WHEN 1 THEN ' 1권' WHEN 2 THEN ' 2권' ELSE '' END AS title, CASE doc_id % 8 WHEN 1 THEN 'volume:1' WHEN 2 THEN 'volume:2' ELSE '' END AS mark,
+CASE WHEN doc_id % 7 = 0 THEN '9999-12-31 23:59' ELSE '2020-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') || ' 00:00' END AS moment, text FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT 'talk.zip :: ' || conv_id || '.' || turn || '/', 'zip item', 'c' || conv_id || 'y' || turn || 'x', '', '9999-12-31 23:59', text FROM conversations WHERE text IS NOT NULL),
+items AS (SELECT row_number() OVER (ORDER BY place || title || '.txt') AS id, place || title || '.txt' AS location, kind, title, mark, moment, text, replace(title, ' ', '') AS title_key, count(*) OVER (PARTITION BY strlen(text)) > 1 AS need_hash, count(*) OVER (PARTITION BY replace(title, ' ', '')) > 1 AS need_body FROM raw_items),
+bodies AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+'(?im)^(\s*(?:[•\-*]\s*)?)c\d{1,4}\s+', '\1', 'g'), '(?i)([.!?。！？]\s)c\d{1,4}\s+', '\1', 'g'), '\s+', ' ', 'g')) AS body FROM items WHERE need_body)
+"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + _ITEMS
+    + ", "
+    + _SENTENCES.format(id="id", text="body", table="bodies WHERE length(body) >= 30")
+    + """, prints AS (SELECT id, sha256(coalesce(string_agg(DISTINCT s, chr(10) ORDER BY s) FILTER (length(s) >= 12), any_value(t))) AS body FROM clean GROUP BY id),
+facts AS (SELECT i.*, CASE WHEN need_hash THEN sha256(text) END AS hash, p.body FROM items i LEFT JOIN prints p USING (id)),
+keyed AS (SELECT id, 'title' AS evidence, title_key AS key, '' AS mark FROM facts UNION ALL SELECT id, 'hash', hash, mark FROM facts WHERE hash IS NOT NULL UNION ALL SELECT id, 'body', body, mark FROM facts WHERE body IS NOT NULL),
+parted AS (SELECT id, evidence, key, CASE WHEN count(DISTINCT nullif(mark, '')) OVER (PARTITION BY evidence, key) > 1 THEN mark ELSE '' END AS part FROM keyed),
+met AS (SELECT *, min(id) OVER (PARTITION BY evidence, key, part) AS head, count(*) OVER (PARTITION BY evidence, key, part) AS n FROM parted), linked AS (SELECT * FROM met WHERE n > 1),
+e AS (SELECT id AS a, head AS b FROM linked WHERE id <> head UNION SELECT head, id FROM linked WHERE id <> head),
+reach(node, label) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, reach.label FROM reach JOIN e ON reach.node = e.a WHERE reach.label < e.b),
+found AS (SELECT node AS id, min(label) AS component FROM reach GROUP BY node),
+told AS (SELECT id, string_agg(DISTINCT evidence, ', ' ORDER BY evidence) AS evidence FROM linked GROUP BY id),
+rows_ AS (SELECT f.*, component, evidence, count(DISTINCT kind) OVER (PARTITION BY component) > 1 AS mixed FROM facts f JOIN found USING (id) JOIN told USING (id)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY CASE WHEN mixed THEN kind = 'file' ELSE kind <> 'file' END, moment, lower(location), location) = 1 AS keep FROM rows_),
+heads AS (SELECT *, max(CASE WHEN keep THEN hash END) OVER (PARTITION BY component) AS keep_hash, min(title) OVER (PARTITION BY component) AS first_title FROM kept), v AS (SELECT *, coalesce(hash = keep_hash, FALSE) AS same FROM heads)
+SELECT location, kind, component, first_title, keep, CASE WHEN NOT keep AND NOT same AND contains(evidence, 'hash') THEN evidence || ', other hash than kept' ELSE evidence END AS evidence,
+CASE WHEN (keep AND hash IS NOT NULL) OR (NOT keep AND same) THEN 'certain' ELSE 'review' END AS confidence, CASE WHEN keep THEN 'keep' WHEN same THEN 'duplicate' ELSE 'review' END AS verdict, same AND NOT keep AND kind = 'file' AS auto_select FROM v
+"""
+)
+def comprehensive_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files and members, turns as members: components over titles, content and bodies, split by volumes, with survivors and verdicts."""
+    key = F.col("doc_id")
+    title = F.concat(F.lit("w"), F.when(key % 5 < 3, F.floor(key / 2)).otherwise(1_000_000_000 + key), F.lit("x"), F.when(key % 8 == 1, " 1권").when(key % 8 == 2, " 2권").otherwise(""))
+    boxed, name = key % 3 == 0, F.concat(title, F.lit(".txt"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
+        F.when(boxed, F.concat(F.lit("box"), key % 50, F.lit(".zip"))).otherwise(F.concat(F.lit("/d"), key, F.lit("/"), name)).alias("path"), F.when(boxed, F.concat(key, F.lit("/"), name)).otherwise("").alias("inner"),
+        F.when(boxed, "zip item").otherwise("file").alias("kind"), name.alias("name"), F.when(key % 7 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (key % 28).cast("int")).cast("timestamp")).alias("modified"), F.col("text").cast("binary").alias("content"),
+    )
+    said = F.concat(F.lit("c"), "conv_id", F.lit("y"), "turn", F.lit("x.txt"))
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(
+        F.lit("talk.zip").alias("path"), F.concat("conv_id", F.lit("."), "turn", F.lit("/"), said).alias("inner"), F.lit("zip item").alias("kind"), said.alias("name"), F.lit(None).cast("timestamp").alias("modified"), F.col("text").cast("binary").alias("content")
+    )
+    location = F.when(F.col("inner") == "", F.col("path")).otherwise(F.concat("path", F.lit(" :: "), "inner"))
+    items = docs.unionByName(turns).withColumns({"location": location, "extension": F.lit(".txt"), "size": F.octet_length("content").cast("long")})
+    out = commands.comprehensive(spread(items))
+    return out.select("location", "kind", F.col("component").cast("long").alias("component"), "first_title", "keep", "evidence", "confidence", "verdict", "auto_select")
+
+
 @query("""
 WITH d AS (SELECT doc_id, source, sha256(text) AS sha, n_chars, lang FROM documents WHERE text IS NOT NULL),
 g AS (SELECT *, count(*) OVER (PARTITION BY sha) AS copies, count(DISTINCT lang) OVER (PARTITION BY sha) AS langs,
@@ -203,12 +267,48 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.sentence_overlaps(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
-@query()
+@query("""
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS a, CASE WHEN o_orderkey % 5 = 0 THEN 'u' || o_orderkey || 'x' ELSE 'b' || (o_orderkey // 8) || 'x' END AS title, CAST(o_orderdate AS VARCHAR) AS modified, o_orderkey % 97 = 0 AS bad FROM orders),
+l AS (SELECT CAST(l_orderkey AS VARCHAR) AS a, l_partkey AS p, l_partkey || CASE WHEN l_quantity > 45 THEN 'b' ELSE 'a' END AS i FROM lineitem WHERE l_orderkey % 97 <> 0 AND l_orderkey % 89 <> 0),
+h AS (SELECT a, p, i, count(*) AS m FROM l GROUP BY ALL),
+b AS (SELECT h.a, title, modified, string_agg(i || 'x' || m, ',' ORDER BY i) AS bag, sum(m) AS n FROM h JOIN o ON o.a = h.a GROUP BY ALL),
+k AS (SELECT bag, min(a) AS first, count(*) AS copies, any_value(n) AS n, arg_min(a, {'m': modified, 't': title, 'a': a}) AS kept FROM b GROUP BY bag),
+r AS (SELECT k.bag, k.n, h.i, h.m FROM k JOIN h ON h.a = k.first),
+c AS (SELECT x.bag, y.bag AS holder, y.n - x.n AS extra FROM r x JOIN r y ON x.i = y.i AND x.n < y.n GROUP BY x.bag, y.bag, x.n, y.n HAVING sum(least(x.m, y.m)) = x.n),
+w AS (SELECT c.bag, arg_min(k.first, {'e': extra, 'f': k.first}) AS target FROM c JOIN k ON k.bag = c.holder GROUP BY c.bag),
+s2 AS (SELECT b.bag, min(b.a) AS second FROM b JOIN k ON k.bag = b.bag AND b.a <> k.first GROUP BY b.bag),
+settled AS (SELECT a AS source, target, 'subset' AS relation FROM b JOIN w USING (bag) UNION ALL
+SELECT b.a, CASE WHEN b.a = k.first THEN s2.second ELSE k.first END, 'exact' FROM b JOIN k USING (bag) JOIN s2 USING (bag) WHERE bag NOT IN (SELECT bag FROM w)),
+y AS (SELECT x.a AS source, z.a AS target FROM b x JOIN b z ON x.title = z.title AND x.a <> z.a WHERE x.a NOT IN (SELECT source FROM settled)),
+e AS (SELECT q.source, q.target, q.p, q.i, coalesce(u.m, 0) AS ms, coalesce(v.m, 0) AS mt FROM (SELECT y.*, h.p, h.i FROM y JOIN h ON h.a = y.source UNION SELECT y.*, h.p, h.i FROM y JOIN h ON h.a = y.target) q
+LEFT JOIN h u ON u.a = q.source AND u.i = q.i AND u.p = q.p LEFT JOIN h v ON v.a = q.target AND v.i = q.i AND v.p = q.p),
+t AS (SELECT *, ms > mt AND sum(mt) OVER (PARTITION BY source, target, p) > mt AS changed FROM e), g AS (SELECT *, bool_or(changed) OVER (PARTITION BY source, target, p) AS aside FROM t),
+d AS (SELECT source, target, sum(least(ms, mt)) AS common, sum(CASE WHEN changed OR (NOT aside AND ms > mt) THEN ms - mt WHEN NOT aside AND mt > ms THEN mt - ms ELSE 0 END) AS difference FROM g GROUP BY ALL),
+part_ AS (SELECT source, arg_min(target, {'c': -common, 'd': difference, 't': target}) AS target, 'partial' AS relation FROM d GROUP BY source),
+sup AS (SELECT target AS source, max(source) AS target, 'superset' AS relation FROM settled WHERE relation = 'subset' AND target NOT IN (SELECT source FROM settled) GROUP BY target),
+chosen AS (SELECT * FROM settled UNION ALL SELECT * FROM part_ WHERE source NOT IN (SELECT source FROM sup) UNION ALL SELECT * FROM sup),
+met AS (SELECT source, sum(least(u.m, v.m)) AS matched FROM chosen JOIN h u ON u.a = source JOIN h v ON v.a = target AND v.i = u.i GROUP BY source),
+loose AS (SELECT s_suppkey || 'a' AS i FROM supplier), tot AS (SELECT i, min(a) AS low, max(a) AS high FROM h GROUP BY i),
+els AS (SELECT h.a, sum(CASE WHEN i IN (SELECT i FROM loose) OR low <> h.a OR high <> h.a THEN m ELSE 0 END) AS elsewhere, sum(CASE WHEN i IN (SELECT i FROM loose) THEN m ELSE 0 END) AS outside FROM h JOIN tot USING (i) GROUP BY h.a),
+f AS (SELECT o.a, o.bad, coalesce(b.n, 0) AS n, x.target, x.relation, coalesce(x.relation = 'exact' AND k.kept = o.a, FALSE) AS keep, CASE WHEN x.relation IS NULL THEN coalesce(elsewhere, 0) ELSE coalesce(matched, 0) END AS matched, coalesce(outside, 0) AS outside
+FROM o LEFT JOIN b ON b.a = o.a LEFT JOIN k ON k.bag = b.bag LEFT JOIN chosen x ON x.source = o.a LEFT JOIN met ON met.source = o.a LEFT JOIN els ON els.a = o.a)
+SELECT a AS archive, CASE WHEN bad THEN 'broken' WHEN n = 0 THEN 'empty' WHEN relation IN ('subset', 'superset') THEN relation WHEN relation = 'exact' AND keep THEN 'keep' WHEN relation = 'exact' THEN 'all-matched'
+WHEN relation = 'partial' OR matched > 0 THEN 'partial' ELSE 'unmatched' END AS status, CAST(n AS BIGINT) AS members, CAST(matched AS BIGINT) AS matched_members, CAST(outside AS BIGINT) AS external_matched, target, relation,
+coalesce(relation IN ('exact', 'subset'), FALSE) AND (relation = 'subset' OR NOT keep) AS auto_select, n > 0 AND outside = n AS externally_covered FROM f
+""")
 def archive_containment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as archives of their turns: which are the same as others or contained in them. Without a readable turn they are broken."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("archive"), F.col("role").alias("extension"), F.sha2("text", 256).alias("sha256"), F.length("text").alias("size"))
-    members = turns.where("extension IS NOT NULL AND sha256 IS NOT NULL")
-    return commands.archive_status(members, turns.select("archive").distinct().join(members, "archive", "left_anti"))
+    """Orders as archives of parts, suppliers as loose files: equal, contained, alike by title, broken, empty and single archives."""
+    key = F.col("o_orderkey")
+    title = F.when(key % 5 == 0, F.concat(F.lit("u"), key, F.lit("x"))).otherwise(F.concat(F.lit("b"), F.floor(key / 8), F.lit("x")))
+    found = table(spark, sf_dir, "orders").select(key.cast("string").alias("path"), F.concat(title, F.lit(".zip")).alias("name"), F.col("o_orderdate").alias("modified"), (key % 97 == 0).cast("int").alias("errors"))
+    lines, part = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 <> 0 AND l_orderkey % 89 <> 0"), F.col("l_partkey")
+    members = lines.select(
+        F.col("l_orderkey").cast("string").alias("archive"), F.concat(F.lit("p"), part, F.lit("x.x")).alias("inner"), F.lit(".x").alias("extension"), F.concat(part, F.when(F.col("l_quantity") > 45, "b").otherwise("a")).alias("sha256"),
+        F.lit(1).alias("size"), F.col("l_linenumber").alias("entry"),
+    )
+    loose = table(spark, sf_dir, "supplier").select(F.lit(".x").alias("extension"), F.concat("s_suppkey", F.lit("a")).alias("sha256"))
+    report = archives.archive_report(found, members, loose)
+    return report.select(F.col("path").alias("archive"), "status", "members", "matched_members", "external_matched", "target", "relation", "auto_select", "externally_covered")
 
 
 @query("""
@@ -472,7 +572,7 @@ SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PART
 """)
 def latest_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts", "value")
-    best = grouping.survivor(events, ["user_id"], [-F.col("value"), -F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_id")])
+    best = grouping.survivor(events, ["user_id"], [("value", "desc"), ("ts", "desc"), "event_id"])
     return best.where("keep").select("user_id", "event_id", "event_type", "ts")
 
 
