@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from quarry.operators import grouping
 from quarry.session import materialize
 
 NONE = "array<string>"
+BLOCK_CHARS, SHARE_CHARS, LEAST_SHARE = 1 << 20, 16 << 20, 1 << 18  # characters of the keys of one automaton, and of the texts that one task runs through it
 
 
 def rename_status(plan: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -180,16 +183,31 @@ def latest_candidates(found: DataFrame, most: int = 200) -> DataFrame:
 def substring_pairs(long: DataFrame, long_key: str, short: DataFrame, short_key: str) -> DataFrame:
     """(long_key, short_key): pairs of which the one holds the other. Distinct keys; empty ones hold and lie in nothing.
 
-    Keys are cut at every place into pieces of as many characters as some short key has, and met by equality; so the plan grows with
-    the keys' lengths and the number of those lengths, not with the product of the tables.
+    The short keys are dealt into blocks of bounded size, the long ones into shares. A task builds the automaton of a block (Aho-Corasick)
+    and runs its share through it once, so the work grows with the length of the keys, whatever lengths occur and however many match.
     """
-    inner = short.select(F.col(short_key)).where(F.col(short_key) != "").distinct()
-    outer = long.select(F.col(long_key)).where(F.col(long_key) != "").distinct()
-    lengths = inner.agg(F.array_sort(F.collect_set(F.length(short_key))).alias("_lengths"))  # one row, as many numbers as there are lengths of keys
-    starts = lambda n: F.transform(F.sequence(F.lit(1), F.length(long_key) - n + 1), lambda i: F.substring(F.col(long_key), i, n))
-    pieces = F.flatten(F.transform(F.filter("_lengths", lambda n: n <= F.length(long_key)), starts))
-    cut = outer.crossJoin(F.broadcast(lengths)).select(long_key, F.explode(F.array_distinct(pieces)).alias(short_key))
-    return cut.join(inner, short_key).select(long_key, short_key)
+    inner = short.select(F.col(short_key).alias("key")).where("key <> ''").distinct()
+    outer = long.select(F.col(long_key).alias("key")).where("key <> ''").distinct()
+    chars = lambda df: df.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0]
+    blocks, shares = 1 + chars(inner) // BLOCK_CHARS, 1 + chars(outer) // SHARE_CHARS
+    parts = max(1, int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = max(shares, min(parts, 1 + chars(outer) // LEAST_SHARE))
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    own = lambda name, n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias(name)
+    texts = outer.select("key", own("share", shares), every("block", blocks)).groupBy("share", "block")
+    keys = inner.select("key", every("share", shares), own("block", blocks)).groupBy("share", "block")
+
+    def search(texts: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        if texts.empty or keys.empty:
+            return pd.DataFrame({long_key: [], short_key: []}, dtype=str)
+        automaton = ahocorasick.Automaton()
+        for k in keys["key"]:
+            automaton.add_word(k, k)
+        automaton.make_automaton()
+        found = [(t, k) for t in texts["key"] for k in {k for _, k in automaton.iter(t)}]
+        return pd.DataFrame(found, columns=[long_key, short_key])
+
+    return texts.cogroup(keys).applyInPandas(search, f"`{long_key}` string, `{short_key}` string")
 
 
 def rejected(found: DataFrame, rejects: DataFrame, title: str = "title", reject: str = "reject") -> DataFrame:

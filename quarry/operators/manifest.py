@@ -11,6 +11,7 @@ from quarry.functions import names
 from quarry.operators import grouping
 from quarry.operators.joins import join_totals
 from quarry.session import materialize
+from quarry.sources import sink
 from quarry.sources.items import at_least, items
 
 KIND, VERSION = "quarry-manifest", 1
@@ -37,12 +38,8 @@ def scan_entries(rows: DataFrame, kilobytes: float = 0, with_members: bool = Tru
 
 
 def save(found: DataFrame, path: str, **header) -> None:
-    """Write ENTRY rows as JSON lines in a folder, of which the first file holds the header."""
-    spark = found.sparkSession
-    head = spark.createDataFrame([(json.dumps({"kind": KIND, "version": VERSION, **header}, ensure_ascii=False),)], "value string")
-    lines = found.select(F.to_json(F.struct(*(c.split()[0] for c in ENTRY.split(", "))), {"ignoreNullFields": "false"}).alias("value"))
-    head.coalesce(1).write.text(f"{path}/header")
-    lines.write.text(f"{path}/entries")
+    """Write ENTRY rows with a header in a folder; a write that fails leaves no manifest."""
+    sink.write(found.select(*(c.split()[0] for c in ENTRY.split(", "))), path, {"kind": KIND, "version": VERSION, **header})
 
 
 def load(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
@@ -50,24 +47,24 @@ def load(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
 
     A line that is no object fails with its file and number; a file without a header is no manifest.
     """
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    saved = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/header"))
-    first = spark.read.text(f"{path}/header" if saved else path, wholetext=False).limit(1).collect()
+    if sink.document_of(path) is not None:
+        return sink.read(spark, path, KIND)
+    first = spark.read.text(path, wholetext=False).limit(1).collect()
     try:
         header = json.loads(first[0][0]) if first else {}
     except json.JSONDecodeError:
         header = {}
     if not isinstance(header, dict) or header.get("kind") != KIND:
         raise ValueError(f"{path} is no manifest: its first line is no header")
-    lines = spark.read.text(f"{path}/entries" if saved else path).select("value", F.col("_metadata.file_name").alias("file"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     lines = lines.where((F.trim("value") != "") & (F.get_json_object("value", "$.kind").isNull() | (F.get_json_object("value", "$.kind") != KIND)))
-    parsed = lines.select("file", "value", F.from_json("value", ENTRY + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("e"))
-    bad = parsed.where("e._bad IS NOT NULL").select("file", "value").limit(1).collect()
-    if bad:
-        # The number is looked for only where a line is broken.
-        text = spark.read.text(f"{path}/entries" if saved else path).where(F.col("_metadata.file_name") == bad[0]["file"])
-        before = text.withColumn("n", F.monotonically_increasing_id()).where(F.col("value") == bad[0]["value"]).agg(F.min("n")).first()[0]
-        raise ValueError(f"{bad[0]['file']}, line {before + 1}: not a manifest entry")
+    parsed = lines.select("file", "block", "at", F.from_json("value", ENTRY + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("e"))
+    bad = parsed.where("e._bad IS NOT NULL").agg(F.min(F.struct("file", "block", "at"))).first()[0]
+    if bad is not None:
+        # Lines of one split have rising numbers, and splits of a file are ordered by where they start.
+        text = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+        before = text.where((F.col("file") == bad["file"]) & ((F.col("block") < bad["block"]) | ((F.col("block") == bad["block"]) & (F.col("at") <= bad["at"])))).count()
+        raise ValueError(f"{bad['file']}, line {before}: not a manifest entry")
     return header, parsed.select("e.*").drop("_bad")
 
 
@@ -87,7 +84,7 @@ def check(files: DataFrame, location: str, content: str, manifest: DataFrame) ->
     cheap = files.select(F.col(location).alias("location"), F.octet_length(data).cast("long").alias("size"), F.lpad(F.lower(F.hex(F.crc32(data))), 8, "0").alias("crc32"), data.alias("_data"))
     likely = cheap.join(manifest.select("size", "crc32").distinct(), ["size", "crc32"], "left_semi").select("location", F.sha2("_data", 256).alias("sha256"))
     first = first_by_hash(manifest).select("sha256", F.col("first.location").alias("matched"))
-    hits = likely.join(first, "sha256").select("location", "matched")
+    hits = likely.join(first, "sha256").groupBy("location").agg(F.min("matched").alias("matched"))  # a location that occurs again has one
     return files.select(F.col(location).alias("location")).join(hits, "location", "left").select("location", F.when(F.col("matched").isNull(), "new").otherwise("have").alias("status"), "matched")
 
 

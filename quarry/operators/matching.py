@@ -61,14 +61,36 @@ def gram_candidates(left: DataFrame, lid: str, ltext: str, right: DataFrame, rid
 
     `overlap` is the share of the smaller set; ties go to the smaller right id. With `within`, both sides are one table,
     and no text is its own candidate.
+
+    Grams that most texts hold are not joined: at first every gram of a left text meets the first `top` right texts that have it, which gives
+    as many candidates, and so a number K of shared grams that the last of them has at least. A right text that is not found by
+    the others shares the K - 1 most frequent grams at most, which is too few; so the left text's other grams, rarest first, are all that
+    is joined in full. Pairs found are counted exactly.
     """
-    a = left.select(F.col(lid), char_grams(F.col(ltext), n).alias("g")).select(lid, F.size("g").alias("na"), F.explode("g").alias("gram"))
-    b = right.select(F.col(rid), char_grams(F.col(rtext), n).alias("g")).select(rid, F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    joined = a.join(b, "gram")
-    met = (joined.where(F.col(lid) != F.col(rid)) if within else joined).groupBy(lid, rid).agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    met = met.withColumn("overlap", F.col("shared") / F.least("na", "nb"))
-    rank = F.row_number().over(W.partitionBy(lid).orderBy(F.desc("shared"), rid))
-    return met.withColumn("_r", rank).where((F.col("_r") <= top) & (F.col("overlap") >= least)).select(lid, rid, "shared", F.round("overlap", 6).alias("overlap"))
+    grams = lambda df, key, text, name: materialize(df.select(F.col(key), F.array_distinct(char_grams(F.col(text), n)).alias(name)).where(F.size(name) > 0), name)
+    a, b = grams(left, lid, ltext, "ga"), grams(right, rid, rtext, "gb")
+    held = b.select(rid, F.explode("gb").alias("gram"))
+    freq = held.groupBy("gram").agg(F.count("*").alias("f"))
+    own = a.select(lid, F.size("ga").alias("na"), F.explode("ga").alias("gram")).join(freq, "gram")  # grams that no right text has are left out
+    own = materialize(own.withColumn("place", F.row_number().over(W.partitionBy(lid).orderBy("f", "gram"))), "own")
+    total = own.groupBy(lid).agg(F.count("*").alias("nf"))
+    more = top + 1 if within else top  # one of the first may be the text itself
+    first = held.withColumn("_r", F.row_number().over(W.partitionBy("gram").orderBy(rid))).where(F.col("_r") <= more).drop("_r")
+    other = (F.col(lid) != F.col(rid)) if within else F.lit(True)
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(a, lid).join(b, rid)
+        return met.select(lid, rid, F.size(F.array_intersect("ga", "gb")).cast("long").alias("shared"), F.size("ga").alias("na"), F.size("gb").alias("nb"))
+
+    some = materialize(counted(own.join(first, "gram").where(other).select(lid, rid).distinct()), "some")
+    place = F.row_number().over(W.partitionBy(lid).orderBy(F.desc("shared"), rid))
+    kth = some.withColumn("_r", place).where(F.col("_r") == top).select(lid, F.col("shared").alias("k"))
+    # Without as many candidates, all texts that share a gram are among them already.
+    reach = total.join(kth, lid).select(lid, F.when(F.col("k") <= 1, F.col("nf") - 1).otherwise(F.col("nf") - F.col("k") + 1).alias("reach"))
+    probes = own.join(reach, lid).where(F.col("place") <= F.col("reach")).select(lid, "gram")
+    fresh = probes.join(held, "gram").where(other).select(lid, rid).distinct().join(some.select(lid, rid), [lid, rid], "left_anti")
+    met = some.unionByName(counted(fresh)).withColumn("overlap", F.col("shared") / F.least("na", "nb"))
+    return met.withColumn("_r", place).where((F.col("_r") <= top) & (F.col("overlap") >= least)).select(lid, rid, "shared", F.round("overlap", 6).alias("overlap"))
 
 
 @F.pandas_udf(T.DoubleType())

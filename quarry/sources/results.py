@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.library import has_record
+from quarry.sources import sink
 from quarry.sources.items import any_text_matches
 
 KIND, RECORDS, VERSION = "quarry-result", "quarry-records", 1
@@ -23,28 +22,14 @@ def save_result(rows: DataFrame, path: str, command: str, options: dict, limit:
     """Write the first `limit` rows (0: all) with a document of command, options, counts, and whether rows were cut off."""
     total = rows.count()
     shown = (rows.orderBy(*order) if order else rows).limit(limit) if limit else rows
-    shown.write.parquet(f"{path}/items")
     document = {"kind": KIND, "version": VERSION, "command": command, "options": options, "total": total, "shown": min(total, limit) if limit else total, "truncated": bool(limit) and total > limit}
-    spark = rows.sparkSession
-    spark.createDataFrame([(json.dumps(document, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.text(f"{path}/document")
-    return document
-
-
-def _document(spark: SparkSession, path: str, kind: str) -> dict:
-    found = spark.read.text(f"{path}/document").collect()  # one line
-    try:
-        document = json.loads(found[0][0]) if found else {}
-    except json.JSONDecodeError:
-        document = {}
-    if not isinstance(document, dict) or document.get("kind") != kind:
-        raise ValueError(f"{path} is not of kind {kind}")
+    sink.write(shown, path, document)
     return document
 
 
 def load_result(spark: SparkSession, path: str, query: str = "", limit: int = 0) -> tuple[dict, DataFrame]:
     """(document, rows) of a saved result. The query filters the rows that were saved, so a truncated result stays truncated."""
-    document = _document(spark, path, KIND)
-    rows = spark.read.parquet(f"{path}/items")
+    document, rows = sink.read(spark, path, KIND)
     kept = rows.where(any_text_matches(rows, query))
     total = kept.count()
     document |= {"total": total, "shown": min(total, limit) if limit else total, "loaded_from": path}
@@ -53,16 +38,14 @@ def load_result(spark: SparkSession, path: str, query: str = "", limit: int = 0)
 
 def export_records(records: DataFrame, path: str, rejects: list[str] = (), tracked: list[str] = ()) -> int:
     """Write the records in which a user entered something, with the lists of rejected and tracked titles; how many."""
-    said = records.where(has_record())
-    as_json(said).write.text(f"{path}/records")
-    document = {"kind": RECORDS, "version": VERSION, "rejects": list(rejects), "tracked": list(tracked)}
-    records.sparkSession.createDataFrame([(json.dumps(document, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{path}/document")
-    return said.count()
+    said = records.where(has_record()).select(*(c.split()[0] for c in RECORD.split(", ")))
+    sink.write(said, path, {"kind": RECORDS, "version": VERSION, "rejects": list(rejects), "tracked": list(tracked)})
+    return sink.document_of(path)["rows"]
 
 
 def load_records(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """(document, RECORD rows) of exported records."""
-    return _document(spark, path, RECORDS), spark.read.schema(RECORD).json(f"{path}/records")
+    return sink.read(spark, path, RECORDS)
 
 
 def merged_list(own: list[str], incoming: list[str], known: list[str] = ()) -> list[str]:

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from quarry.operators.joins import join_totals
 from quarry.session import materialize
 from quarry.streaming.incremental import cache_state, classify_error, without_bad
 
 JOB = "job_key string, command string, folder string, status string, done long, total long, last_path string, device_errors long, note string, started_at timestamp, updated_at timestamp, seq long"
 BAD = "path string, error string, seen_at timestamp"
 STATES = ("running", "partial", "done", "interrupted", "disk-trouble")
+CLEARED = "cleared"  # a row that ends what was known of a job, so that nothing is deleted and written anew
 RESUMABLE = ("running", "interrupted", "disk-trouble", "partial")
 NOTE = 500
 
@@ -46,7 +46,12 @@ class JobStore:
         """One change of a job."""
         if status not in STATES:
             raise ValueError(f"no such state: {status}")
-        seen = self._read("jobs", JOB).where(F.col("job_key") == job_key).agg(F.max("seq"), F.min("started_at")).first()
+        self._note(job_key, command, folder, status, done, total, last_path, device_errors, note)
+
+    def _note(self, job_key: str, command: str, folder: str, status: str, done: int = 0, total: int = 0, last_path: str = "", device_errors: int = 0, note: str = "") -> None:
+        rows = self._read("jobs", JOB).where(F.col("job_key") == job_key)
+        cleared = F.coalesce(F.max(F.when(F.col("status") == CLEARED, F.col("seq"))), F.lit(0))
+        seen = rows.crossJoin(rows.agg(cleared.alias("_cleared"))).agg(F.max("seq"), F.min(F.when(F.col("seq") > F.col("_cleared"), F.col("started_at")))).first()
         row = self.spark.createDataFrame([(job_key, command, folder, status, done, total, last_path, device_errors, note[:NOTE], (seen[0] or 0) + 1, seen[1])], "job_key string, command string, folder string, status string, done long, total long, last_path string, device_errors long, note string, seq long, began timestamp")
         now = F.current_timestamp()
         self._append(row.select("job_key", "command", "folder", "status", "done", "total", "last_path", "device_errors", "note", F.coalesce("began", now).alias("started_at"), now.alias("updated_at"), "seq"), "jobs")
@@ -59,7 +64,7 @@ class JobStore:
         """The last state of each job, the latest first."""
         rows = self._read("jobs", JOB)
         last = rows.groupBy("job_key").agg(F.max("seq").alias("seq"))
-        return rows.join(last, ["job_key", "seq"]).drop("seq").orderBy(F.desc("updated_at"), "job_key")
+        return rows.join(last, ["job_key", "seq"]).where(F.col("status") != CLEARED).drop("seq").orderBy(F.desc("updated_at"), "job_key")
 
     def unfinished(self) -> DataFrame:
         return self.jobs().where("status <> 'done'")
@@ -80,12 +85,10 @@ class JobStore:
             self._delete("jobs")
             self._delete("bad")
             return gone
-        kept = self._read("jobs", JOB)
-        n = kept.where(F.col("job_key") == job_key).limit(1).count()
-        rest = materialize(kept.where(F.col("job_key") != job_key), "jobs")
-        self._delete("jobs")
-        rest.write.mode("append").parquet(f"{self.folder}/jobs")
-        return {"jobs": n, "bad_paths": 0}
+        known = self.jobs().where(F.col("job_key") == job_key).select("command", "folder").collect()
+        if known:
+            self._note(job_key, known[0]["command"], known[0]["folder"], CLEARED)
+        return {"jobs": len(known), "bad_paths": 0}
 
 
 def incremental_read(records: DataFrame, cache: DataFrame, keys: list[str], read: Callable[[DataFrame], DataFrame], order: str, budget: int = 0, bad: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
@@ -143,11 +146,6 @@ def display_rate(events: DataFrame, group: str, ts: str, done: str, seconds: int
     return out.withColumn("rate", F.when((made >= least_done) & (passed >= least_seconds), made / passed)).drop("_t", "_d", "_first")
 
 
-def events_per_key(events: DataFrame, keys: list[str], totals: DataFrame) -> DataFrame:
-    """`events` with the totals of their keys; hot keys are dealt out."""
-    return join_totals(events, totals, keys, events.count())
-
-
 class Progress(StreamingQueryListener):
     """Progress events of streaming queries as JSON lines to a function."""
 
