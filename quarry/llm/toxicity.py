@@ -287,18 +287,19 @@ def chosen_stems(positive: dict[str, int], negative: dict[str, int], precision:
 
 
 def _one_of_near_copies(rows: DataFrame) -> DataFrame:
-    """(text, y) without repeats: rows of one label whose lowest hashes of words agree, and that have as many words up to a fifth, count once."""
+    """(text, y) without repeats: of rows of one label whose lowest hashes of words agree, and that have as many words up to a fifth, the least by id stays."""
 
     def run(batches):
         for b in pieces(batches):
             keys = []
-            for text in b.column(0).to_pylist():
+            for text in b.column(1).to_pylist():
                 words = set((text or "").lower().split())
                 low = sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words)[:NEAR_COPY]
                 keys.append(f"{len(words).bit_length()}:{low}")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string())], ["text", "y", "key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string())], ["doc_id", "text", "y", "key"])
 
-    return rows.select("text", "y").mapInArrow(run, "text string, y int, key string").dropDuplicates(["y", "key"]).select("text", "y")
+    keyed = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, text string, y int, key string")
+    return keyed.groupBy("y", "key").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.text", "y")
 
 
 def learn_stems(rows: DataFrame) -> dict[str, float]:
@@ -355,7 +356,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, l
     chosen = (
         labels.select(key.alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (held_out_fold("doc_id") != HELD_OUT))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )

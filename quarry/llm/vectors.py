@@ -5,6 +5,9 @@ other. Vectors that point the same way share a long beginning, so they are close
 the vectors of its chunk of the order and of the next. Passes use fresh projections, and what one misses another finds.
 Links are exact: the cosine is computed in double precision.
 
+Equal vectors of a label are one class with their number from the start: a class takes part once, its links count as many times as
+it has members, and its members link with each other. So a vector that a third of all rows hold is one row of every pass.
+
 A dense region, of which the links fill the end of the next chunk, is followed from chunk to chunk as long as they do, so
 that bounded windows lose nothing there. A pair is counted in the first pass that compares it: every vector
 carries its chunks of the earlier passes. Pairs never leave their task; it hands on a number of links for each vector
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.batches import pieces
 from quarry.operators.components import connected_components
+from quarry.operators.joins import join_totals
 from quarry.session import materialize
 
 PASSES = 8  # the fewest
@@ -96,6 +100,13 @@ def _prepared(df: DataFrame, passes: int, id_col: str, vector_col: str, label_co
     return rows.mapInArrow(run, "uid long, vec_id long, label string, dim int, unit binary, " + ", ".join(f"h{p} long" for p in range(passes)))
 
 
+def _classes(every: DataFrame) -> DataFrame:
+    """A row for each distinct vector of a label: the smallest uid, its fields, and the number of its members."""
+    fields = [c for c in every.columns if c not in ("vec_id", "class")]
+    first = every.where("dim > 0").groupBy("class").agg(F.min(F.struct(*fields)).alias("first"), F.count("*").alias("members"))
+    return materialize(first.select("class", "first.*", "members"), "distinct")
+
+
 def _ranked(rows: DataFrame, number: int, parts: int) -> DataFrame:
     """`rows` with c<number>, the chunk of each in the order of the pass, numbered over the whole table."""
     order = ["label", "dim", f"h{number}", "uid"]
@@ -121,13 +132,13 @@ def _compared(rows: DataFrame, number: int, gap: int, active: set[int] | None, f
     earlier = [f"c{p}" for p in range(number)]
     own = F.struct(c.alias("g"), F.lit(0).alias("side"))
     other = F.struct((c - gap).alias("g"), F.lit(1).alias("side"))
-    dealt = rows.select("uid", "label", "dim", "unit", "place", *earlier, F.explode(F.array(own, other)).alias("p")).select("p.g", "p.side", "uid", "label", "dim", "unit", "place", *earlier).where("g >= 0")
+    dealt = rows.select("uid", "label", "dim", "unit", "place", "members", *earlier, F.explode(F.array(own, other)).alias("p")).select("p.g", "p.side", "uid", "label", "dim", "unit", "place", "members", *earlier).where("g >= 0")
     if active is not None:
         dealt = dealt.where(F.col("g").isin(sorted(active)))
     dealt = dealt.repartition(parts, "g").sortWithinPartitions("g", "side", "label", "uid")
 
-    def compare(g, side, uid, label, dim, unit, place, chunks):
-        side, uid, place = np.array(side), np.array(uid), np.array(place)
+    def compare(g, side, uid, label, dim, unit, place, members, chunks):
+        side, uid, place, members = np.array(side), np.array(uid), np.array(place), np.array(members)
         count, edges, far_end = np.zeros(len(uid), np.int64), [], 0
         groups: dict[tuple, list[int]] = {}
         for i, k in enumerate(zip(label, dim, strict=True)):
@@ -170,8 +181,8 @@ def _compared(rows: DataFrame, number: int, gap: int, active: set[int] | None, f
                     for k in np.flatnonzero(fresh):
                         if (int(min(chunk[i[k]], chunk[j[k]])), int(step[k])) in far[p]:
                             fresh[k] = False
-            np.add.at(count, i[fresh], 1)
-            np.add.at(count, j[fresh], 1)
+            np.add.at(count, i[fresh], members[j[fresh]])
+            np.add.at(count, j[fresh], members[i[fresh]])
         reach = far_end >= min(DENSE, CHUNK // 8)
         some = np.flatnonzero(count)
         n, m = len(some), len(edges)
@@ -185,17 +196,17 @@ def _compared(rows: DataFrame, number: int, gap: int, active: set[int] | None, f
         )
 
     def run(batches):
-        at, held = None, [[] for _ in range(6 + len(earlier))]
+        at, held = None, [[] for _ in range(7 + len(earlier))]
         for b in pieces(batches, 1024):
             for g, *values in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if g != at and held[0]:
-                    yield compare(at, *held[:6], held[6:])
+                    yield compare(at, *held[:7], held[7:])
                     held = [[] for _ in held]
                 at = g
                 for column, value in zip(held, values, strict=True):
                     column.append(value)
         if held[0]:
-            yield compare(at, *held[:6], held[6:])
+            yield compare(at, *held[:7], held[7:])
 
     return dealt.mapInArrow(run, "uid long, links long, a long, b long, reach long")
 
@@ -207,8 +218,10 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, passes: int | N
         largest = df.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col).cast("string").alias("label")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
         passes = passes_for(largest or 0, threshold)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    every = materialize(_prepared(df, passes, id_col, vector_col, label_col), "vectors")
-    rows, found, far = every.where("dim > 0").drop("vec_id").withColumn("place", F.lit(0)), None, []
+    prepared = _prepared(df, passes, id_col, vector_col, label_col).withColumn("class", F.when(F.col("dim") > 0, F.sha2(F.concat(F.encode("label", "utf-8"), F.lit(b"\0"), F.col("unit")), 256)))
+    every = materialize(prepared, "vectors")
+    classes = _classes(every)
+    rows, found, far = classes.drop("class").withColumn("place", F.lit(0)), None, []
     for number in range(passes):
         rows = _ranked(rows, number, parts)
         gap, active, followed = 1, None, set()
@@ -223,6 +236,10 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, passes: int | N
         far.append(followed)
     links = found.where("uid IS NOT NULL").groupBy("uid").agg(F.sum("links").alias("n_links"))
     joined = connected_components(found.where("a IS NOT NULL").select("a", "b"))
-    own = every.select("uid", "vec_id").join(links, "uid", "left").join(joined, F.col("uid") == F.col("node"), "left").select("uid", "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "uid").alias("root"))
-    lowest = own.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    return own.join(lowest, "root").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    of_class = classes.select("class", "uid", "members").join(links, "uid", "left").join(joined, F.col("uid") == F.col("node"), "left")
+    of_class = materialize(of_class.select("class", (F.coalesce("n_links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "uid").alias("root"), "members"), "classes")
+    usable = join_totals(every.where("class IS NOT NULL").select("vec_id", "class"), of_class, ["class"], every.count(), "members").select("vec_id", "n_links", "root")
+    alone = every.where("class IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("uid").alias("root"))
+    own = materialize(usable.unionByName(alone), "linked")
+    lowest = own.groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("n"))
+    return join_totals(own, lowest, ["root"], own.count()).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
