@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import display, names, rename, text
 from quarry.operators import grouping, library, manifest, matching
 from quarry.plans import archives, commands, compare
-from quarry.session import materialize, spread, table
+from quarry.session import materialize, scratch_dir, spread, table
+from quarry.sources import items, results
+from quarry.sources.archive import contents, write_archives
 from quarry.streaming import incremental, jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,15 +155,16 @@ def comprehensive_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member.select(F.col("node").alias("doc_id"), "component", "members", (F.col("node") == F.col("component")).alias("keep"), "evidence")
 
 
+_NORMAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({text}, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+'(?im)^(\s*(?:[•\-*]\s*)?)c\d{{1,4}}\s+', '\1', 'g'), '(?i)([.!?。！？]\s)c\d{{1,4}}\s+', '\1', 'g'), '\s+', ' ', 'g'))"""
 _ITEMS = r"""
 raw_items AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'box' || (doc_id % 50) || '.zip :: ' || doc_id || '/' ELSE '/d' || doc_id || '/' END AS place, CASE WHEN doc_id % 3 = 0 THEN 'zip item' ELSE 'file' END AS kind,
 'w' || CASE WHEN doc_id % 5 < 3 THEN doc_id // 2 ELSE 1000000000 + doc_id END || 'x' || CASE doc_id % 8 WHEN 1 THEN ' 1권' WHEN 2 THEN ' 2권' ELSE '' END AS title, CASE doc_id % 8 WHEN 1 THEN 'volume:1' WHEN 2 THEN 'volume:2' ELSE '' END AS mark,
 CASE WHEN doc_id % 7 = 0 THEN '9999-12-31 23:59' ELSE '2020-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') || ' 00:00' END AS moment, text FROM documents WHERE text IS NOT NULL
 UNION ALL SELECT 'talk.zip :: ' || conv_id || '.' || turn || '/', 'zip item', 'c' || conv_id || 'y' || turn || 'x', '', '9999-12-31 23:59', text FROM conversations WHERE text IS NOT NULL),
 items AS (SELECT row_number() OVER (ORDER BY place || title || '.txt') AS id, place || title || '.txt' AS location, kind, title, mark, moment, text, replace(title, ' ', '') AS title_key, count(*) OVER (PARTITION BY strlen(text)) > 1 AS need_hash, count(*) OVER (PARTITION BY replace(title, ' ', '')) > 1 AS need_body FROM raw_items),
-bodies AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
-'(?im)^(\s*(?:[•\-*]\s*)?)c\d{1,4}\s+', '\1', 'g'), '(?i)([.!?。！？]\s)c\d{1,4}\s+', '\1', 'g'), '\s+', ' ', 'g')) AS body FROM items WHERE need_body)
-"""
+bodies AS (SELECT id, _normal_ AS body FROM items WHERE need_body)
+""".replace("_normal_", _NORMAL.format(text="text"))
 
 
 @query(
@@ -268,8 +271,9 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS a, CASE WHEN o_orderkey % 5 = 0 THEN 'u' || o_orderkey || 'x' ELSE 'b' || (o_orderkey // 8) || 'x' END AS title, CAST(o_orderdate AS VARCHAR) AS modified, o_orderkey % 97 = 0 AS bad FROM orders),
-l AS (SELECT CAST(l_orderkey AS VARCHAR) AS a, l_partkey AS p, l_partkey || CASE WHEN l_quantity > 45 THEN 'b' ELSE 'a' END AS i FROM lineitem WHERE l_orderkey % 97 <> 0 AND l_orderkey % 89 <> 0),
+WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS a, CASE WHEN o_orderkey % 5 = 0 THEN 'u' || o_orderkey || 'x' ELSE 'b' || (o_orderkey // 8) || 'x' END AS title, CAST(o_orderdate AS VARCHAR) AS modified, o_orderstatus = 'P' AS bad FROM orders
+UNION ALL SELECT 'c' || c_custkey, 'c' || c_custkey || 'x', NULL, FALSE FROM customer),
+l AS (SELECT CAST(l_orderkey AS VARCHAR) AS a, l_partkey AS p, l_partkey || CASE WHEN l_quantity > 45 THEN 'b' ELSE 'a' END AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'),
 h AS (SELECT a, p, i, count(*) AS m FROM l GROUP BY ALL),
 b AS (SELECT h.a, title, modified, string_agg(i || 'x' || m, ',' ORDER BY i) AS bag, sum(m) AS n FROM h JOIN o ON o.a = h.a GROUP BY ALL),
 k AS (SELECT bag, min(a) AS first, count(*) AS copies, any_value(n) AS n, arg_min(a, {'m': modified, 't': title, 'a': a}) AS kept FROM b GROUP BY bag),
@@ -297,11 +301,14 @@ WHEN relation = 'partial' OR matched > 0 THEN 'partial' ELSE 'unmatched' END AS
 coalesce(relation IN ('exact', 'subset'), FALSE) AND (relation = 'subset' OR NOT keep) AS auto_select, n > 0 AND outside = n AS externally_covered FROM f
 """)
 def archive_containment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as archives of parts, suppliers as loose files: equal, contained, alike by title, broken, empty and single archives."""
+    """Orders as archives of parts, of which those in process are unreadable, customers as archives without members, suppliers as loose files."""
     key = F.col("o_orderkey")
     title = F.when(key % 5 == 0, F.concat(F.lit("u"), key, F.lit("x"))).otherwise(F.concat(F.lit("b"), F.floor(key / 8), F.lit("x")))
-    found = table(spark, sf_dir, "orders").select(key.cast("string").alias("path"), F.concat(title, F.lit(".zip")).alias("name"), F.col("o_orderdate").alias("modified"), (key % 97 == 0).cast("int").alias("errors"))
-    lines, part = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 <> 0 AND l_orderkey % 89 <> 0"), F.col("l_partkey")
+    found = table(spark, sf_dir, "orders").select(key.cast("string").alias("path"), F.concat(title, F.lit(".zip")).alias("name"), F.col("o_orderdate").cast("string").alias("modified"), (F.col("o_orderstatus") == "P").cast("int").alias("errors"))
+    named = F.concat(F.lit("c"), "c_custkey")
+    found = found.unionByName(table(spark, sf_dir, "customer").select(named.alias("path"), F.concat(named, F.lit("x.zip")).alias("name"), F.lit(None).cast("string").alias("modified"), F.lit(0).alias("errors")))
+    readable = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines, part = table(spark, sf_dir, "lineitem").join(readable, "l_orderkey"), F.col("l_partkey")
     members = lines.select(
         F.col("l_orderkey").cast("string").alias("archive"), F.concat(F.lit("p"), part, F.lit("x.x")).alias("inner"), F.lit(".x").alias("extension"), F.concat(part, F.when(F.col("l_quantity") > 45, "b").otherwise("a")).alias("sha256"),
         F.lit(1).alias("size"), F.col("l_linenumber").alias("entry"),
@@ -479,15 +486,17 @@ def group_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT l_suppkey AS name, sum(l_quantity) AS q, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), y AS (SELECT l_suppkey AS name, sum(l_quantity) AS q, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
-SELECT CAST(coalesce(x.name, y.name) AS VARCHAR) AS name, CASE WHEN y.name IS NULL THEN 'left_only' WHEN x.name IS NULL THEN 'right_only' WHEN x.q <> y.q OR x.n <> y.n THEN 'changed' ELSE 'same' END AS status FROM x FULL JOIN y ON x.name = y.name
+WITH m AS (SELECT l_returnflag AS f, l_suppkey AS name, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT * FROM (VALUES ('AN', 'A', 'N'), ('AR', 'A', 'R'), ('NR', 'N', 'R')) AS v(pair, x, y)),
+k AS (SELECT DISTINCT pair, x, y, name FROM p JOIN m ON m.f = x OR m.f = y)
+SELECT pair, CAST(k.name AS VARCHAR) AS name, CASE WHEN b.name IS NULL THEN 'left_only' WHEN a.name IS NULL THEN 'right_only' WHEN a.q <> b.q OR a.n <> b.n THEN 'changed' ELSE 'same' END AS status
+FROM k LEFT JOIN m a ON a.f = x AND a.name = k.name LEFT JOIN m b ON b.f = y AND b.name = k.name
 """)
 def member_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two archives, of returned and of accepted lines, whose members are suppliers: which are the same, changed or on one side."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("size"), F.count("*").cast("string").alias("crc32"))
+    """Three archives, of lines by their flag, whose members are suppliers, in pairs: which are the same, changed or on one side."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("size"), F.count("*").cast("string").alias("crc32"))
     rows = lines.select(F.col("l_returnflag").alias("path"), F.lit("zip item").alias("kind"), F.col("l_suppkey").cast("string").alias("member"), "size", "crc32", F.lit(8).alias("method"))
-    pairs = spark.createDataFrame([("p", "A", "R")], "pair string, left string, right string")
-    return compare.compare_zip_members(pairs, rows).select("name", "status")
+    pairs = spark.createDataFrame([("AN", "A", "N"), ("AR", "A", "R"), ("NR", "N", "R")], "pair string, left string, right string")
+    return compare.compare_zip_members(pairs, rows).select("pair", "name", "status")
 
 
 @query("""
@@ -622,14 +631,14 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH w AS (SELECT s_suppkey, lower(regexp_replace(s_name, '.*#0*', '')) AS key FROM supplier), o AS (SELECT DISTINCT CAST(c_custkey * 7 AS VARCHAR) AS key FROM customer WHERE c_nationkey = 3), r AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS key FROM part WHERE p_size = 9)
+WITH w AS (SELECT s_suppkey, lower(regexp_replace(s_name, '.*#0*', '')) AS key FROM supplier), o AS (SELECT DISTINCT CAST(c_custkey * 7 AS VARCHAR) AS key FROM customer), r AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS key FROM part)
 SELECT s_suppkey, CASE WHEN w.key <> '' AND EXISTS (SELECT 1 FROM o WHERE contains(o.key, w.key) OR contains(w.key, o.key)) THEN 'owned' WHEN w.key <> '' AND EXISTS (SELECT 1 FROM r WHERE contains(r.key, w.key) OR contains(w.key, r.key)) THEN 'rejected' ELSE 'new' END AS status FROM w
 """)
 def external_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list against what is owned and what was rejected: keys that hold or lie in each other."""
     wanted = table(spark, sf_dir, "supplier").select("s_suppkey", F.lower(F.regexp_replace("s_name", ".*#0*", "")).alias("k"))
-    owned = table(spark, sf_dir, "customer").where("c_nationkey = 3").select((F.col("c_custkey") * 7).cast("string").alias("key"))
-    rejects = table(spark, sf_dir, "part").where("p_size = 9").select(F.col("p_partkey").cast("string").alias("key"))
+    owned = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7).cast("string").alias("key"))
+    rejects = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"))
     return library.against_library(wanted, "k", owned, rejects).select("s_suppkey", "status")
 
 
@@ -651,14 +660,14 @@ def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, quality, toxic, 'own' AS origin FROM labels WHERE quality = 1 UNION ALL
-SELECT doc_id, NULL, NULL, 'incoming' FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.quality = 1 AND l.doc_id = d.doc_id)
+SELECT doc_id, quality, toxic, 'own' AS origin FROM labels UNION ALL
+SELECT doc_id, NULL, NULL, 'incoming' FROM (SELECT DISTINCT doc_id FROM documents) d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
 """)
 def import_without_overwriting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own records stay; incoming ones are added where there is none."""
     said = {"title": F.lit(""), "rating": F.lit("1"), "user_tags": F.lit(""), "read": F.lit(False), "favorite": F.lit(False), "memo": F.lit("")}
-    own = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("key"), "quality", "toxic", F.lit("own").alias("origin")).withColumns(said)
-    incoming = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"), F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), F.lit("incoming").alias("origin")).withColumns(said)
+    own = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), "quality", "toxic", F.lit("own").alias("origin")).withColumns(said)
+    incoming = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), F.lit("incoming").alias("origin")).withColumns(said)
     return library.import_records(own, incoming).select(F.col("key").alias("doc_id"), "quality", "toxic", "origin")
 
 
@@ -726,17 +735,120 @@ SELECT user_id, event_type AS status, n FROM r WHERE r = 1 AND event_type <> 'pu
 """)
 def unfinished_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of each job that is not its end."""
-    events = table(spark, sf_dir, "events")
-    last = events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n"))
-    return last.where("status <> 'purchase'")
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("status"))
+    return jobs.last_states(events, "user_id", ["ts", "event_id"], ("purchase",)).select("user_id", "status", F.col("changes").alias("n"))
 
 
 @query("""
-WITH m AS (SELECT 1 AS stage, doc_id AS id FROM documents WHERE lang = 'fr' UNION ALL SELECT 2, doc_id FROM documents WHERE lang = 'de'),
-r AS (SELECT *, row_number() OVER (ORDER BY stage, id) AS r FROM m) SELECT stage, id FROM r WHERE r <= 120
+WITH m AS (SELECT 1 AS stage, r_regionkey AS id FROM region UNION ALL SELECT 2, n_nationkey FROM nation UNION ALL SELECT 3, s_suppkey FROM supplier),
+r AS (SELECT *, row_number() OVER (ORDER BY stage, id) AS r FROM m) SELECT CAST(stage AS INTEGER) AS stage, CAST(id AS BIGINT) AS id FROM r WHERE r <= 120
 """)
 def shared_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What two stages may read of one budget. The limit is the feature."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    first, second = jobs.shared_budget([docs.where("lang = 'fr'"), docs.where("lang = 'de'")], "id", 120)
-    return first.select(F.lit(1).alias("stage"), "id").unionByName(second.select(F.lit(2).alias("stage"), "id"))
+    """What three stages may read of one budget. The limit is the feature."""
+    stages = [table(spark, sf_dir, name).select(F.col(key).cast("long").alias("id")) for name, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"))]
+    taken = [part.select(F.lit(k + 1).alias("stage"), "id") for k, part in enumerate(jobs.shared_budget(stages, "id", 120))]
+    return taken[0].unionByName(taken[1]).unionByName(taken[2])
+
+
+@query("""
+WITH c AS (SELECT conv_id AS id, count(*) AS value FROM conversations GROUP BY conv_id), l AS (SELECT doc_id AS id, max(quality) AS value FROM labels GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(l.value, c.value) AS BIGINT) AS value, CASE WHEN coalesce(l.value, c.value) IS NULL THEN 'miss' ELSE 'hit' END AS cache FROM documents LEFT JOIN l ON l.id = doc_id LEFT JOIN c ON c.id = doc_id
+""")
+def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache in buckets, filled by one run and brought up to date by a second, as documents find it."""
+    cache = incremental.BucketCache(spark, f"{scratch_dir(spark)}/cache", "id long, value long", ["id"], 64)
+    cache.upsert(table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count("*").alias("value")))
+    cache.upsert(table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("long").alias("value")))
+    return cache.lookup(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))).select(F.col("id").alias("doc_id"), "value", "cache")
+
+
+@query("""
+WITH w AS (SELECT event_type, time_bucket(INTERVAL 10 SECOND, ts) - to_seconds(10 * k) AS s FROM events, unnest([0, 1]) AS u(k))
+SELECT event_type, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) / 20 AS rate FROM w GROUP BY event_type, s
+""")
+def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events a second in sliding windows of 20 seconds; the same function runs on streams."""
+    found = incremental.windowed_rate(table(spark, sf_dir, "events").select("event_type", "ts"), "event_type", "ts", 20, 10)
+    return found.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "rate")
+
+
+@query("SELECT doc_id, source, lang, n_chars FROM documents WHERE contains(lower(source), 'en') OR contains(lower(lang), 'en')")
+def saved_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result written in two phases, read back and searched in all columns of text."""
+    path = f"{scratch_dir(spark)}/result"
+    results.save_result(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), path, "catalog", {})
+    return results.load_result(spark, path, "EN")[1]
+
+
+# --- archives that Spark writes from the documents ------------------------------------------------------------------
+
+
+def _zipped(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the documents as members of archives, written by tasks."""
+    key = F.col("doc_id")
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    rows = docs.select(F.concat(F.lit("b"), F.pmod(key, F.lit(40)), F.lit(".zip")).alias("archive"), key.alias("entry"), F.concat(F.lit("d"), key, F.lit("/w"), F.floor(key / 2), F.lit("x.txt")).alias("member"), F.col("text").alias("content"))
+    folder = f"{scratch_dir(spark)}/zips"
+    write_archives(rows, folder)
+    return folder
+
+
+def _below(folder: str) -> Column:
+    """Locations without the folder."""
+    return F.replace(F.col("location"), F.lit(folder + "/"), F.lit(""))
+
+
+_MEMBERS = "m AS (SELECT doc_id, 'b' || (doc_id % 40) || '.zip' AS archive, 'd' || doc_id || '/w' || (doc_id // 2) || 'x.txt' AS member, 'w' || (doc_id // 2) || 'x' AS title, text, strlen(text) AS size FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {_MEMBERS} SELECT archive, member, CAST(row_number() OVER (PARTITION BY archive ORDER BY doc_id) - 1 AS INTEGER) AS entry, size, sha256(text) AS sha256 FROM m")
+def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members of the archives of a folder, hashed by ranged reads."""
+    rows = items.scan(spark, _zipped(spark, sf_dir), "hash", where=[("kind", "=", "zip item")])
+    return rows.select(F.regexp_extract("path", "([^/]+)$", 1).alias("archive"), "member", "entry", "size", "sha256")
+
+
+@query(f"""
+WITH {_MEMBERS}, g AS (SELECT archive || ' :: ' || member AS location, title, size, count(*) OVER (PARTITION BY title) AS copies FROM m)
+SELECT location, copies, dense_rank() OVER (ORDER BY title) AS grp, row_number() OVER (PARTITION BY title ORDER BY size DESC, length(location), location) = 1 AS keep FROM g WHERE copies > 1
+""")
+def zip_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of equal titles, and which of them stays; only the directories of the archives are read."""
+    folder = _zipped(spark, sf_dir)
+    found = items.items(items.scan(spark, folder, where=[("kind", "=", "zip item")]))
+    return commands.titles(found).select(_below(folder).alias("location"), "copies", F.col("grp").cast("long").alias("grp"), "keep")
+
+
+@query(
+    f"WITH {_MEMBERS}, "
+    + "bodies AS (SELECT doc_id, "
+    + _NORMAL.format(text="text")
+    + " AS body FROM m), "
+    + _SENTENCES.format(id="doc_id", text="body", table="bodies WHERE length(body) >= 30")
+    + """, f AS (SELECT id, sha256(coalesce(string_agg(DISTINCT s, chr(10) ORDER BY s) FILTER (length(s) >= 12), any_value(t))) AS fp FROM clean GROUP BY id),
+g AS (SELECT archive || ' :: ' || member AS location, fp, size, count(*) OVER (PARTITION BY fp) AS copies FROM f JOIN m ON m.doc_id = f.id)
+SELECT location, substr(fp, 1, 16) AS fingerprint, copies, row_number() OVER (PARTITION BY fp ORDER BY size DESC, location) = 1 AS keep FROM g WHERE copies > 1
+"""
+)
+def zip_text_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of equal sentence fingerprints: found in the directories, then opened by location."""
+    folder = _zipped(spark, sf_dir)
+    found = items.items(items.scan(spark, folder, where=[("kind", "=", "zip item")]))
+    kept = commands.text_duplicates(found, fetch=contents)
+    return kept.select(_below(folder).alias("location"), F.substring("fingerprint", 1, 16).alias("fingerprint"), "copies", "keep")
+
+
+@query(
+    "WITH "
+    + _SENTENCES.format(id="doc_id", text="text", table="documents WHERE text IS NOT NULL")
+    + ", target AS (SELECT DISTINCT id, s FROM clean WHERE length(s) >= 12), known AS (SELECT DISTINCT CAST(id AS VARCHAR) AS source, s FROM (WITH "
+    + _SENTENCES.format(id="item_id", text="text", table="benchmark")
+    + """ SELECT id, s FROM clean WHERE length(s) >= 12)), n AS (SELECT id, count(*) AS n FROM target GROUP BY id),
+g AS (SELECT id, count(DISTINCT s) AS match_count, list_sort(list(DISTINCT source)) AS sources, list_sort(list(DISTINCT s)) AS met FROM target JOIN known USING (s) GROUP BY id)
+SELECT id AS doc_id, match_count, n AS sentence_count, round(match_count * 100.0 / n, 1) AS match_ratio, array_to_string(sources[1:4], ', ') AS sources, substr(array_to_string(met[1:3], ' / '), 1, 220) AS preview FROM g JOIN n USING (id)
+"""
+)
+def reference_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents share with the benchmark, with the first items that hold it and a preview."""
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    return matching.reference_report(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")

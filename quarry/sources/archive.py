@@ -413,6 +413,42 @@ def contents(wanted: DataFrame, level: str = "content") -> DataFrame:
     return read.select("location", *(F.col(f"c.{c}").alias(c) for c in others), "sha256", "content", "error")
 
 
+def write_archives(rows: DataFrame, folder: str) -> DataFrame:
+    """The written manifest (path, members) of ZIP archives in `folder` from rows (archive, entry, member, content).
+
+    Each archive is written by one task, member by member in the order of `entry`, under another name until it is whole; so a
+    repeated task writes the same file again, and nobody sees half of one.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.select("archive", "entry", "member", F.col("content").cast("binary").alias("content")).repartition(parts, "archive").sortWithinPartitions("archive", "entry", "member")
+    file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
+
+    def run(batches):
+        system, root = file_system(folder)
+        name, archive, stream, n = None, None, None, 0
+
+        def close():
+            archive.close()
+            stream.close()
+            system.move(f"{root}/{name}.part", f"{root}/{name}")
+            return pa.RecordBatch.from_pydict({"path": [f"{folder.rstrip('/')}/{name}"], "members": [n]})
+
+        for b in batches:
+            for at, _, member, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != name:
+                    if archive is not None:
+                        yield close()
+                    name, n = at, 0
+                    stream = system.open_output_stream(f"{root}/{name}.part", compression=None)
+                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(zipfile.ZipInfo(member), content or b"", zipfile.ZIP_DEFLATED)
+                n += 1
+        if archive is not None:
+            yield close()
+
+    return materialize(ordered.mapInArrow(run, "path string, members long"), "archives")
+
+
 # --- as a stream -------------------------------------------------------------------------------------------------------
 
 

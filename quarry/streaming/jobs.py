@@ -21,6 +21,13 @@ RESUMABLE = ("running", "interrupted", "disk-trouble", "partial")
 NOTE = 500
 
 
+def last_states(rows: DataFrame, key: str, order: list[str], final: tuple[str, ...] = (CLEARED,)) -> DataFrame:
+    """The last row of each job by the order, with `changes`, the number of its rows; jobs whose last status is `final` are left out."""
+    fields = [c for c in rows.columns if c not in (key, *order)]
+    last = rows.groupBy(key).agg(F.max(F.struct(*order, *fields)).alias("_last"), F.count("*").alias("changes"))
+    return last.select(key, *(F.col(f"_last.{c}").alias(c) for c in (*order, *fields)), "changes").where(~F.col("status").isin(*final))
+
+
 class JobStore:
     """The states of jobs and bad paths as append-only tables in a folder that all executors share.
 
@@ -62,9 +69,7 @@ class JobStore:
 
     def jobs(self) -> DataFrame:
         """The last state of each job, the latest first."""
-        rows = self._read("jobs", JOB)
-        last = rows.groupBy("job_key").agg(F.max("seq").alias("seq"))
-        return rows.join(last, ["job_key", "seq"]).where(F.col("status") != CLEARED).drop("seq").orderBy(F.desc("updated_at"), "job_key")
+        return last_states(self._read("jobs", JOB), "job_key", ["seq"]).select(*(c.split()[0] for c in JOB.split(", ") if not c.startswith("seq"))).orderBy(F.desc("updated_at"), "job_key")
 
     def unfinished(self) -> DataFrame:
         return self.jobs().where("status <> 'done'")
