@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import display, names, rename, text
+from quarry.functions import display, names, native_names, rename, text
 from quarry.operators import grouping, library, manifest, matching
 from quarry.plans import archives, commands, compare
 from quarry.session import materialize, scratch_dir, spread, table
@@ -447,6 +447,18 @@ def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "f.title", "f.title_key", "f.episode", "f.volume", "f.signature", names.extension(F.col("name")).alias("extension"), "f.display")
 
 
+@query(f"""
+WITH {_NAMES}, b AS (SELECT *, regexp_extract(name, '([^/]+)$', 1) AS base FROM n),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '\\.[A-Za-z0-9]{{2,5}}$', ''), '\\s*\\(\\d+\\)\\s*$', ''), '^(\\s*\\[[^\\]]+\\]\\s*)+', ''), '[_.-]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ._-') AS title FROM b)
+SELECT p_partkey, title, lower(replace(title, ' ', '')) AS title_key, CAST(p_partkey % 300 AS BIGINT) AS episode, CAST(p_size AS BIGINT) AS volume,
+CASE WHEN p_size > 999 THEN 'volume:' || right(CAST(p_size AS VARCHAR), 3) ELSE 'volume:' || p_size END AS signature FROM t
+""")
+def name_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fields by the engine's own expressions."""
+    f = native_names.name_columns(F.col("name"))
+    return _made_names(spark, sf_dir).select("p_partkey", *(f[c].alias(c) for c in ("title", "title_key", "episode", "volume", "signature")))
+
+
 @query(f"""
 WITH {_NAMES}, b AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(name, '([^/]+)$', 1), '\\.[^.]*$', ''), '^\\d{{2,7}}[_. -]+', '') AS stem FROM n)
 SELECT p_partkey, trim(p_brand) AS author, 'M' || p_size AS part, replace(p_name, ' ', '_') AS root_has, trim(regexp_replace(CASE WHEN p_partkey % 4 = 1 THEN regexp_replace(stem, '\\s*[@#][^\\[\\]]*$', '') ELSE stem END, '\\s+', ' ', 'g')) AS plain FROM b
@@ -454,8 +466,8 @@ SELECT p_partkey, trim(p_brand) AS author, 'M' || p_size AS part, replace(p_name
 def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors in brackets, part tokens, and stems without record number and source tag."""
     found = _made_names(spark, sf_dir).withColumn("base", F.regexp_extract("name", "([^/]+)$", 1))
-    stem = F.regexp_replace(F.regexp_replace("base", r"\.[^.]*$", ""), r"^\d{2,7}[_\-. ]+", "")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(stem, r"\s*[@#][^\[\]]*$", ""), r"\s+", " "))
+    stem = native_names.drop_record_id(F.col("base"))
+    plain = F.trim(F.regexp_replace(native_names.drop_source_tag(stem), r"\s+", " "))
     marked = rename.stated_author(stem)["author"]
     root = F.regexp_extract(F.regexp_replace(display.series_root(F.regexp_replace(stem, r"^\[[^\]]*\] ", "")), r"_\d+$", ""), "^([^ ]*)", 1)
     return found.select("p_partkey", F.when(marked == "", F.regexp_extract(stem, r"^\[([^\]]+)\]", 1)).otherwise(marked).alias("author"), display.part_token(F.col("base")).alias("part"), root.alias("root_has"), plain.alias("plain"))
