@@ -20,44 +20,54 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text; null texts are empty and have none."""
     return pii.report(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies over all documents; texts without words link with nothing."""
     return jaccard.components(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors by label; unusable vectors and null labels are their own component."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from labelled rows outside the held-out fold; empty texts are scored, too."""
     docs = spread(table(spark, sf_dir, "documents"))
     return _judged(quality.score(docs, quality.fit_tables(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the passages that documents of smaller ids hold; null texts are empty."""
     return substrings.remove_repeats(spread(table(spark, sf_dir, "documents"))).drop("kept")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, its edit and the next document's; null texts are empty, equal ones have equal prints."""
     return simhash.compare_with_edit(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from labelled rows outside the held-out fold; empty texts are scored, too."""
     docs = spread(table(spark, sf_dir, "documents"))
     return _judged(toxicity.score(docs, toxicity.fit_tables(docs, table(spark, sf_dir, "labels"))), 0.5)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and empty pages have none."""
     return html.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; null texts are empty and have no ids."""
     return bpe.round_trip(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 ids; an empty document is its end mark."""
     return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path(WORD_TOKENIZER)).drop("ids")
 
 
