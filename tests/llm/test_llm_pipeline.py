@@ -46,7 +46,7 @@ def test_stages_follow_each_other(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_run_ends_in_sequences(spark):
