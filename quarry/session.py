@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import time
 import uuid
 from pathlib import Path
 
@@ -83,3 +85,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}"
     df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more, so that they don't add up over the steps of a long job.
+
+    Twice with a pause: the first time, events of the last query that still wait for listeners may refer to them.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
