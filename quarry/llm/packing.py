@@ -18,6 +18,7 @@ import json
 import os
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,63 +80,60 @@ class WordTokenizer:
         merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         tokens = [*letters, *(c + end for c in letters), *merged]
         ranks: dict[bytes, int] = {}
-        self.id_of, self.ends = [], bytearray()
+        id_of, ends = [], []
         for t in tokens:
             if data(t) not in ranks:
-                ranks[data(t)] = len(self.id_of)
-                self.id_of.append(vocabulary[t])
-                self.ends.append(t.endswith(end))
+                ranks[data(t)] = len(id_of)
+                id_of.append(vocabulary[t])
+                ends.append(t.endswith(end))
+        self.id_of, self.ends = np.array(id_of, np.dtype(self.code)), np.array(ends, bool)
         self.ranks = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _learn_together(self, words: list[str], pieces: list[str]) -> None:
-        """Encode words whose pieces, set apart by spaces, are given."""
-        ids_of, ends = self.id_of.__getitem__, self.ends
-        ranks = self.ranks.encode_ordinary("".join(pieces).lower())
-        ids = self._pack(list(map(ids_of, ranks)))
-        width, start, at = len(ids) // max(1, len(ranks)), 0, 0
-        left = pieces[0].count(" ")
-        memo = self.memo
-        for j, r in enumerate(ranks, 1):
-            if ends[r]:
-                left -= 1
-                if not left:
-                    memo[words[at]] = ids[width * start : width * j]
-                    start, at = j, at + 1
-                    if at < len(words):
-                        left = pieces[at].count(" ")
+    def _learn_together(self, words: list[str], counts: list[int], text: str) -> None:
+        """Encode words of which `text` holds the pieces, `counts` for each, with a space behind every piece."""
+        ranks = self.ranks.encode_to_numpy(text.lower(), disallowed_special=())
+        ids = self.id_of[ranks].tobytes()
+        width = self.id_of.itemsize
+        ends = (width * (np.flatnonzero(self.ends[ranks])[np.cumsum(counts) - 1] + 1)).tolist()
+        self.memo.update(zip(words, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=False))
 
     def _learn(self, words: list[str]) -> None:
         if self.ranks:
-            together, pieces = [], []
+            together = [w for w in words if w.isascii() and w.isalpha()]
+            counts, pieces = [1] * len(together), [f"{w} " for w in together]
             for w in words:
-                core = w.rstrip(_CLOSING)
-                # Other letters may be changed by normalising, or lower-cased by their neighbours.
-                if core.isalpha() and max(core) < "\u0370" and "\u0130" not in core:
-                    together.append(w)
-                    pieces.append(f"{core} {w[len(core):]} " if core != w else f"{w} ")
+                if not (w.isascii() and w.isalpha()):
+                    core = w.rstrip(_CLOSING)
+                    # Other letters may be changed by normalising, or lower-cased by their neighbours.
+                    if core.isascii() and core.isalpha() or core.isalpha() and max(core) < "\u0370" and "\u0130" not in core:
+                        together.append(w)
+                        counts.append(1 + (core != w))
+                        pieces.append(f"{core} {w[len(core):]} " if core != w else f"{w} ")
             if together:
-                self._learn_together(together, pieces)
+                self._learn_together(together, counts, "".join(pieces))
             words = [w for w in words if w not in self.memo]
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.memo[w] = self._pack(e.ids)
 
-    def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):  # str.split takes these for white space, the tokenizer doesn't
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words, memo = text.split(), self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Words that none before had are learnt for all texts together."""
+        # str.split takes odd spaces for white space, the tokenizer doesn't.
+        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
+        memo = self.memo
         if len(memo) > MAX_MEMO:  # short words are those that come back
             self.memo = memo = {w: b for w, b in memo.items() if len(w) < 7} if len(memo) < 2 * MAX_MEMO else {}
             if len(memo) > MAX_MEMO // 2:
                 memo.clear()
-        self._learn([w for w in dict.fromkeys(words) if w not in memo])
-        return b"".join(map(memo.__getitem__, words))
+        fresh = [w for w in dict.fromkeys(chain.from_iterable(filter(None, split))) if w not in memo]
+        if fresh:
+            self._learn(fresh)
+        return [self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if words is None else b"".join(map(memo.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -155,7 +153,7 @@ def tokenise(df: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_
         t = worker_tokenizer(path)
         end, width, before = array(t.code, [end_id]).tobytes(), 2 if t.code == "H" else 4, 0
         for b in pieces(batches):
-            ids = [t.encode(x or "") + end for x in b.column(1).to_pylist()]
+            ids = [x + end for x in t.encode_all([x or "" for x in b.column(1).to_pylist()])]
             n = np.array([len(x) // width for x in ids], np.int64)
             starts = before + np.cumsum(n) - n
             before += int(n.sum())

@@ -376,3 +376,12 @@ def test_reliabilities_tell_good_labelers_from_bad():
     distinct, counts = np.unique(votes, axis=0, return_counts=True)
     _, right, prior = pii.expectation_maximisation(distinct.astype(float), counts.astype(float))
     assert right[0] > right[1] > right[2] and abs(prior - 0.5) < 0.05
+
+
+def test_words_of_many_texts_learnt_together(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, t = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "MAX_MEMO", 8)
+    texts = ["", "One two&&& ünd** two", "a\x1cb One", "naïve Straße, 12x İx ΑΣ İ", "two!? don't ### x.y", "One two&&& three four five six seven eight nine"]
+    for _ in range(2):
+        assert [np.frombuffer(i, f"<u{own.id_of.itemsize}").tolist() for i in own.encode_all(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
