@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import os
 import time
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -63,8 +66,12 @@ _made: list[str] = []
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch folders of this process. Results that still read them must have been written before."""
     while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -96,3 +103,29 @@ def free_shuffles(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+def settle(spark: SparkSession, step: Callable[[], DataFrame], name: str = "step") -> DataFrame:
+    """What `step` finds, written. What it wrote on the way is deleted then, so nothing else may read that."""
+    before = len(_made)
+    found = materialize(step(), name)
+    for folder in _made[before:-1]:
+        _delete(spark, folder)
+    del _made[before:-1]
+    return found
+
+
+def in_parts(spark: SparkSession, parts: int, step: Callable[[Callable[[DataFrame, str], DataFrame]], DataFrame], name: str = "step") -> DataFrame:
+    """The rows that `step` finds for each part of the values of a column in turn, written.
+
+    `step` gets a function (rows, column) that leaves the rows of the part, and joins or groups by that column. Of each part only
+    the result stays: shuffles and what was written on the way are deleted, so the disk holds those of one part at a time.
+    """
+    written = []
+    for part in range(parts):
+        if parts > 1:
+            free_shuffles(spark)
+        written.append(settle(spark, lambda part=part: step(lambda df, c: df.where(F.pmod(F.xxhash64(c), F.lit(parts)) == part)), name))
+    if parts > 1:
+        free_shuffles(spark)
+    return functools.reduce(DataFrame.unionByName, written)
